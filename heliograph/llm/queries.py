@@ -6,12 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliograph.llm import simhash, substrings
+from heliograph.llm import pii, secrets, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op3_pii": pii.op3_pii,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
+        "op8_secret_scan": secrets.op8_secret_scan,
         "op9_substring_dedup": substrings.op9_substring_dedup,
     }
 
