@@ -6,12 +6,13 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliograph.llm import ans, packing, pii, secrets, simhash, substrings
+from heliograph.llm import ans, decontaminate, packing, pii, secrets, simhash, substrings
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op3_pii": pii.op3_pii,
+        "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_token_files": ans.op6_token_files,
         "op8_secret_scan": secrets.op8_secret_scan,
