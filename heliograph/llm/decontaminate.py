@@ -12,6 +12,8 @@ has, a shingle's weight falling with the number of documents that have it.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,11 +33,20 @@ def _words(text: str) -> Column:
     return F.when(plain == "", F.array().cast("array<string>")).otherwise(F.split(plain, " "))
 
 
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with the value computed once, however often and deep the body uses it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def _shingles(words: Column) -> Column:
     """Hashes of all runs of five words; of the whole sequence if it is shorter; none if it is empty."""
-    starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
-    return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(hashes)
+
+    def of(words: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.greatest(F.size(words) - (SHINGLE - 1), F.lit(1)))
+        hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, SHINGLE)))
+        return F.when(F.size(words) == 0, F.array().cast("array<bigint>")).otherwise(hashes)
+
+    return _let(words, of)
 
 
 def _fingerprint(words: Column) -> Column:
@@ -47,7 +58,7 @@ def _fingerprint(words: Column) -> Column:
         set_bit = lambda b: F.when(2 * ones(b) > F.size(hashes), F.call_function("shiftleft", one, b)).otherwise(F.lit(0).cast("long"))
         return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(set_bit(b)))
 
-    return F.element_at(F.transform(F.array(F.transform(words, lambda w: F.xxhash64(w))), of), 1)
+    return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
 
 
 def _block(fp: Column, k: Column) -> Column:
@@ -88,7 +99,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
     key = F.xxhash64("text").alias("text_key")
     split = texts.select("doc_id", key, _words("text").alias("words")).select("doc_id", "text_key", _shingles(F.col("words")).alias("shingles"))
-    hits = cut(split.select("doc_id", "text_key", F.posexplode("shingles").alias("pos", "h")).join(grams, "h", "left_semi"))
+    # The outer form, as the inner one adds a filter that would compute the shingles twice; the join drops its nulls.
+    hits = cut(split.select("doc_id", "text_key", F.posexplode_outer("shingles").alias("pos", "h")).join(grams, "h", "left_semi"))
 
     total = docs.select("doc_id").count()
     seen = hits.groupBy("h").agg(F.count_distinct("doc_id", "text_key").alias("n"))
@@ -97,9 +109,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     windows = hits.join(places, "h").select("doc_id", "text_key", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n_words").distinct()
     by_text = windows.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_list(F.struct("start", "n_words")).alias("windows"))
     found = texts.withColumn("text_key", F.xxhash64("text")).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
-    found = found.select("doc_id", "windows", _words("text").alias("words"))
-    cuts = F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["n_words"].alias("n_words"), F.slice(F.col("words"), w["start"] + 1, w["n_words"]).alias("own")))
-    rows = found.select("doc_id", F.explode(cuts).alias("w")).select("doc_id", "w.*")
+    own = lambda words: F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["n_words"].alias("n_words"), F.slice(words, w["start"] + 1, w["n_words"]).alias("own")))
+    rows = found.select("doc_id", F.explode_outer(_let(_words("text"), own)).alias("w")).select("doc_id", "w.*")
     rows = rows.select("doc_id", "start", "n_words", _fingerprint(F.col("own")).alias("fp"), _shingles(F.col("own")).alias("own"))
 
     index = items.select("item_id", F.monotonically_increasing_id().alias("row"), "shingles", "n_words", _fingerprint(F.col("words")).alias("item_fp"))
