@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliograph.llm import ans, decontaminate, packing, pii, secrets, simhash, substrings
+from heliograph.llm import ans, decontaminate, packing, pii, secrets, simhash, substrings, syncmers
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_decontaminate": decontaminate.op4_decontaminate,
         "op5_simhash_near_dedup": simhash.op5_simhash_near_dedup,
         "op6_token_files": ans.op6_token_files,
+        "op7_syncmers": syncmers.op7_syncmers,
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_packing": packing.op10_packing,
