@@ -18,7 +18,6 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark import Broadcast
@@ -118,7 +117,7 @@ def sketch(docs: DataFrame, window: int = WINDOW) -> bytes:
                 for a, b in zip(cuts, [*cuts[1:], len(cells)]):
                     inside = (cells[a:b] & np.uint64((1 << LOG_PART) - 1)).astype("<u4")
                     rows.append(((row << (LOG_WIDTH - LOG_PART)) + int(parts[a]), inside.tobytes(), np.packbits(n[a:b] > 1).tobytes()))
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int32(), pa.binary(), pa.binary()))], names=["part", "cells", "twice"])
+            return _frame(list(zip(*rows)), (pa.int32(), pa.binary(), pa.binary()), ["part", "cells", "twice"])
 
         for batch in batches:
             for text in batch["text"].to_pylist():
@@ -132,14 +131,14 @@ def sketch(docs: DataFrame, window: int = WINDOW) -> bytes:
         if held:
             yield out()
 
-    def merge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, counts = -1, np.zeros(1 << LOG_PART, dtype=np.uint8)
 
-        def out() -> pd.DataFrame:
-            return pd.DataFrame({"part": [part], "bits": [zlib.compress(np.packbits(counts > 1).tobytes(), 1)]})
+        def out() -> pa.RecordBatch:
+            return _frame([[part], [zlib.compress(np.packbits(counts > 1).tobytes(), 1)]], (pa.int32(), pa.binary()), ["part", "bits"])
 
         for batch in batches:
-            for p, cells, twice in zip(batch["part"], batch["cells"], batch["twice"]):
+            for p, cells, twice in zip(*(batch[c].to_pylist() for c in ("part", "cells", "twice"))):
                 if p != part:
                     if part >= 0:
                         yield out()
@@ -151,7 +150,7 @@ def sketch(docs: DataFrame, window: int = WINDOW) -> bytes:
             yield out()
 
     parts = docs.select("text").mapInArrow(count, "part int, cells binary, twice binary")
-    merged = parts.repartition(tasks(docs.sparkSession), "part").sortWithinPartitions("part").mapInPandas(merge, "part int, bits binary")
+    merged = parts.repartition(tasks(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary")
     bits = bytearray(DEPTH << (LOG_WIDTH - 3))
     step = 1 << (LOG_PART - 3)
     for row in merged.toLocalIterator():  # at most DEPTH * 2**(LOG_WIDTH - LOG_PART) rows
@@ -168,50 +167,68 @@ def _estimated_repeated(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
 
 
 _ROW = np.dtype([("h", "<u8"), ("g", "<u4"), ("doc", "<u8"), ("at", "<u4")])
+_SETTLED = 0xFFFFFFFF  #: the position of a representative of windows that a task has settled
+
+
+def _press(docs: np.ndarray, at: np.ndarray) -> bytes:
+    """Positions by document, for rows in order of documents and positions."""
+    cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    sizes = np.diff(np.r_[cuts, len(docs)])
+    steps = np.diff(at.astype("<u4"), prepend=np.uint32(0))
+    return np.array([len(cuts), len(docs)], "<u4").tobytes() + zlib.compress(docs[cuts].astype("<u8").tobytes() + sizes.astype("<u4").tobytes() + steps.astype("<u4").tobytes(), 1)
+
+
+def _unpress(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(documents, number of positions of each, positions)"""
+    n, m = np.frombuffer(data, "<u4", 2).tolist()
+    raw = zlib.decompress(data[8:])
+    return np.frombuffer(raw, "<u8", n), np.frombuffer(raw, "<u4", n, 8 * n), np.cumsum(np.frombuffer(raw, "<u4", m, 12 * n), dtype=np.uint32)
 
 
-def _runs_of(docs: np.ndarray, at: np.ndarray) -> pd.DataFrame:
-    """One row for each document: the positions of its repeated windows."""
-    order = np.lexsort((at, docs))
-    docs, at = docs[order], at[order].astype("<u4")
-    cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else []
-    ends = [*cuts[1:], len(docs)]
-    return pd.DataFrame({"key": docs[cuts].astype(np.int64) if len(docs) else [], "at": [at[a:b].tobytes() for a, b in zip(cuts, ends)]})
+def _by(part: np.ndarray, docs: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """(part, indices) of the rows of each part, in order of documents and positions."""
+    order = np.lexsort((at, docs, part))
+    cuts = np.flatnonzero(np.diff(part[order], prepend=-1)) if len(order) else np.zeros(0, np.int64)
+    for a, b in zip(cuts, [*cuts[1:], len(order)]):
+        yield int(part[order[a]]), order[a:b]
 
 
-def _sent(part, rows, key, at) -> pa.RecordBatch:
-    columns = [pa.array(np.asarray(part).astype(np.int32)), pa.array(rows, pa.binary()), pa.array(np.asarray(key).astype(np.int64)), pa.array(list(at), pa.binary())]
-    return pa.RecordBatch.from_arrays(columns, names=["part", "rows", "key", "at"])
+def _covers(docs: np.ndarray, at: np.ndarray, n: int) -> list[tuple[int, bytes]]:
+    """Positions of repeated windows, one row for each bucket of documents."""
+    return [(k, _press(docs[i], at[i])) for k, i in _by((docs % np.uint64(n)).astype(np.int64), docs, at)]
+
+
+def _frame(columns: list, kinds: tuple, names: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
 
 
 def _key(doc_id: int | None, text: str) -> int:
     return xxhash.xxh64_intdigest(text.encode("utf-8"), (doc_id or 0) & (1 << 64) - 1)
 
 
-def _repeated(docs: DataFrame, bits: Broadcast, window: int) -> DataFrame:
-    """(key, at): for each document, positions (packed) of windows whose words start elsewhere too."""
-    n = tasks(docs.sparkSession)
+def _repeated(docs: DataFrame, bits: Broadcast, window: int, n: int) -> DataFrame:
+    """(bucket, cover): packed positions of windows whose words start elsewhere too.
+
+    A row holds what one task found for one of the `n` buckets of documents, so there are at most as
+    many rows as pairs of tasks. Windows are dealt out by their hash.
+    """
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, held, size = _Reader(window), [], 0
         seen = np.frombuffer(bits.value, np.uint8)
 
-        def out() -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
             rows = np.concatenate(held)
             rows = rows[np.lexsort((rows["g"], rows["h"]))]
             first = np.r_[True, (rows["h"][1:] != rows["h"][:-1]) | (rows["g"][1:] != rows["g"][:-1])]
             alone = first & np.r_[first[1:], True]
-            settled = rows[~alone]
-            local = _runs_of(settled["doc"], settled["at"])
-            yield _sent(local["key"] % n, [None] * len(local), local["key"], local["at"])
+            local = _covers(rows["doc"][~alone], rows["at"][~alone], n)
             rows, alone = rows[first], alone[first]
-            rows["at"][~alone] = 0xFFFFFFFF  # a representative of windows already settled
-            part = (rows["h"] >> np.uint64(32)) % np.uint64(n)
-            order = np.argsort(part, kind="stable")
-            rows, part = rows[order], part[order]
-            cuts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            packed = [rows[a:b].tobytes() for a, b in zip(cuts, [*cuts[1:], len(rows)])]
-            yield _sent(part[cuts], packed, np.zeros(len(cuts)), [None] * len(cuts))
+            rows["doc"][~alone], rows["at"][~alone] = 0, _SETTLED
+            part = ((rows["h"] >> np.uint64(32)) % np.uint64(n)).astype(np.int64)
+            sent = [(k, rows["h"][i].tobytes() + rows["g"][i].tobytes(), _press(rows["doc"][i], rows["at"][i])) for k, i in _by(part, rows["doc"], rows["at"])]
+            columns = [[*(k for k, _, _ in sent), *(k for k, _ in local)], [*(x for _, x, _ in sent), *(None for _ in local)], [*(x for _, _, x in sent), *(x for _, x in local)]]
+            return _frame(columns, (pa.int32(), pa.binary(), pa.binary()), ["part", "hashes", "cover"])
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
@@ -227,27 +244,36 @@ def _repeated(docs: DataFrame, bits: Broadcast, window: int) -> DataFrame:
                 held.append(rows)
                 size += len(rows)
                 if size >= CHUNK:
-                    yield from out()
+                    yield out()
                     held, size = [], 0
         if held:
-            yield from out()
+            yield out()
 
-    def settle(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
         for batch in batches:
-            own = batch["rows"].isna()
-            yield batch.loc[own, ["key", "at"]]
-            held += [np.frombuffer(x, dtype=_ROW) for x in batch.loc[~own, "rows"]]
+            local = []
+            for part, hashes, cover in zip(*(batch[c].to_pylist() for c in ("part", "hashes", "cover"))):
+                if hashes is None:
+                    local.append((part, cover))
+                    continue
+                docs_, sizes, at = _unpress(cover)
+                rows = np.empty(len(at), dtype=_ROW)
+                rows["h"], rows["g"] = np.frombuffer(hashes, "<u8", len(at)), np.frombuffer(hashes, "<u4", len(at), 8 * len(at))
+                rows["doc"], rows["at"] = np.repeat(docs_, sizes), at
+                held.append(rows)
+            yield _frame([[k for k, _ in local], [x for _, x in local]], (pa.int32(), pa.binary()), ["bucket", "cover"])
         if held:
             rows = np.concatenate(held)
             held.clear()
             rows = rows[np.lexsort((rows["g"], rows["h"]))]
             new = np.r_[True, (rows["h"][1:] != rows["h"][:-1]) | (rows["g"][1:] != rows["g"][:-1])]
-            many = ~(new & np.r_[new[1:], True]) & (rows["at"] != 0xFFFFFFFF)
-            yield _runs_of(rows["doc"][many], rows["at"][many])
+            many = ~(new & np.r_[new[1:], True]) & (rows["at"] != _SETTLED)
+            found = _covers(rows["doc"][many], rows["at"][many], n)
+            yield _frame([[k for k, _ in found], [x for _, x in found]], (pa.int32(), pa.binary()), ["bucket", "cover"])
 
-    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, "part int, rows binary, key long, at binary")
-    return sent.repartition(n, "part").mapInPandas(settle, "key long, at binary")
+    sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, "part int, hashes binary, cover binary")
+    return sent.repartition(n, "part").mapInArrow(settle, "bucket int, cover binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -259,35 +285,44 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     stay as they are. Rows that repeat a document are places of their own, so they lose their windows.
     """
     spark = docs.sparkSession
-    bits = spark.sparkContext.broadcast(sketch(docs, window))
-    found = _repeated(docs, bits, window).groupBy("key").agg(F.collect_list("at").alias("at"))
-    keyed = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_with_key, "doc_id long, text string, key long")
+    bits, n = spark.sparkContext.broadcast(sketch(docs, window)), tasks(spark)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bucket = [_key(i, t or "") % n for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())]
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), batch["doc_id"], batch["text"]], names=["bucket", "doc_id", "text"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bucket, covers = -1, {}
         for batch in batches:
-            n_words, n_removed, texts = [], [], []
-            for text, at in zip(batch["text"].to_pylist(), batch["at"].to_pylist()):
+            ids, n_words, n_removed, texts = [], [], [], []
+            for b, doc_id, text, cover in zip(*(batch[c].to_pylist() for c in ("bucket", "doc_id", "text", "cover"))):
+                if b != bucket:
+                    bucket, covers = b, {}
+                if cover is not None:  # a bucket's positions come before its texts
+                    keys, sizes, at = _unpress(cover)
+                    for key, own in zip(keys.tolist(), np.split(at, np.cumsum(sizes)[:-1])):
+                        covers.setdefault(key, []).append(own)
+                    continue
                 words = (text or "").encode("utf-8").split()
-                cover = np.zeros(len(words) + 1, dtype=np.int64)
-                for x in at or ():
-                    starts = np.frombuffer(x, "<u4").astype(np.int64)
-                    np.add.at(cover, starts, 1)
-                    np.add.at(cover, starts + window, -1)
-                gone = np.cumsum(cover[:-1]) > 0
+                edge = np.zeros(len(words) + 1, dtype=np.int64)
+                for at in covers.get(_key(doc_id, text or ""), ()):
+                    starts = np.unique(at).astype(np.int64)
+                    edge[starts] += 1
+                    edge[starts + window] -= 1
+                gone = np.cumsum(edge[:-1]) > 0
                 kept = [w for w, g in zip(words, gone.tolist()) if not g] if gone.any() else words
+                ids.append(doc_id)
                 n_words.append(len(words))
                 n_removed.append(len(words) - len(kept))
                 texts.append(b" ".join(kept).decode("utf-8"))
-            columns = [batch["doc_id"], pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(texts, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_removed", "kept"])
-
-    return keyed.join(found, "key", "left").select("doc_id", "text", "at").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
-
+            yield _frame([ids, n_words, n_removed, texts], (pa.int64(), pa.int64(), pa.int64(), pa.string()), ["doc_id", "n_words", "n_removed", "kept"])
 
-def _with_key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        key = [_key(i, t or "") for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())]
-        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["text"], pa.array(np.array(key, dtype=np.uint64).view(np.int64))], names=["doc_id", "text", "key"])
+    texts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, "bucket int, doc_id long, text string")
+    rows = _repeated(docs, bits, window, n).selectExpr("bucket", "0 AS kind", "CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", "cover")
+    rows = rows.union(texts.selectExpr("bucket", "1 AS kind", "doc_id", "text", "CAST(NULL AS BINARY) AS cover"))
+    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    return dealt.select("bucket", "doc_id", "text", "cover").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
