@@ -6,11 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliograph.llm import ans, decontaminate, htmltext, packing, pii, secrets, simhash, substrings, syncmers
+from heliograph.llm import ans, decontaminate, htmltext, packing, pii, secrets, simhash, substrings, syncmers, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_toxicity": toxicity.op1_toxicity,
         "op2_html_text": htmltext.op2_html_text,
         "op3_pii": pii.op3_pii,
         "op4_decontaminate": decontaminate.op4_decontaminate,
