@@ -36,7 +36,7 @@ from heliograph.llm.tokens import default_path, encoder, press, unpress
 MAGIC = b"HRANS1\0\0"
 SCALE = 18  # bits of the frequency table's total
 LANES, STEPS = 512, 512  # a block is LANES * STEPS ids
-SEGMENT = 1 << 22  # ids after which a segment is closed
+SEGMENT = 1 << 21  # ids after which a segment is closed
 PART_CHARS = 64_000_000  # characters of text that one range of ids is to hold
 PARTS = 1 << 13
 END = 0
@@ -101,7 +101,8 @@ def write_segment(documents: list[tuple[int | None, np.ndarray]]) -> bytes:
     """A segment of documents (id or None, ids). Documents and segments may be empty."""
     lengths = np.array([len(x) for _, x in documents], dtype="<u4")
     ids = np.concatenate([np.zeros(0, np.uint32), *(x for _, x in documents)]).astype("<u4")
-    symbols, dense, counts = np.unique(ids, return_inverse=True, return_counts=True)
+    symbols, counts = np.unique(ids, return_counts=True)
+    dense = np.searchsorted(symbols, ids).astype(np.int32)
     freq = frequencies(counts).astype(np.uint64) if len(ids) else np.zeros(0, np.uint64)
     cum = np.cumsum(freq) - freq
     size = LANES * STEPS
@@ -112,7 +113,7 @@ def write_segment(documents: list[tuple[int | None, np.ndarray]]) -> bytes:
             part = dense[a:b]
             blocks, lanes = max(1, (b - a) // size), min(LANES, max(1, (b - a) // 64))
             if a or b < size:  # the last block: filled up with its first id
-                part = np.concatenate([part, np.full(-(b - a) % lanes, part[0])])
+                part = np.concatenate([part, np.full(-(b - a) % lanes, part[0], dtype=part.dtype)])
             first, own, n = _encode(part.reshape(blocks, -1, lanes), freq, cum)
             states.append(first.astype("<u8").tobytes())
             words.append(own.astype("<u4").tobytes())
@@ -182,12 +183,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
         encode = encoder(path)
         end = np.array([END], dtype=encode.dtype).tobytes()
         for batch in batches:
-            ids = [press(encode(text) + end) for text in batch["text"].to_pylist()]
+            ids = [press(encode(text) + end, encode.dtype) for text in batch["text"].to_pylist()]
             part = [0 if i is None else int(np.searchsorted(bounds, i, side="right")) for i in batch["doc_id"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch["doc_id"], pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder(path).dtype
         part, segment, held, size = -1, 0, [], 0
 
         def out() -> pa.RecordBatch:
@@ -200,7 +200,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
                     yield out()
                     segment, held, size = (segment + 1 if p == part else 0), [], 0
                 part = p
-                held.append((doc_id, np.frombuffer(unpress(ids), dtype)))
+                held.append((doc_id, unpress(ids)))
                 size += len(held[-1][1])
         if held:
             yield out()

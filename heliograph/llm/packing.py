@@ -82,7 +82,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
             for text in batch["text"].to_pylist():
                 own = encode(text)
                 cells.append(coordinates(np.frombuffer(own, encode.dtype), encode.vocabulary))
-                ids.append(press(own + end))
+                ids.append(press(own + end, encode.dtype))
             curve = hilbert(np.array(cells, dtype=np.int64).reshape(len(cells), DIMENSIONS))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(curve), pa.array(ids, pa.binary())], names=["doc_id", "curve", "ids"])
 
@@ -153,11 +153,10 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     spark = docs.sparkSession
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        dtype = encoder(path).dtype
         packer = _Packer(length, TaskContext.get().partitionId() << 40)
         for batch in batches:
             for doc_id, ids in zip(batch["doc_id"].to_pylist(), batch["ids"].to_pylist()):
-                packer.add(doc_id, np.frombuffer(unpress(ids), dtype).astype("<u4"))
+                packer.add(doc_id, unpress(ids).astype("<u4"))
             yield packer.out()
         packer.finish()
         yield packer.out()

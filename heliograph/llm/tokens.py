@@ -1,4 +1,4 @@
-"""Token ids by the tokenizers library, in packed form."""
+"""Token ids by a vocabulary file of the tokenizers library, in packed form."""
 
 from __future__ import annotations
 
@@ -10,22 +10,32 @@ import re
 import numpy as np
 import zstandard
 
-#: Texts of these characters are cut into words by a plain regex; the class leaves out all characters
-#: whose classification could differ between libraries, and texts that hold them take the long way.
+#: Texts outside these characters (Latin script) are always encoded by the tokenizers library.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
-#: Fixed value: the word pattern of byte-level BPE, restricted to the characters above.
-_WORD = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[^\W\d_]+| ?\d+| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+")
-#: Words whose ids a worker remembers; then it forgets all and starts again.
-_REMEMBERED = 1_000_000
+#: Fixed value: the word pattern of byte-level BPE.
+WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: What both engines must agree on before the fast one is used in a process.
+_PROBES = (
+    "The quick brown fox's 12 jumps,  over\n\n\tthe lazy dog!!! ",
+    "Éçueux größer señorías | token = \"04dbe\" $$$%%% a_b-c  ",
+    " ".join(f"x{k * k}y{chr(97 + k % 26) * (k % 7)}" for k in range(300)),
+)
+
+
+def _bytes_of_symbols() -> dict[str, int]:
+    """Byte-level vocabularies write bytes that don't print as characters from U+0100 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
 
 
 class Encoder:
     """Ids of texts as little-endian bytes, two to an id where the vocabulary allows it, else four.
 
-    Byte-level BPE never joins ids across words, so the ids of a text are those of its words; each
-    different word is encoded once by the library and remembered. Other kinds of tokenizers, and texts
-    with characters outside Latin script, are encoded as a whole. Strings of special tokens in a text
-    are ordinary text.
+    The ids are the tokenizers library's. For byte-level BPE whose ids are in the order of its merges,
+    tiktoken's core merges the same vocabulary several times faster; it is used for texts in Latin
+    script, once it has given the library's ids for the probes, and never otherwise. Strings of special
+    tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -36,35 +46,31 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True
         self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
+        self.fast = self._fast()
+
+    def _fast(self):
+        import tiktoken
+
         kind = json.loads(self.tokenizer.to_str())
         before = kind["pre_tokenizer"] or {}
-        self.by_word = kind["normalizer"] is None and kind["model"]["type"] == "BPE" and before.get("type") == "ByteLevel" and before.get("use_regex") and not before.get("add_prefix_space")
-        self.known: dict[str, bytes] = {}
+        plain = kind["normalizer"] is None and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout") and not kind["model"].get("ignore_merges")
+        if not plain or before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space"):
+            return None
+        byte = _bytes_of_symbols()
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
+        added = {x["content"] for x in kind["added_tokens"]}
+        ranks = {bytes(byte[c] for c in token): k for token, k in vocabulary.items() if token not in added}
+        fast = tiktoken.Encoding("own", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
+        same = all(fast.encode_ordinary(x) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in _PROBES)
+        return fast if same else None
 
     def __call__(self, text: str | None) -> bytes:
         if not text:
             return b""
-        if not self.by_word or _PLAIN.search(text):
-            return self._pack(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids)
-        words = _WORD.findall(text)
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            if len(self.known) > _REMEMBERED:
-                self.known.clear()
-            self._learn([w for w in dict.fromkeys(words) if w not in self.known])
-            return b"".join(map(self.known.__getitem__, words))
-
-    def _pack(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype=self.dtype).tobytes()
-
-    def _learn(self, words: list[str]) -> None:
-        encoded = self.tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        owner = np.array(encoded.word_ids, dtype=np.int64)
-        ids = np.array(encoded.ids, dtype=self.dtype)
-        cuts = np.searchsorted(owner, np.arange(len(words) + 1)).tolist()
-        for k, word in enumerate(words):
-            self.known[word] = ids[cuts[k] : cuts[k + 1]].tobytes()
+        if self.fast is None or _PLAIN.search(text):
+            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+            return np.array(ids, dtype=self.dtype).tobytes()
+        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
@@ -79,15 +85,10 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-@functools.lru_cache(maxsize=1)
-def _press() -> tuple:
-    return zstandard.ZstdCompressor(level=1, write_content_size=True), zstandard.ZstdDecompressor()
-
-
-def press(data: bytes) -> bytes:
-    """Ids on their way through a shuffle or checkpoint."""
-    return _press()[0].compress(data)
+def press(ids: bytes, dtype: np.dtype) -> bytes:
+    """Ids on their way through a shuffle or checkpoint; the first byte is the size of an id."""
+    return bytes([dtype.itemsize]) + zstandard.ZstdCompressor(level=1).compress(ids)
 
 
-def unpress(data: bytes) -> bytes:
-    return _press()[1].decompress(data)
+def unpress(data: bytes) -> np.ndarray:
+    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
