@@ -45,5 +45,5 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
     word = F.floor(F.col("value") * 1000).cast("long")
     return rows.select(
         F.col("event_id").alias("id"), F.concat(F.lit("/shots/"), F.col("event_id").cast("string")).alias("path"), F.col("user_id").cast("string").alias("camera"),
-        F.unix_seconds("ts").alias("taken"), F.array(word, word, word, word).alias("phash"), F.col("value").alias("blur"), word.alias("bytes"), F.lit(1).cast("long").alias("pixels"),
+        F.unix_seconds(F.col("ts").cast("timestamp")).alias("taken"), F.array(word, word, word, word).alias("phash"), F.col("value").alias("blur"), word.alias("bytes"), F.lit(1).cast("long").alias("pixels"),
     )
