@@ -12,8 +12,8 @@ import zstandard
 
 #: Texts outside these characters (Latin script) are always encoded by the tokenizers library.
 _PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
-#: Fixed value: the word pattern of byte-level BPE.
-WORD = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+#: Fixed value: the word pattern of byte-level BPE, without backtracking.
+WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 #: What both engines must agree on before the fast one is used in a process.
 _PROBES = (
     "The quick brown fox's 12 jumps,  over\n\n\tthe lazy dog!!! ",
@@ -70,7 +70,7 @@ class Encoder:
         if self.fast is None or _PLAIN.search(text):
             ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
             return np.array(ids, dtype=self.dtype).tobytes()
-        return self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.dtype).tobytes()
+        return np.array(self.fast.encode_ordinary(text), dtype=self.dtype).tobytes()
 
 
 @functools.lru_cache(maxsize=2)
