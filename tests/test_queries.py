@@ -1,5 +1,5 @@
 import pytest
-from conftest import same_rows
+from comparing import same_rows
 
 from heliograph.plans import queries
 
