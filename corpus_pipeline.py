@@ -7,11 +7,11 @@ documents.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from heliograph.graph import remove, shared_folder
 from heliograph.llm import decontaminate, packing, secrets, simhash, toxicity
 from heliograph.llm.common import table
 
@@ -49,10 +49,13 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to documents; what each returns is written to the shared folder and read again."""
-    parent = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heliograph-")
+    parent, before = shared_folder(spark), None
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         folder = f"{parent}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, docs, sf_dir).write.parquet(folder)
         docs = spark.read.parquet(folder)
+        if before:
+            remove(spark, before)
+        before = folder
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -20,7 +20,6 @@ from __future__ import annotations
 
 import json
 import struct
-import tempfile
 import uuid
 import zlib
 from collections.abc import Iterator
@@ -30,7 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import cut, table, tasks
+from heliograph.graph import cut, remove, shared_folder
+from heliograph.llm.common import table, tasks
 from heliograph.llm.tokens import default_path, encoder, press, unpress
 
 MAGIC = b"HRANS1\0\0"
@@ -41,6 +41,7 @@ PART_CHARS = 64_000_000  # characters of text that one range of ids is to hold
 PARTS = 1 << 13
 END = 0
 _LOW = np.uint64(1 << 31)
+_SEGMENTS = "part int, segment int, n_tokens long, payload binary"
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -90,6 +91,8 @@ def _decode(state: np.ndarray, words: np.ndarray, sizes: np.ndarray, steps: int,
         need = state < _LOW
         rank = np.cumsum(need.reshape(blocks, lanes), axis=1)
         take = (at + rank - 1).reshape(-1)[need]
+        if len(take) and take.max() >= len(words):
+            raise ValueError("damaged block: its words run out")
         state[need] = (state[need] << np.uint64(32)) | words[take]
         at = at + rank[:, -1:]
     if not (state == _LOW).all():
@@ -206,7 +209,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
             yield out()
 
     sent = docs.mapInArrow(encode_all, "part int, doc_id long, ids binary").repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
-    sent.mapInArrow(write, "part int, segment int, n_tokens long, payload binary").write.option("compression", "none").parquet(folder)
+    sent.mapInArrow(write, _SEGMENTS).write.option("compression", "none").parquet(folder)
 
 
 def read_tokens(spark: SparkSession, folder: str) -> DataFrame:
@@ -242,7 +245,7 @@ def _segments(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
 
 def _placed(spark: SparkSession, folder: str) -> DataFrame:
     """The segments with `base`, the ids of all documents before them."""
-    files = spark.read.parquet(folder)
+    files = spark.read.schema(_SEGMENTS).parquet(folder)
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("all"))
     before = Window.rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows
     bases = sizes.select("part", F.coalesce(F.sum("all").over(before.orderBy("part")), F.lit(0)).alias("before"))
@@ -253,10 +256,8 @@ def _placed(spark: SparkSession, folder: str) -> DataFrame:
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Writes the files into the shared folder, reads them back, and removes them."""
-    parent = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heliograph-")
-    folder = f"{parent}/tokens-{uuid.uuid4().hex}"
+    folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), folder)
     out = cut(token_digests(spark, folder))
-    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    remove(spark, folder)
     return out

@@ -1,63 +1,18 @@
-"""What the operators of this package share: reading, cutting lineage, words, components."""
+"""What the operators of this package share."""
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+from heliograph.graph import components, cut
 
+__all__ = ["components", "cut", "table", "tasks"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write `df` into the shared checkpoint folder and go on from there.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests on one
-    machine) a temporary one is made. The files outlive any executor, and Spark's cleaner
-    removes them when the frame is no longer referenced.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = spark.conf.get("spark.checkpoint.dir", None)
-        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="heliograph-"))
-    return df.checkpoint()
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def tasks(spark: SparkSession) -> int:
     """The number of shuffle partitions the session asks for."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
-def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
-    """Connected components of an edge list: (node, root), root the smallest node reachable.
-
-    Alternates the large-star and small-star steps, which end after O(log n) rounds and never
-    hold a component in one task: each round is an aggregation with map-side minima and an
-    equi-join that adaptive execution can split where one node has very many edges. Only the
-    number of edges and a checksum reach the driver. Loops (a = b) are ignored; an empty edge
-    list gives no rows.
-    """
-    edges = cut(edges.where(F.col(a) != F.col(b)).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct())
-    state = _state(edges)
-    while state[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u != v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
-        edges = cut(small.where("u != v").distinct())
-        now = _state(edges)
-        if now == state:
-            break
-        state = now
-    roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return roots.union(edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
-
-
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count("*"), F.sum((F.xxhash64("u", "v") % 1000003).cast("decimal(38,0)"))).first()
-    return row[0], row[1]

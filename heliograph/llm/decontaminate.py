@@ -138,7 +138,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """`docs` without the documents that hold a benchmark item; columns, rows and null ids stay."""
     ids = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(ids, F.col("doc_id").eqNullSafe(F.col("leaked_id")), "left_anti")
+    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["leaked_id"]), "left_anti")
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

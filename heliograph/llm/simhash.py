@@ -138,13 +138,15 @@ def keep_one(docs: DataFrame) -> DataFrame:
 
     Rows that share a doc_id are one document; the first by text stays. All columns are kept.
     """
-    same = F.col("doc_id").eqNullSafe(F.col("kept_id"))
+    same = lambda left, ids: left["doc_id"].eqNullSafe(ids["kept_id"])
     groups = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    repeated = cut(docs.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("kept_id")))
+    repeated = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("kept_id")))
     if repeated.isEmpty():
-        return docs.join(groups, same, "left_semi")
-    once = docs.join(repeated, same, "left_anti").join(groups, same, "left_semi")
-    again = docs.join(repeated, same, "left_semi").join(groups, same, "left_semi")
+        return docs.join(groups, same(docs, groups), "left_semi")
+    once = docs.join(repeated, same(docs, repeated), "left_anti")
+    once = once.join(groups, same(once, groups), "left_semi")
+    again = docs.join(repeated, same(docs, repeated), "left_semi")
+    again = again.join(groups, same(again, groups), "left_semi")
     first = again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
     return once.unionByName(first.select("doc_id", "row.*").select(docs.columns))
 
