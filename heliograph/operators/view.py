@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -85,6 +85,16 @@ class Filters:
         return ok
 
 
+def reset_vanished(filters: Filters, rows: DataFrame) -> Filters:
+    """Filters without a folder or year that no row has any more."""
+    gone = {}
+    if filters.folder and rows.where(Filters(folder=filters.folder).matches()).isEmpty():
+        gone["folder"] = ""
+    if filters.year and rows.where(Filters(year=filters.year).matches()).isEmpty():
+        gone["year"] = ""
+    return replace(filters, **gone)
+
+
 #: The keys of sorts; names sort in upper case.
 SORTS = {
     "scanned": "id", "name": "file_name", "size": "file_size", "captured": "exif_taken", "blur": "blur_score", "nsfw": "display_score",

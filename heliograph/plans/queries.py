@@ -136,6 +136,18 @@ def score_decisions(spark, sf_dir):
     return rows.select("id", RULE.is_explicit(whole, tile).alias("explicit"), RULE.is_unsure(whole, tile).alias("unsure"), RULE.display_score(whole, tile).alias("display"), RULE.band(whole, tile).alias("band"), scores.PRESETS["eager"].band(whole, tile).alias("eager_band"))
 
 
+@query(sql.EVIDENCE)
+def score_evidence(spark, sf_dir):
+    return catalogue(spark, sf_dir).select("id", RULE.evidence(F.col("nsfw_score"), F.col("nsfw_tile_mean")).alias("evidence"))
+
+
+@query(sql.TILES)
+def classifier_tiles(spark, sf_dir):
+    from heliograph.operators.inference import tile_rows
+
+    return tile_rows(catalogue(spark, sf_dir).withColumn("height", F.col("height") - 60))
+
+
 @query(sql.BAND_COUNTS)
 def band_counts(spark, sf_dir):
     return view.band_counts(browse(spark, sf_dir))
@@ -209,6 +221,13 @@ def group_differences(spark, sf_dir):
     return view.differences(browse(spark, sf_dir), ("width", "file_size", "blur_score"))
 
 
+@query(sql.LIVE)
+def live_group_members(spark, sf_dir):
+    """Members that are present, of groups of two or more, with a keeper in each."""
+    images = catalogue(spark, sf_dir)
+    return view.live_members(images.where("id % 4 <> 1"), *sample_groups(images))
+
+
 @query(sql.INVERT)
 def selection_invert(spark, sf_dir):
     rows = browse(spark, sf_dir)
@@ -443,6 +462,18 @@ def hourly_activity(spark, sf_dir):
     return activity(spark.read.parquet(f"{sf_dir}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))).withColumn("window_start", F.unix_seconds("window_start"))
 
 
+@query(sql.ETA)
+def progress_eta(spark, sf_dir):
+    """Time left by the rate of the last hour, for each user's events as progress."""
+    from pyspark.sql import Window
+
+    from heliograph.streaming.scan import seconds_left
+
+    rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("job"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
+    done = rows.withColumn("done", F.row_number().over(Window.partitionBy("job").orderBy("ms", "event_id")))
+    return seconds_left(done, 10_000, 3_600_000).select("event_id", F.round("eta", 3).alias("eta"))
+
+
 @query(sql.PRICING)
 def pricing_summary(spark, sf_dir):
     """An extension: the engine's host is plain Spark, so its other operators are there too."""

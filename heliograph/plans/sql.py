@@ -50,6 +50,13 @@ SELECT event_id, CASE WHEN s < 45 THEN 'just now' WHEN s / 60 < 1.5 THEN '1 minu
 DECISIONS = f"""
 WITH {_CAT}, x AS (SELECT *, coalesce(nsfw_score >= 0.85, false) OR coalesce(nsfw_tile_mean >= 0.5, false) AS explicit FROM cat)
 SELECT id, explicit, NOT explicit AND coalesce(nsfw_score >= 0.45, false) AS unsure, {_DISPLAY} AS display, {_BALANCED} AS band, {_EAGER} AS eager_band FROM x"""
+EVIDENCE = f"""
+WITH {_CAT} SELECT id, CASE WHEN nsfw_score IS NULL THEN 'not scored' WHEN nsfw_tile_mean IS NULL THEN printf('whole frame %.2f (flag 0.85)', nsfw_score)
+  WHEN nsfw_tile_mean >= 0.5 THEN printf('tiles %.2f flagged (flag 0.50), whole frame %.2f', nsfw_tile_mean, nsfw_score)
+  ELSE printf('whole frame %.2f (flag 0.85), tiles %.2f (flag 0.50)', nsfw_score, nsfw_tile_mean) END AS evidence FROM cat"""
+TILES = f"""
+WITH {_CAT}, t AS (SELECT unnest(range(0, 9)) AS tile), r AS (SELECT id, tile, width, height - 60 AS height, [0.0::DOUBLE, 0.3, 0.6][tile % 3 + 1] AS x, [0.0::DOUBLE, 0.3, 0.6][tile // 3 + 1] AS y FROM cat, t)
+SELECT id, tile::INT AS tile, floor(x * width)::INT AS left, floor(y * height)::INT AS top, floor(0.4::DOUBLE * width)::INT AS w, floor(0.4::DOUBLE * height)::INT AS h FROM r WHERE floor(0.4::DOUBLE * width) >= 32 AND floor(0.4::DOUBLE * height) >= 32"""
 BAND_COUNTS = _VIEW + "SELECT band, count(*) AS n FROM vw GROUP BY band"
 FACET = _VIEW + "SELECT id, folder, band, dupe_kind FROM vw WHERE {where}"
 SORT = _VIEW + "SELECT id AS image_id, row_number() OVER (ORDER BY {order}) AS place FROM vw"
@@ -69,6 +76,8 @@ DIFFERENCES = _VIEW + """, t AS (SELECT *, max(width) OVER g AS m1, max(file_siz
     count_if(width = m1) AS c1, count_if(file_size = m2) AS c2, count_if(blur_score = m3) AS c3 FROM t GROUP BY 1)
 SELECT dupe_group, id AS image_id, width_differs, coalesce(width = m1 AND c1 = 1 AND width <> 0, false) AS width_best, file_size_differs, coalesce(file_size = m2 AND c2 = 1 AND file_size <> 0, false) AS file_size_best,
   blur_score_differs, coalesce(blur_score = m3 AND c3 = 1 AND blur_score <> 0, false) AS blur_score_best FROM t JOIN a ON dg = dupe_group"""
+LIVE = "WITH " + _MEMBERS + """, p AS (SELECT * FROM mem WHERE image_id % 4 <> 1), l AS (SELECT *, count(*) OVER g AS c, bool_or(is_keeper) OVER g AS k, min(image_id) OVER g AS f FROM p WINDOW g AS (PARTITION BY group_id))
+SELECT group_id, kind, image_id, CASE WHEN k THEN is_keeper ELSE image_id = f END AS is_keeper FROM l WHERE c >= 2"""
 INVERT = _VIEW + "SELECT id FROM vw WHERE (id % 3 = 0) <> (band IN ('likely', 'unsure'))"
 SELECT_EXTRAS = _VIEW + f"SELECT id FROM vw WHERE {EXTRA}"
 REJECTS = f"WITH {_CAT} SELECT count(*) AS n, CAST(sum(file_size) AS BIGINT) AS bytes FROM cat WHERE id % 4 <> 1"
@@ -146,5 +155,9 @@ _LOG = "WITH l AS (SELECT event_id AS id, 'b' || user_id % 20 AS batch_id, floor
 UNDO_BATCHES = _LOG + " SELECT batch_id, min(ts_utc) AS ts_utc, count(*) AS total, CAST(sum(restored) AS BIGINT) AS restored FROM l GROUP BY batch_id"
 UNDO_ITEMS = _LOG + " SELECT batch_id, id, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY id) AS place FROM l) WHERE place <= 8"
 ACTIVITY = "SELECT floor(epoch(date_trunc('hour', ts)))::BIGINT AS window_start, event_type, count(*) AS n FROM events GROUP BY 1, 2"
+ETA = """
+WITH r AS (SELECT user_id AS job, event_id, floor(epoch(ts) * 1000)::BIGINT AS ms FROM events), d AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ms, event_id) AS done FROM r),
+  w AS (SELECT *, first_value(ms) OVER q AS m0, min(done) OVER q AS d0 FROM d WINDOW q AS (PARTITION BY job ORDER BY ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW))
+SELECT event_id, CASE WHEN ms > m0 AND done > d0 AND done < 10000 THEN round((10000 - done) / ((done - d0) / ((ms - m0) / 1000)), 3) END AS eta FROM w"""
 PRICING = "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue, count(*) AS n_lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"
 ORDER_YEARS = "SELECT c_mktsegment, CAST(year(o_orderdate) AS INT) AS year, count(*) AS orders, round(sum(o_totalprice), 0) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"

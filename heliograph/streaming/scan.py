@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.functions.labels import format_eta
@@ -38,6 +38,17 @@ def activity(events: DataFrame, late: str = "10 minutes", width: str = "1 hour")
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n")
 
 
+def seconds_left(progress: DataFrame, total: int, window: int = 4000) -> DataFrame:
+    """`progress` (job, ms, done) with eta, the seconds left by the rate over the last `window` milliseconds; null where
+    that can't be said. The form of `Eta` for logs of many jobs."""
+    recent = Window.partitionBy("job").orderBy("ms").rangeBetween(-window, 0)
+    first = F.first(F.struct("ms", "done")).over(recent)
+    elapsed, more = F.col("ms") - first["ms"], F.col("done") - first["done"]
+    rate = more / (elapsed / 1000)
+    known = (elapsed > 0) & (more > 0) & (F.col("done") < total)
+    return progress.withColumn("eta", F.when(known, (total - F.col("done")) / rate))
+
+
 class Eta:
     """Time left by the rate over the samples of the last `window` milliseconds."""
 

@@ -289,3 +289,41 @@ def test_exif(spark):
 def test_sizes(spark):
     df = spark.createDataFrame([(999,), (1500,), (2_600_000,), (3_450_000_000,)], "n long")
     assert [r[0] for r in df.select(labels.format_bytes(F.col("n"))).collect()] == ["999 bytes", "2 KB", "3 MB", "3.5 GB"]
+
+
+def test_thumbnails(spark):
+    import numpy as np
+
+    from heliograph.operators.thumbs import fitted, thumbnails
+
+    content = b"P5 800 400 255\n" + bytes(320_000)
+    rows = spark.createDataFrame([("/a", bytearray(content)), ("/b", bytearray(b"x"))], "path string, content binary")
+    out = {r.path: r for r in thumbnails(rows, decode_pgm).collect()}
+    assert decode_pgm(bytes(out["/a"].thumb)).shape == (160, 320) and out["/a"].thumb_path[:3] == out["/a"].thumb_path[3:5] + "/"
+    assert out["/b"].thumb is None and fitted(np.ones((3, 9)), 320).shape == (3, 9)
+    assert np.allclose(fitted(np.arange(16.0).reshape(4, 4), 2), [[2.5, 4.5], [10.5, 12.5]])
+
+
+def test_selection_store(tmp_path):
+    from heliograph.sources.session_store import SelectionStore
+
+    path = str(tmp_path / "s.json")
+    store = SelectionStore(path, pause=1000)
+    store.mutate(lambda s: s.update({3, 1}))
+    store.mutate(lambda s: s.discard(3))
+    store.flush()
+    assert SelectionStore(path).selected == {1}
+    (tmp_path / "s.json").write_text("{broken")
+    assert SelectionStore(path).selected == set()
+
+
+def test_vanished_facets(spark):
+    rows = view.view(images(spark, [{"id": 1, "path": "/p/x", "exif_taken": 0}]), *group_tables(spark, [(1, "exact", [5, 6])]))
+    kept = view.Filters(folder="/p", year="1970")
+    assert view.reset_vanished(kept, rows) == kept
+    assert view.reset_vanished(view.Filters(folder="/q", year="1999"), rows) == view.Filters()
+
+
+def test_seconds_left(spark):
+    df = spark.createDataFrame([("a", 0, 0), ("a", 1000, 10), ("a", 9000, 20), ("b", 5, 100)], "job string, ms long, done long")
+    assert [r.eta for r in scan.seconds_left(df, 100).orderBy("job", "ms").collect()] == [None, 9.0, None, None]
