@@ -55,7 +55,8 @@ def plan(rows: DataFrame, structure: str, destination: str, source_root: str = "
     brackets), and folders where files exist, are settled in turn instead, folder and stem at a time.
     existing: path and content_hash of files at the destination.
     """
-    rows = rows.select("id", F.col("content_hash").alias("content"), directory(structure, destination, source_root).alias("dir"), file_name(F.col("path")).alias("name"))
+    unknown = F.concat(F.lit("unknown "), F.col("id").cast("string"))  # never taken for a copy
+    rows = rows.select("id", F.coalesce("content_hash", unknown).alias("content"), directory(structure, destination, source_root).alias("dir"), file_name(F.col("path")).alias("name"))
     family = F.regexp_replace(F.regexp_replace("name", r"(\.[^.]*)$", ""), r"( \(\d+\))+$", "")
     ext = F.regexp_extract("name", r"(\.[^.]*)$", 1)
     rows = rows.withColumn("family", F.concat_ws("\0", family, ext))
@@ -65,8 +66,9 @@ def plan(rows: DataFrame, structure: str, destination: str, source_root: str = "
         found = found.withColumn("family", F.concat_ws("\0", family, ext))
         hard = hard.unionByName(found.select("dir", "family")).distinct()
     easy = rows.join(hard, ["dir", "family"], "left_anti")
-    same = Window.partitionBy("dir", "name")
-    first = easy.withColumn("first", F.min("id").over(Window.partitionBy("dir", "name", "content"))).withColumn("slot", F.dense_rank().over(same.orderBy("first")))
+    heads = easy.groupBy("dir", "name", "content").agg(F.min("id").alias("first"))  # so a window holds contents, not rows
+    heads = heads.withColumn("slot", F.row_number().over(Window.partitionBy("dir", "name").orderBy("first")))
+    first = easy.join(heads, ["dir", "name", "content"])
     stem, tail = F.regexp_replace("name", r"(\.[^.]*)$", ""), F.regexp_extract("name", r"(\.[^.]*)$", 1)
     slot = F.when(F.col("slot") == 1, F.col("name")).otherwise(F.concat(stem, F.lit(" ("), F.col("slot").cast("string"), F.lit(")"), tail))
     status = F.when(F.col("slot") > LAST_NUMBER, "failed").when(F.col("id") == F.col("first"), "copy").otherwise("skipped")

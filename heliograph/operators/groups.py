@@ -9,7 +9,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph import schema
@@ -22,17 +22,21 @@ from heliograph.sources.catalog import Settings, detector_rows
 PAIR_CAP = 2_000_000
 
 
-def keeper_order(rule: str = "resolution") -> list[Column]:
-    """highest resolution: pixels, bytes, path; sharpest: blur (none last) before them."""
-    order = [F.desc("pixels"), F.desc("bytes"), F.asc("path")]
-    return [F.desc_nulls_last("blur"), *order] if rule == "sharpest" else order
+def keeper_rank(rule: str = "resolution") -> Column:
+    """The keeper has the least of these. resolution: pixels, bytes, then path; sharpest: blur (none last) before them."""
+    size = [-F.col("pixels"), -F.col("bytes"), F.col("path"), F.col("image_id")]
+    return F.struct(F.col("blur").isNull(), -F.col("blur"), *size) if rule == "sharpest" else F.struct(*size)
 
 
 def with_keeper(members: DataFrame, rows: DataFrame, rule: str = "resolution") -> DataFrame:
-    """Members (key, image_id, ...) with is_keeper: the first of each group in the keeper's order."""
+    """Members (key, image_id) with is_keeper: one of each group.
+
+    The keeper is found by an aggregation with map-side minima, so a group with a third of all rows is no
+    task's burden; the join back is one that adaptive execution can split.
+    """
     facts = rows.select(F.col("id").alias("image_id"), "path", "pixels", "bytes", *(["blur"] if rule == "sharpest" else []))
-    first = F.row_number().over(Window.partitionBy("key").orderBy(*keeper_order(rule)))
-    return members.join(facts, "image_id").withColumn("is_keeper", first == 1).select(*members.columns, "is_keeper")
+    best = members.join(facts, "image_id").groupBy("key").agg(F.min_by("image_id", keeper_rank(rule)).alias("keeper"))
+    return members.join(best, "key").withColumn("is_keeper", F.col("image_id") == F.col("keeper")).select(*members.columns, "is_keeper")
 
 
 def exact_members(images: DataFrame, root: str | None = None) -> DataFrame:

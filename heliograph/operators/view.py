@@ -21,12 +21,11 @@ def live_members(images: DataFrame, groups: DataFrame, members: DataFrame) -> Da
 
     Where no present member is a keeper, the one with the lowest id is.
     """
-    present = members.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi")
-    by = Window.partitionBy("group_id")
-    rows = present.select("group_id", "image_id", F.count("*").over(by).alias("n"), F.max("is_keeper").over(by).alias("any"), F.min("image_id").over(by).alias("first"), "is_keeper").where("n >= 2")
-    keeper = F.when(F.col("any"), F.col("is_keeper")).otherwise(F.col("image_id") == F.col("first"))
+    present = members.join(images.select(F.col("id").alias("image_id")), "image_id", "left_semi").select("group_id", "image_id", "is_keeper")
+    facts = present.groupBy("group_id").agg(F.count("*").alias("n"), F.max("is_keeper").alias("any"), F.min("image_id").alias("first")).where("n >= 2")
     kinds = groups.where(F.col("kind").isin(*schema.KIND_BITS)).select(F.col("id").alias("group_id"), "kind")
-    return rows.select("group_id", "image_id", keeper.alias("is_keeper")).join(kinds, "group_id")
+    keeper = F.when(F.col("any"), F.col("is_keeper")).otherwise(F.col("image_id") == F.col("first"))
+    return present.join(facts.join(kinds, "group_id"), "group_id").select("group_id", "image_id", keeper.alias("is_keeper"), "kind")
 
 
 def view(images: DataFrame, groups: DataFrame, members: DataFrame, rule: Rule = BALANCED) -> DataFrame:
