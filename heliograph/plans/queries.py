@@ -14,7 +14,7 @@ from heliograph.operators.similarity import burst_pairs, pairs_banded, pairs_bru
 from heliograph.plans import sql
 from heliograph.sources import catalog as reading
 from heliograph.sources import files
-from heliograph.sources.adapters import catalogue, grids, shots
+from heliograph.sources.adapters import catalogue, grids, order_shots, shots
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -267,6 +267,12 @@ def variant_pairs_brute(spark, sf_dir):
     return pairs_brute(grids(spark, sf_dir), THRESHOLD, 1)
 
 
+@query(sql.ORDER_PAIRS)
+def variant_pairs_orders(spark, sf_dir):
+    """Full signatures of 272 bits at the size of the orders table, 16 bits, rotations on."""
+    return pairs_banded(order_shots(spark, sf_dir), 16)
+
+
 @query(sql.BURSTS)
 def burst_pairs_600(spark, sf_dir):
     return burst_pairs(shots(spark, sf_dir), WINDOW, 64, 1)

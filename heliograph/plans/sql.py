@@ -105,6 +105,9 @@ PAIRS = f"""
 WITH s AS (SELECT vec_id AS id, {', '.join(f'{_bits(t)} AS s{t}' for t in range(4))} FROM embeddings),
   d AS (SELECT x.id AS a, y.id AS b, CAST(least({', '.join(f'hamming(x.s{t}, y.s0)' for t in range(4))}) AS INT) AS distance FROM s x JOIN s y ON x.id < y.id)
 SELECT a, b, distance FROM d WHERE distance <= 12"""
+ORDER_PAIRS = """
+SELECT x.o_orderkey AS a, y.o_orderkey AS b, (CASE WHEN x.o_orderkey % 64 <> y.o_orderkey % 64 THEN 2 ELSE 0 END + CASE WHEN x.o_orderkey % 61 <> y.o_orderkey % 61 THEN 2 ELSE 0 END)::INT AS distance
+FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey"""
 BURSTS = """
 WITH e AS (SELECT event_id AS id, user_id, floor(epoch(ts))::BIGINT AS t, floor(value * 1000)::BIGINT AS w FROM events)
 SELECT x.id AS a, y.id AS b, CAST(bit_count(xor(x.w, y.w)) AS INT) AS distance FROM e x JOIN e y ON x.user_id = y.user_id AND (y.t > x.t OR (y.t = x.t AND y.id > x.id)) AND y.t - x.t <= 600"""

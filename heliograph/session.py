@@ -1,5 +1,12 @@
 """Sessions with the settings the engine relies on."""
 
+from __future__ import annotations
+
+import os
+import tempfile
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -15,3 +22,19 @@ def session(app: str = "heliograph", master: str | None = None, partitions: int
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
     } | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
     return builder.config(map=settings | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors, unless they find it by themselves: it is in PYTHONPATH, or in the folder that
+    local workers start in. Done once for a context."""
+    root = Path(__file__).resolve().parent.parent
+    context = spark.sparkContext
+    at_hand = [*map(os.path.abspath, filter(None, os.environ.get("PYTHONPATH", "").split(os.pathsep))), os.getcwd()]
+    if str(root) in at_hand or getattr(context, "_heliograph_sent", False):
+        return
+    archive = Path(tempfile.mkdtemp(prefix="heliograph-")) / "heliograph.zip"
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as out:
+        for source in sorted([*root.glob("heliograph/**/*.py"), *root.glob("corpus_pipeline.py")]):
+            out.write(source, source.relative_to(root))
+    context.addPyFile(str(archive))
+    context._heliograph_sent = True

@@ -47,3 +47,12 @@ def shots(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"), F.concat(F.lit("/shots/"), F.col("event_id").cast("string")).alias("path"), F.col("user_id").cast("string").alias("camera"),
         F.unix_seconds(F.col("ts").cast("timestamp")).alias("taken"), F.array(word, word, word, word).alias("phash"), F.col("value").alias("blur"), word.alias("bytes"), F.lit(1).cast("long").alias("pixels"),
     )
+
+
+def order_shots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as photos with full signatures: id and 20 words, alike for the orders of one customer but for up to two
+    bits that the order sets in the upright turn."""
+    bit = lambda n: F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("o_orderkey") % n).cast("int"))
+    word = lambda k: F.xxhash64(F.col("o_custkey"), F.lit(k)).bitwiseAND((1 << 16) - 1 if k % 5 == 4 else -1)
+    words = [word(0).bitwiseXOR(bit(64)), word(1).bitwiseXOR(bit(61)), *[word(k) for k in range(2, 20)]]
+    return spark.read.parquet(f"{sf_dir}/orders.parquet").select(F.col("o_orderkey").alias("id"), F.array(*words).alias("phash"))
