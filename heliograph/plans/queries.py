@@ -477,7 +477,7 @@ def progress_eta(spark, sf_dir):
 
     rows = spark.read.parquet(f"{sf_dir}/events.parquet").select(F.col("user_id").alias("job"), "event_id", F.unix_millis(F.col("ts").cast("timestamp")).alias("ms"))
     done = rows.withColumn("done", F.row_number().over(Window.partitionBy("job").orderBy("ms", "event_id")))
-    return seconds_left(done, 10_000, 3_600_000).select("event_id", F.round("eta", 3).alias("eta"))
+    return seconds_left(done, 10_000, 3_600_000).select("event_id", F.round("eta", 0).alias("eta"))
 
 
 @query(sql.PRICING)

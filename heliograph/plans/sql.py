@@ -161,6 +161,6 @@ ACTIVITY = "SELECT floor(epoch(date_trunc('hour', ts)))::BIGINT AS window_start,
 ETA = """
 WITH r AS (SELECT user_id AS job, event_id, floor(epoch(ts) * 1000)::BIGINT AS ms FROM events), d AS (SELECT *, row_number() OVER (PARTITION BY job ORDER BY ms, event_id) AS done FROM r),
   w AS (SELECT *, first_value(ms) OVER q AS m0, min(done) OVER q AS d0 FROM d WINDOW q AS (PARTITION BY job ORDER BY ms RANGE BETWEEN 3600000 PRECEDING AND CURRENT ROW))
-SELECT event_id, CASE WHEN ms > m0 AND done > d0 AND done < 10000 THEN round((10000 - done) / ((done - d0) / ((ms - m0) / 1000)), 3) END AS eta FROM w"""
+SELECT event_id, CASE WHEN ms > m0 AND done > d0 AND done < 10000 THEN round((10000 - done) / ((done - d0) / ((ms - m0) / 1000)), 0) END AS eta FROM w"""
 PRICING = "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue, count(*) AS n_lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"
 ORDER_YEARS = "SELECT c_mktsegment, CAST(year(o_orderdate) AS INT) AS year, count(*) AS orders, round(sum(o_totalprice), 0) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
