@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.graph import cut, remove, shared_folder
-from heliograph.llm.common import table, tasks
+from heliograph.llm.common import pieces, table, tasks
 from heliograph.llm.tokens import default_path, encoder, press, unpress
 
 MAGIC = b"HRANS1\0\0"
@@ -185,7 +185,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         end = np.array([END], dtype=encode.dtype).tobytes()
-        for batch in batches:
+        for batch in pieces(batches):
             ids = [press(encode(text) + end, encode.dtype) for text in batch["text"].to_pylist()]
             part = [0 if i is None else int(np.searchsorted(bounds, i, side="right")) for i in batch["doc_id"].to_pylist()]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch["doc_id"], pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])

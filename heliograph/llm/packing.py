@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import cut, table, tasks
+from heliograph.llm.common import cut, pieces, table, tasks
 from heliograph.llm.tokens import default_path, encoder, press, unpress
 
 LENGTH = 2048
@@ -77,7 +77,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         end = np.array([END], dtype=encode.dtype).tobytes()
-        for batch in batches:
+        for batch in pieces(batches):
             ids, cells = [], []
             for text in batch["text"].to_pylist():
                 own = encode(text)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import cut, table
+from heliograph.llm.common import cut, pieces, table
 
 KINDS = ("email", "ip", "card", "phone")
 #: A trusted pattern has this many different seeds of its kind around it, and this score.
@@ -104,7 +104,7 @@ _MAYBE = re.compile(r"[0-9@]")
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in pieces(batches):
         base, near = [], []
         for text in batch["text"].to_pylist():
             if not text or not _MAYBE.search(text):

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table
+from heliograph.llm.common import pieces, table
 
 try:  # the parser of the standard library's regexes
     from re import _constants as _c
@@ -183,7 +183,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
-        for batch in batches:
+        for batch in pieces(batches):
             found = scanner.scan([x or "" for x in batch["text"].to_pylist()])
             spans = [[{"kind": rules[k].kind, "start": s, "end": e} for s, k, e in x] for x in found]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(spans, kind)], names=["doc_id", "spans"])
@@ -200,7 +200,7 @@ def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mark: str = "[SECRE
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = Scanner(rules)
-        for batch in batches:
+        for batch in pieces(batches):
             texts = batch["text"].to_pylist()
             found = scanner.scan([x or "" for x in texts])
             new = [_without(t, s, mark) if s else t for t, s in zip(texts, found)]

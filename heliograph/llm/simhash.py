@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import components, cut, table
+from heliograph.llm.common import components, cut, pieces, table
 
 CROWD = 64
 SHINGLE = 3
@@ -51,7 +51,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """(doc_id, fp) with fp the fingerprint as a signed long, one row for each row of `docs`."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             fp = np.array([fingerprint(x) for x in batch["text"].to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp)], names=["doc_id", "fp"])
 

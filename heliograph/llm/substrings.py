@@ -24,7 +24,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table, tasks
+from heliograph.llm.common import pieces, table, tasks
 
 WINDOW = 35
 RUN = 17
@@ -119,7 +119,7 @@ def sketch(docs: DataFrame, window: int = WINDOW) -> bytes:
                     rows.append(((row << (LOG_WIDTH - LOG_PART)) + int(parts[a]), inside.tobytes(), np.packbits(n[a:b] > 1).tobytes()))
             return _frame(list(zip(*rows)), (pa.int32(), pa.binary(), pa.binary()), ["part", "cells", "twice"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for text in batch["text"].to_pylist():
                 codes = reader.codes(text)
                 if len(codes) >= window:
@@ -230,7 +230,7 @@ def _repeated(docs: DataFrame, bits: Broadcast, window: int, n: int) -> DataFram
             columns = [[*(k for k, _, _ in sent), *(k for k, _ in local)], [*(x for _, x, _ in sent), *(None for _ in local)], [*(x for _, _, x in sent), *(x for _, x in local)]]
             return _frame(columns, (pa.int32(), pa.binary(), pa.binary()), ["part", "hashes", "cover"])
 
-        for batch in batches:
+        for batch in pieces(batches):
             for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 codes = reader.codes(text)
                 if len(codes) < window:
@@ -288,13 +288,13 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     bits, n = spark.sparkContext.broadcast(sketch(docs, window)), tasks(spark)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             bucket = [_key(i, t or "") % n for i, t in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist())]
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), batch["doc_id"], batch["text"]], names=["bucket", "doc_id", "text"])
 
     def apply(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bucket, covers = -1, {}
-        for batch in batches:
+        for batch in pieces(batches):
             ids, n_words, n_removed, texts = [], [], [], []
             for b, doc_id, text, cover in zip(*(batch[c].to_pylist() for c in ("bucket", "doc_id", "text", "cover"))):
                 if b != bucket:

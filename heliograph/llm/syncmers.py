@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table, tasks
+from heliograph.llm.common import pieces, table, tasks
 
 K, S = 16, 8
 #: Texts of fewer than SHORT characters also have the anchors of shorter runs.
@@ -153,7 +153,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     firsts = {row.doc_id: tops[k - 1].part for k, row in enumerate(tops)}
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch["doc_id"].to_pylist()
             own = [place(i) for i in ids]
             take = [k for k, i in enumerate(ids) if i in firsts]
@@ -180,7 +180,7 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, before, seen = None, None, False
-        for batch in batches:
+        for batch in pieces(batches):
             rows = []
             for p, guest, doc_id, text in zip(*(batch[c].to_pylist() for c in ("part", "guest", "doc_id", "text"))):
                 if p != part:

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import table
+from heliograph.llm.common import pieces, table
 
 #: Labelled rows that are fitted at most, and terms of the vocabulary at most.
 MAX_EXAMPLES, MAX_TERMS = 10_000, 512
@@ -144,7 +144,7 @@ class Model:
         counts = known_terms(words_of(text), self.vocabulary, self.stems)
         key = tuple(sorted(counts.items()))
         if key not in self.seen:
-            if len(self.seen) > 50_000:
+            if len(self.seen) > 20_000:
                 self.seen.clear()
             self.seen[key] = self._score(counts)
         return self.seen[key]
@@ -177,7 +177,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         toxic, clean = Counter(), Counter()
         rows = [0, 0]
-        for batch in batches:
+        for batch in pieces(batches):
             ids = batch["doc_id"].to_pylist()
             for k in [k for k, i in enumerate(ids) if i in sent.value]:
                 label = sent.value[ids[k]]
@@ -210,7 +210,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, ma
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows, df = 0, Counter()
         entries: dict[tuple, list[int]] = {}
-        for batch in batches:
+        for batch in pieces(batches):
             for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
                 found = known_terms(words_of(text), number, stems)
                 rows += 1
@@ -241,7 +241,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
-        for batch in batches:
+        for batch in pieces(batches):
             found = [sent.value.score(x) for x in batch["text"].to_pylist()]
             evidence = [[{"doc_id": i, "cosine": c} for i, c in e] for _, e in found]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
@@ -255,7 +255,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in pieces(batches):
             yield batch.filter(pa.array([sent.value.score(x)[0] < threshold for x in batch["text"].to_pylist()], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
