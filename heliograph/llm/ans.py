@@ -37,8 +37,7 @@ MAGIC = b"HRANS1\0\0"
 SCALE = 18  # bits of the frequency table's total
 LANES, STEPS = 512, 512  # a block is LANES * STEPS ids
 SEGMENT = 1 << 21  # ids after which a segment is closed
-PART_CHARS = 64_000_000  # characters of text that one range of ids is to hold
-PARTS = 1 << 13
+PARTS = 1 << 13  # ranges of document ids at most
 END = 0
 _LOW = np.uint64(1 << 31)
 _SEGMENTS = "part int, segment int, n_tokens long, payload binary"
@@ -172,15 +171,13 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Encode the texts of `docs` and write their ids, each document ended by END, into `folder`.
 
     Documents are ordered by ascending doc_id, nulls first; rows that repeat a doc_id are documents of
-    their own, ordered by their ids. Ranges of doc_id of about PART_CHARS characters are cut by quantiles
-    of the column alone, so texts are read and encoded once, and only compressed ids are shuffled.
+    their own, ordered by their ids. There are as many ranges of doc_id as shuffle partitions, cut by
+    quantiles of the column alone, so texts are read and encoded once, and only compressed ids are shuffled.
     """
     path = path or default_path()
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    parts = int(min(PARTS, max(1, chars // PART_CHARS, min(tasks(docs.sparkSession), chars // 1_000_000))))
-    probabilities = [k / parts for k in range(1, parts)]
-    bounds = docs.approxQuantile("doc_id", probabilities, 0.1 / parts) if probabilities else []
+    parts = min(PARTS, tasks(docs.sparkSession))
+    bounds = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
