@@ -24,8 +24,8 @@ K, S = 16, 8
 #: Texts of fewer than SHORT characters also have the anchors of shorter runs.
 SHORT, SHORT_K, SHORT_S = 128, 4, 2
 ANCHORS = 64
-#: Ranges of doc_id are cut to about this many characters; there are at most PARTS of them.
-PART_CHARS, PARTS = 16_000_000, 1 << 13
+#: Ranges of doc_id at most; else there are as many as shuffle partitions.
+PARTS = 1 << 13
 #: Characters whose hashes are held at once; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
 
@@ -133,8 +133,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     document after each is in its task. Texts are shuffled once. Ties of doc_id are sorted by text.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    size, rows = docs.agg(F.sum(F.length("text")), F.count("*")).first()
-    parts = int(min(PARTS, max(1, (size or 0) // PART_CHARS, min(tasks(docs.sparkSession), rows // 50))))
+    parts = min(PARTS, tasks(docs.sparkSession))
     bounds = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
     bounds = sorted({int(b) for b in bounds})
     place = lambda i: 0 if i is None else int(np.searchsorted(bounds, i, side="right"))
