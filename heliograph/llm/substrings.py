@@ -4,7 +4,7 @@ A window is `WINDOW` consecutive words of one document. Its anchor is the smalle
 19 runs of 17 words: equal windows have equal anchors, so the number of places where an anchor is a
 window's smallest run is at least the number of windows with that content.
 
-Pass 1 counts the anchors' places in a count-min sketch of fixed size, one part for each task, merged
+Pass 1 counts the anchors' places in a count-min sketch of a size bound, one part for each task, merged
 by cell range. The merged sketch overestimates only. Pass 2 reads the texts again and sends on only
 windows whose anchor is estimated to be at two or more places, keyed by 96 bits of hashes of all their
 words. Windows that a task meets twice are settled there, and it sends one representative; so a
@@ -28,9 +28,9 @@ from heliograph.llm.common import pieces, table, tasks
 
 WINDOW = 35
 RUN = 17
-#: Cells of a row of the sketch, rows, and cells in the part that one merging step holds. The merged
-#: sketch is DEPTH * 2**LOG_WIDTH bits, 16 MB, whatever the input.
-LOG_WIDTH, DEPTH, LOG_PART = 26, 2, 20
+#: Rows of the sketch, and cells (as powers of two) in the part that one merging step holds and in a
+#: row at most. The merged sketch has one bit for each cell, so it never exceeds DEPTH * 2**MOST bits, 128 MB.
+DEPTH, LOG_PART, MOST = 2, 20, 29
 #: Windows that a task gathers before it settles and sends them.
 CHUNK = 2_000_000
 _ODD = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
@@ -97,12 +97,21 @@ class _Reader:
         return runs[_sliding(np.concatenate([pad, anchors, pad]), width, np.maximum) == runs]
 
 
-def _cells(anchors: np.ndarray) -> list[np.ndarray]:
-    mask = np.uint64((1 << LOG_WIDTH) - 1)
-    return [((anchors * np.uint64(_ODD[2]) if row else anchors) >> np.uint64(64 - LOG_WIDTH)) & mask for row in range(DEPTH)]
+def _cells(anchors: np.ndarray, width: int) -> list[np.ndarray]:
+    return [(anchors * np.uint64(_ODD[2]) if row else anchors) >> np.uint64(64 - width) for row in range(DEPTH)]
 
 
-def sketch(docs: DataFrame, window: int = WINDOW) -> bytes:
+def width_for(docs: DataFrame) -> int:
+    """log2 of a row's cells: four for each anchor that the texts may have, within the bounds.
+
+    A text has an anchor for some 60 characters. Beyond the largest width the sketch still only overestimates,
+    and more windows are sent than need be.
+    """
+    chars = docs.agg(F.sum(F.length("text"))).first()[0] or 0
+    return min(MOST, max(LOG_PART, (4 * chars // 60).bit_length()))
+
+
+def sketch(docs: DataFrame, width: int, window: int = WINDOW) -> bytes:
     """The merged sketch as bits, row by row: set where a cell counts two places or more."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,13 +119,13 @@ def sketch(docs: DataFrame, window: int = WINDOW) -> bytes:
 
         def out() -> pa.RecordBatch:
             places, rows = np.concatenate(held), []
-            for row, cells in enumerate(_cells(places)):
+            for row, cells in enumerate(_cells(places, width)):
                 cells, n = np.unique(cells, return_counts=True)
                 parts = cells >> np.uint64(LOG_PART)
                 cuts = np.flatnonzero(np.diff(parts, prepend=parts[:1] + np.uint64(1)))
                 for a, b in zip(cuts, [*cuts[1:], len(cells)]):
                     inside = (cells[a:b] & np.uint64((1 << LOG_PART) - 1)).astype("<u4")
-                    rows.append(((row << (LOG_WIDTH - LOG_PART)) + int(parts[a]), inside.tobytes(), np.packbits(n[a:b] > 1).tobytes()))
+                    rows.append(((row << (width - LOG_PART)) + int(parts[a]), inside.tobytes(), np.packbits(n[a:b] > 1).tobytes()))
             return _frame(list(zip(*rows)), (pa.int32(), pa.binary(), pa.binary()), ["part", "cells", "twice"])
 
         for batch in pieces(batches):
@@ -151,17 +160,17 @@ def sketch(docs: DataFrame, window: int = WINDOW) -> bytes:
 
     parts = docs.select("text").mapInArrow(count, "part int, cells binary, twice binary")
     merged = parts.repartition(tasks(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary")
-    bits = bytearray(DEPTH << (LOG_WIDTH - 3))
+    bits = bytearray(DEPTH << (width - 3))
     step = 1 << (LOG_PART - 3)
-    for row in merged.toLocalIterator():  # at most DEPTH * 2**(LOG_WIDTH - LOG_PART) rows
+    for row in merged.toLocalIterator():  # at most DEPTH * 2**(width - LOG_PART) rows
         bits[row.part * step : (row.part + 1) * step] = zlib.decompress(row.bits)
     return bytes(bits)
 
 
 def _estimated_repeated(bits: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    found = np.ones(len(anchors), dtype=bool)
-    for row, cells in enumerate(_cells(anchors)):
-        octets = bits[(row << (LOG_WIDTH - 3)) + (cells >> np.uint64(3)).astype(np.int64)]
+    found, width = np.ones(len(anchors), dtype=bool), (8 * len(bits) // DEPTH).bit_length() - 1
+    for row, cells in enumerate(_cells(anchors, width)):
+        octets = bits[(row << (width - 3)) + (cells >> np.uint64(3)).astype(np.int64)]
         found &= (octets >> (np.uint64(7) - (cells & np.uint64(7))).astype(np.uint8)) & 1 == 1
     return found
 
@@ -285,7 +294,7 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     stay as they are. Rows that repeat a document are places of their own, so they lose their windows.
     """
     spark = docs.sparkSession
-    bits, n = spark.sparkContext.broadcast(sketch(docs, window)), tasks(spark)
+    bits, n = spark.sparkContext.broadcast(sketch(docs, width_for(docs), window)), tasks(spark)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
