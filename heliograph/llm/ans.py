@@ -57,19 +57,20 @@ def frequencies(counts: np.ndarray) -> np.ndarray:
 def _encode(symbols: np.ndarray, freq: np.ndarray, cum: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """symbols: (blocks, steps, lanes). First states (blocks, lanes), words, words of each block."""
     blocks, steps, lanes = symbols.shape
+    by_step = np.ascontiguousarray(symbols.transpose(1, 0, 2)).reshape(steps, -1)
     state = np.full(blocks * lanes, _LOW, dtype=np.uint64)
     owner = np.repeat(np.arange(blocks, dtype=np.uint16), lanes)
+    limit, rest = freq << np.uint64(63 - SCALE), np.uint64(1 << SCALE) - freq
     words, owners = [], []
     for t in range(steps - 1, -1, -1):
-        s = symbols[:, t].reshape(-1)
-        f = freq[s]
-        full = state >= f << np.uint64(63 - SCALE)
-        if full.any():
-            words.append(state[full].astype(np.uint32))
-            owners.append(owner[full])
-            state[full] >>= np.uint64(32)
-        q = state // f
-        state = (q << np.uint64(SCALE)) + (state - q * f) + cum[s]
+        s = by_step[t]
+        full = np.flatnonzero(state >= limit.take(s))
+        if len(full):
+            x = state.take(full)
+            words.append(x.astype(np.uint32))
+            owners.append(owner.take(full))
+            state[full] = x >> np.uint64(32)
+        state += state // freq.take(s) * rest.take(s) + cum.take(s)
     words.reverse()
     owners.reverse()
     words, owners = (np.concatenate(words), np.concatenate(owners)) if words else (np.zeros(0, np.uint32), np.zeros(0, np.uint16))
@@ -84,16 +85,18 @@ def _decode(state: np.ndarray, words: np.ndarray, sizes: np.ndarray, steps: int,
     mask = np.uint64((1 << SCALE) - 1)
     for t in range(steps):
         slot = state & mask
-        s = slots[slot.astype(np.int64)]
+        s = slots.take(slot.view(np.int64))
         out[:, t] = s.reshape(blocks, lanes)
-        state = freq[s] * (state >> np.uint64(SCALE)) + slot - cum[s]
+        state = freq.take(s) * (state >> np.uint64(SCALE)) + slot - cum.take(s)
         need = state < _LOW
         rank = np.cumsum(need.reshape(blocks, lanes), axis=1)
-        take = (at + rank - 1).reshape(-1)[need]
-        if len(take) and take.max() >= len(words):
-            raise ValueError("damaged block: its words run out")
-        state[need] = (state[need] << np.uint64(32)) | words[take]
-        at = at + rank[:, -1:]
+        low = np.flatnonzero(need)
+        if len(low):
+            take = (at + rank - 1).reshape(-1).take(low)
+            if take.max() >= len(words):
+                raise ValueError("damaged block: its words run out")
+            state[low] = (state.take(low) << np.uint64(32)) | words.take(take)
+            at = at + rank[:, -1:]
     if not (state == _LOW).all():
         raise ValueError("damaged block: the coder did not return to its first state")
     return out
@@ -104,7 +107,9 @@ def write_segment(documents: list[tuple[int | None, np.ndarray]]) -> bytes:
     lengths = np.array([len(x) for _, x in documents], dtype="<u4")
     ids = np.concatenate([np.zeros(0, np.uint32), *(x for _, x in documents)]).astype("<u4")
     symbols, counts = np.unique(ids, return_counts=True)
-    dense = np.searchsorted(symbols, ids).astype(np.int32)
+    place = np.zeros(int(symbols[-1]) + 1 if len(symbols) else 0, dtype=np.int32)
+    place[symbols] = np.arange(len(symbols))
+    dense = place[ids]
     freq = frequencies(counts).astype(np.uint64) if len(ids) else np.zeros(0, np.uint64)
     cum = np.cumsum(freq) - freq
     size = LANES * STEPS
