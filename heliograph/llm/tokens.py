@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import functools
-import json
 import os
 import re
 
@@ -50,15 +49,15 @@ class Encoder:
 
     def _fast(self):
         import tiktoken
+        from tokenizers import models, pre_tokenizers
 
-        kind = json.loads(self.tokenizer.to_str())
-        before = kind["pre_tokenizer"] or {}
-        plain = kind["normalizer"] is None and kind["model"]["type"] == "BPE" and not kind["model"].get("dropout") and not kind["model"].get("ignore_merges")
-        if not plain or before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space"):
+        t, model, before = self.tokenizer, self.tokenizer.model, self.tokenizer.pre_tokenizer
+        plain = t.normalizer is None and isinstance(model, models.BPE) and not model.dropout and not model.ignore_merges
+        if not plain or not isinstance(before, pre_tokenizers.ByteLevel) or not before.use_regex or before.add_prefix_space:
             return None
         byte = _bytes_of_symbols()
-        vocabulary = self.tokenizer.get_vocab(with_added_tokens=False)
-        added = {x["content"] for x in kind["added_tokens"]}
+        vocabulary = t.get_vocab(with_added_tokens=False)
+        added = {x.content for x in t.get_added_tokens_decoder().values()}
         ranks = {bytes(byte[c] for c in token): k for token, k in vocabulary.items() if token not in added}
         fast = tiktoken.Encoding("own", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
         same = all(fast.encode_ordinary(x) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in _PROBES)
@@ -85,10 +84,15 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+@functools.lru_cache(maxsize=1)
+def _zstd() -> tuple[zstandard.ZstdCompressor, zstandard.ZstdDecompressor]:
+    return zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()
+
+
 def press(ids: bytes, dtype: np.dtype) -> bytes:
     """Ids on their way through a shuffle or checkpoint; the first byte is the size of an id."""
-    return bytes([dtype.itemsize]) + zstandard.ZstdCompressor(level=1).compress(ids)
+    return bytes([dtype.itemsize]) + _zstd()[0].compress(ids)
 
 
 def unpress(data: bytes) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), f"<u{data[0]}")
+    return np.frombuffer(_zstd()[1].decompress(data[1:]), f"<u{data[0]}")
