@@ -17,8 +17,8 @@ SELECT d.doc_id AS id, '/lib/' || d.source || '/' || d.lang || '/' || CAST(d.doc
   CASE WHEN d.doc_id % 11 = 0 THEN NULL ELSE CAST(d.n_chars % 250 AS DOUBLE) END AS blur_score,
   CASE WHEN d.doc_id % 7 = 0 THEN NULL ELSE 1500000000 + (d.doc_id % 1000) * 200000 END AS exif_taken,
   CASE WHEN d.doc_id % 5 = 0 THEN NULL ELSE d.source END AS exif_camera,
-  CASE WHEN d.doc_id % 13 = 0 THEN NULL ELSE 1700000000 END AS analyzed_at,
-  CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE 1700000100 END AS dupe_checked_at,
+  CASE WHEN d.doc_id % 13 = 0 THEN NULL ELSE CAST(1700000000 AS BIGINT) END AS analyzed_at,
+  CASE WHEN d.doc_id % 4 = 0 THEN NULL ELSE CAST(1700000100 AS BIGINT) END AS dupe_checked_at,
   CAST(CASE WHEN d.doc_id % 4 = 0 THEN 0 WHEN d.doc_id % 2 = 0 THEN 5 ELSE 7 END AS INT) AS dupe_checked_kinds
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id
 """
