@@ -7,7 +7,8 @@ fingerprints over their words. The index cuts an item's fingerprint into four bl
 holds each block with every change of up to two bits; a window probes its four blocks as they are. Of two
 fingerprints within RADIUS = 11 bits, one block differs in at most two, so every window within the radius is
 found. Candidates are verified exactly: the share of the item's weighted shingles that the window
-has, a shingle's weight falling with the number of documents that have it.
+has, a shingle's weight falling with the number of different items that have it, so that no number of
+copies of a document moves it.
 """
 
 from __future__ import annotations
@@ -102,8 +103,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     # The outer form, as the inner one adds a filter that would compute the shingles twice; the join drops its nulls.
     hits = cut(split.select("doc_id", "text_key", F.posexplode_outer("shingles").alias("pos", "h")).join(grams, "h", "left_semi"))
 
-    total = docs.select("doc_id").count()
-    seen = hits.groupBy("h").agg(F.count_distinct("doc_id", "text_key").alias("n"))
+    # Over the different items, so that copies of a document move no weight.
+    distinct = items.select("words", "shingles").distinct()
+    total = distinct.count()
+    having = distinct.select(F.explode(F.array_distinct("shingles")).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
     weight = F.log1p(F.lit(float(total)) / F.col("n"))
 
     windows = hits.join(places, "h").select("doc_id", "text_key", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n_words").distinct()
@@ -126,7 +129,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     pairs = pairs.where(first).drop("block", "item_words", "fp", "item_fp")
 
     counted = index.select("row", "item_id", F.explode("shingles").alias("h")).groupBy("row", "item_id", "h").agg(F.count("*").alias("c"))
-    counted = counted.join(seen, "h", "left").select("row", "item_id", F.struct("h", "c", F.coalesce(weight, F.lit(0.0)).alias("w")).alias("s"), (F.log1p(F.lit(float(total)) / F.coalesce("n", F.lit(1))) * F.col("c")).alias("mass"))
+    counted = counted.join(having, "h").select("row", "item_id", F.struct("h", "c", weight.alias("w")).alias("s"), (weight * F.col("c")).alias("mass"))
     whole = _sized(counted.groupBy("row", "item_id").agg(F.sort_array(F.collect_list("s")).alias("wanted"), F.sum("mass").alias("mass")))
     has = F.aggregate("wanted", F.lit(0.0), lambda acc, s: acc + s["w"] * F.least(s["c"], F.size(F.filter("own", lambda x: x == s["h"])).cast("long")))
     scored = pairs.join(whole, "row").select("doc_id", "item_id", (has / F.col("mass")).alias("similarity"), "start", "n_words")

@@ -231,6 +231,17 @@ def test_index_finds_every_fingerprint_within_the_radius(spark):
     assert df.select(F.size(decontaminate._changes())).first()[0] == 137
 
 
+def test_copies_of_a_leak_do_not_hide_it(spark):
+    rng = random.Random(13)
+    lexicon = [f"w{k}" for k in range(5000)]
+    item = rng.choices(lexicon, k=50)
+    leak = " ".join(item[:25] + ["changed"] + item[26:])
+    docs = [(k, leak) for k in range(3000)] + [(3000 + k, " ".join(rng.choices(lexicon, k=30))) for k in range(3000)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = decontaminate.contaminated(df, spark.createDataFrame([(1, " ".join(item))], "item_id long, text string")).collect()
+    assert {r.doc_id for r in rows} == set(range(3000)) and {round(r.similarity, 6) for r in rows} == {round(41 / 46, 6)}
+
+
 def test_leaks_of_hostile_rows(spark, hostile, none):
     bench = lambda *rows: spark.createDataFrame([(i, t, 1) for i, t in rows], "item_id long, text string, h int")
     passage = " ".join(f"word{k}" for k in range(60))
