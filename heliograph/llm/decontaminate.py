@@ -1,14 +1,11 @@
-"""Benchmark decontamination by SimHash of item-sized windows, in DataFrame operations only.
-
-A window has as many words as a benchmark item and lies where the item would lie if one of its
-five-word shingles is where the document has it. Windows without any shingle of the benchmark have a
-similarity of zero to every item, so no others need be made. Windows and items get 64-bit SimHash
-fingerprints over their words. The index cuts an item's fingerprint into four blocks of 16 bits and
-holds each block with every change of up to two bits; a window probes its four blocks as they are. Of two
-fingerprints within RADIUS = 11 bits, one block differs in at most two, so every window within the radius is
-found. Candidates are verified exactly: the share of the item's weighted shingles that the window
-has, a shingle's weight falling with the number of different items that have it, so that no number of
-copies of a document moves it.
+"""Benchmark decontamination by exact best windows over shared shingles, in DataFrame operations only.
+
+A window has as many words as a benchmark item. Its similarity is the share of the item's weighted
+five-word shingles that it has; a shingle's weight falls with the number of different items that have it,
+so that no document moves it, however many copies it has. A window of at least the asked similarity lacks
+less than the rest of the mass, so it has one of the item's leading (heaviest) shingles; every text
+with one is a candidate. As a window's start goes up, each shingle of the text counts for a run of
+starts; a sweep over the ends of those runs gives the best of all windows, so no window is missed.
 """
 
 from __future__ import annotations
@@ -22,6 +19,9 @@ from heliograph.llm.common import cut, table
 
 SHINGLE = 5
 SIMILARITY = 0.8
+#: Weights are whole numbers, so that sums don't depend on their order.
+WHOLE = 1 << 32
+#: A multi-index of SimHash fingerprints. It doesn't gate candidates: windows of 0.8 often differ in more bits.
 BLOCKS, BLOCK_BITS, CHANGES = 4, 16, 2
 RADIUS = BLOCKS * (CHANGES + 1) - 1
 #: A table derived from the benchmark is broadcast up to this many rows (some 20 MB), else joined by a shuffle.
@@ -50,18 +50,6 @@ def _shingles(words: Column) -> Column:
     return _let(words, of)
 
 
-def _fingerprint(words: Column) -> Column:
-    """SimHash over the words, each as often as it occurs."""
-    one = F.lit(1).cast("long")
-
-    def of(hashes: Column) -> Column:
-        ones = lambda b: F.size(F.filter(hashes, lambda h: F.call_function("shiftright", h, b).bitwiseAND(one) == 1))
-        set_bit = lambda b: F.when(2 * ones(b) > F.size(hashes), F.call_function("shiftleft", one, b)).otherwise(F.lit(0).cast("long"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(63)), F.lit(0).cast("long"), lambda acc, b: acc.bitwiseOR(set_bit(b)))
-
-    return _let(F.transform(words, lambda w: F.xxhash64(w)), of)
-
-
 def _block(fp: Column, k: Column) -> Column:
     """Block k of a fingerprint with its number, as one long."""
     value = F.call_function("shiftrightunsigned", fp, k * BLOCK_BITS).bitwiseAND((1 << BLOCK_BITS) - 1)
@@ -83,6 +71,61 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _wanted(items: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """(row, h, leading), and (row, h, item_id, n_words, mass, m, c, w, ats): the different shingles of the items.
+
+    c is how often the item has the shingle, ats where, w the weight of one as a whole number, m and mass the
+    count and weight of all. The leading shingles are the heaviest, of more than 1 - similarity of the mass.
+    """
+    distinct = items.select("words", "shingles").distinct()
+    total = distinct.count()
+    having = distinct.select(F.explode(F.array_distinct("shingles")).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
+    weight = F.round(F.log1p(F.lit(float(total)) / F.col("n")) * WHOLE).cast("long")
+    each = items.select("row", F.posexplode("shingles").alias("at", "h")).groupBy("row", "h").agg(F.sort_array(F.collect_list("at")).alias("ats"))
+    each = each.join(having, "h").select("row", "h", F.size("ats").cast("long").alias("c"), weight.alias("w"), "ats")
+    of_row = each.groupBy("row").agg(F.sum(F.col("c") * F.col("w")).alias("mass"), F.sort_array(F.collect_list(F.struct("w", "h", "c")), asc=False).alias("all"))
+    # What stands before a shingle in the order; the shingle leads while that is not more than what may be missing.
+    start = F.struct(F.lit(0).cast("long").alias("sum"), F.array().cast("array<bigint>").alias("hs"))
+    missing = (1 - similarity + 1e-9) * F.col("mass")
+    take = lambda acc, x: F.struct((acc["sum"] + x["w"] * x["c"]).alias("sum"), F.when(acc["sum"] <= missing, F.concat(acc["hs"], F.array(x["h"]))).otherwise(acc["hs"]).alias("hs"))
+    of_row = of_row.select("row", "mass", F.aggregate("all", start, take)["hs"].alias("leads"))
+    of_row = of_row.join(items.select("row", "item_id", F.size("words").alias("n_words"), F.size("shingles").alias("m")), "row")
+    wanted = cut(each.join(of_row, "row"))
+    parts = wanted.select("row", "h", F.array_contains("leads", F.col("h")).alias("leading"))
+    return parts, _sized(wanted.select("row", "h", "item_id", "n_words", "mass", "m", "c", "w", "ats"))
+
+
+def _events() -> Column:
+    """What the shingle of a row adds and takes as a window's start goes up, and the starts that its places suggest.
+
+    Of a window only as many places count as the item has; so place p counts for the starts after the c-th place before it and after p - m, up to p.
+    """
+    event = lambda at, kind, w: F.struct(at.cast("long").alias("at"), F.lit(kind).alias("kind"), w.alias("w"))
+    before = lambda i: F.when(i >= F.col("c"), F.element_at("places", (i - F.col("c") + 1).cast("int"))).otherwise(F.lit(-1))
+    low = lambda p, i: F.greatest(before(i) + 1, p - F.col("m") + 1, F.lit(0))
+    plus = F.transform("places", lambda p, i: event(low(p, i), 1, F.col("w")))
+    minus = F.transform("places", lambda p, i: event(p + 1, 0, -F.col("w")))
+    starts = F.array_distinct(F.flatten(F.transform("places", lambda p: F.transform("ats", lambda a: F.greatest(p - a, F.lit(0))))))
+    return F.concat(plus, minus, F.transform(starts, lambda s: event(s, 2, F.lit(0).cast("long"))))
+
+
+def _sweep(events: Column) -> Column:
+    """(w, start) of the best window: the first of equals at a suggested start, else the first of all."""
+    zero = F.lit(0).cast("long")
+    none = F.struct(zero.alias("sum"), zero.alias("any"), zero.alias("any_at"), zero.alias("own"), zero.alias("own_at"))
+
+    def step(s: Column, e: Column) -> Column:
+        now = s["sum"] + e["w"]
+        more, mine = now > s["any"], (e["kind"] == 2) & (now > s["own"])
+        pick = lambda test, value, old: F.when(test, value).otherwise(old)
+        return F.struct(
+            now.alias("sum"), pick(more, now, s["any"]).alias("any"), pick(more, e["at"], s["any_at"]).alias("any_at"),
+            pick(mine, now, s["own"]).alias("own"), pick(mine, e["at"], s["own_at"]).alias("own_at"),
+        )
+
+    return F.aggregate(events, none, step, lambda s: F.struct(s["any"].alias("w"), F.when(s["own"] == s["any"], s["own_at"]).otherwise(s["any_at"]).alias("start")))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
     """Documents that hold a benchmark item: doc_id, item_id, similarity, start_word, n_words.
 
@@ -93,49 +136,30 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     an item_id are items of their own under one name.
     """
     items = benchmark.select(F.col("item_id").cast("long"), _words("text").alias("words"))
-    items = cut(items.withColumn("shingles", _shingles(F.col("words"))).withColumn("n_words", F.size("words")).where("n_words > 0"))
-    places = _sized(items.select(F.posexplode("shingles").alias("at", "h"), "n_words").distinct())
-    grams = _sized(places.select("h").distinct())
+    items = cut(items.withColumn("shingles", _shingles(F.col("words"))).where(F.size("words") > 0).withColumn("row", F.monotonically_increasing_id()))
+    parts, wanted = _wanted(items, similarity)
+    grams = _sized(parts.select("h").distinct())
+    first = _sized(parts.where("leading").groupBy("h").agg(F.collect_list("row").alias("rows")))
 
     texts = docs.select(F.col("doc_id").cast("long"), "text").where("text is not null")
-    key = F.xxhash64("text").alias("text_key")
-    split = texts.select("doc_id", key, _words("text").alias("words")).select("doc_id", "text_key", _shingles(F.col("words")).alias("shingles"))
+    split = texts.select("doc_id", F.xxhash64("text").alias("text_key"), _shingles(_words("text")).alias("shingles"))
     # The outer form, as the inner one adds a filter that would compute the shingles twice; the join drops its nulls.
     hits = cut(split.select("doc_id", "text_key", F.posexplode_outer("shingles").alias("pos", "h")).join(grams, "h", "left_semi"))
 
-    # Over the different items, so that copies of a document move no weight.
-    distinct = items.select("words", "shingles").distinct()
-    total = distinct.count()
-    having = distinct.select(F.explode(F.array_distinct("shingles")).alias("h")).groupBy("h").agg(F.count("*").alias("n"))
-    weight = F.log1p(F.lit(float(total)) / F.col("n"))
-
-    windows = hits.join(places, "h").select("doc_id", "text_key", F.greatest(F.col("pos") - F.col("at"), F.lit(0)).alias("start"), "n_words").distinct()
-    by_text = windows.groupBy(F.col("doc_id").alias("d"), F.col("text_key").alias("k")).agg(F.collect_list(F.struct("start", "n_words")).alias("windows"))
-    found = texts.withColumn("text_key", F.xxhash64("text")).join(by_text, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")))
-    own = lambda words: F.transform("windows", lambda w: F.struct(w["start"].alias("start"), w["n_words"].alias("n_words"), F.slice(words, w["start"] + 1, w["n_words"]).alias("own")))
-    rows = found.select("doc_id", F.explode_outer(_let(_words("text"), own)).alias("w")).select("doc_id", "w.*")
-    rows = rows.select("doc_id", "start", "n_words", _fingerprint(F.col("own")).alias("fp"), _shingles(F.col("own")).alias("own"))
-
-    index = items.select("item_id", F.monotonically_increasing_id().alias("row"), "shingles", "n_words", _fingerprint(F.col("words")).alias("item_fp"))
-    index = cut(index)
-    blocks = F.sequence(F.lit(0), F.lit(BLOCKS - 1))
-    variants = index.select("row", "item_fp", F.col("n_words").alias("item_words"), F.explode(blocks).alias("b"))
-    variants = variants.select("row", "item_fp", "item_words", _block(F.col("item_fp"), F.col("b")).alias("block"), F.explode(_changes()).alias("mask"))
-    variants = _sized(variants.select("row", "item_fp", "item_words", F.col("block").bitwiseXOR(F.col("mask")).alias("block")))
-    probes = rows.withColumn("b", F.explode(blocks)).withColumn("block", _block(F.col("fp"), F.col("b"))).drop("b")
-    near = F.bit_count(F.col("fp").bitwiseXOR(F.col("item_fp"))) <= RADIUS
-    first = F.col("block") == F.array_min(F.transform(F.filter(blocks, lambda b: F.bit_count(_block(F.col("fp"), b).bitwiseXOR(_block(F.col("item_fp"), b))) <= CHANGES), lambda b: _block(F.col("fp"), b)))
-    pairs = probes.join(variants, (probes["block"] == variants["block"]) & (F.col("n_words") == F.col("item_words")) & near).drop(variants["block"])
-    pairs = pairs.where(first).drop("block", "item_words", "fp", "item_fp")
-
-    counted = index.select("row", "item_id", F.explode("shingles").alias("h")).groupBy("row", "item_id", "h").agg(F.count("*").alias("c"))
-    counted = counted.join(having, "h").select("row", "item_id", F.struct("h", "c", weight.alias("w")).alias("s"), (weight * F.col("c")).alias("mass"))
-    whole = _sized(counted.groupBy("row", "item_id").agg(F.sort_array(F.collect_list("s")).alias("wanted"), F.sum("mass").alias("mass")))
-    has = F.aggregate("wanted", F.lit(0.0), lambda acc, s: acc + s["w"] * F.least(s["c"], F.size(F.filter("own", lambda x: x == s["h"])).cast("long")))
-    scored = pairs.join(whole, "row").select("doc_id", "item_id", (has / F.col("mass")).alias("similarity"), "start", "n_words")
-    scored = scored.where(F.col("similarity") >= similarity - 1e-9)
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(F.round("similarity", 9).alias("similarity"), (-F.col("start")).alias("back"), "n_words")).alias("b"))
-    return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).alias("start_word"), "b.n_words")
+    # Rows that repeat a text have each position several times.
+    places = hits.groupBy("doc_id", "text_key", "h").agg(F.sort_array(F.collect_set("pos")).alias("places")).join(first, "h", "left")
+    rows = F.array_distinct(F.flatten(F.collect_list("rows")))
+    by_text = places.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("h", "places")).alias("hits"), rows.alias("rows"))
+    pairs = by_text.where(F.size("rows") > 0).select("doc_id", "text_key", "hits", F.explode("rows").alias("row"))
+    pairs = pairs.select("doc_id", "text_key", "row", F.explode("hits").alias("x")).select("doc_id", "text_key", "row", "x.*")
+    both = pairs.join(wanted, ["row", "h"])
+    bound = F.sum(F.col("w") * F.least("c", F.size("places").cast("long")))
+    scored = both.groupBy("doc_id", "text_key", "row", "item_id", "n_words", "mass").agg(F.flatten(F.collect_list(_events())).alias("events"), bound.alias("bound"))
+    least = (similarity - 1e-9) * F.col("mass")
+    scored = scored.where(F.col("bound") >= least).withColumn("best", _sweep(F.sort_array("events"))).where(F.col("best.w") >= least)
+    shared = F.round(F.col("best.w") / F.col("mass"), 9).alias("similarity")
+    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(shared, (-F.col("best.start")).alias("back"), "n_words")).alias("b"))
+    return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).cast("int").alias("start_word"), "b.n_words")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:

@@ -231,6 +231,27 @@ def test_index_finds_every_fingerprint_within_the_radius(spark):
     assert df.select(F.size(decontaminate._changes())).first()[0] == 137
 
 
+def test_leaks_of_a_share_of_0_8_are_all_found(spark):
+    rng = random.Random(12)
+    lexicon = [f"w{k}" for k in range(5000)]
+    items = [(k, " ".join(rng.choices(lexicon, k=(20, 30, 50, 100)[k % 4]))) for k in range(80)]
+    docs = []
+    for k, (_, t) in enumerate(items):
+        w = t.split()
+        gone = int(0.2 * (len(w) - 4))
+        if k % 3 == 0:  # the last words are others
+            w[-gone:] = rng.choices(lexicon, k=gone)
+        elif k % 3 == 1 and gone >= 5:  # one in the middle
+            w[len(w) // 2] = "changed"
+        else:  # a word put in
+            w.insert(len(w) // 2, "more")
+        docs.append((k, " ".join(rng.choices(lexicon, k=50) + w + rng.choices(lexicon, k=50))))
+    truth = plain_leaks(dict(docs), dict(items))
+    got = {(r.doc_id, r.item_id): r.similarity for r in decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    want = {k: v for k, v in truth.items() if v >= 0.8}
+    assert set(got) == set(want) and len(want) > 40 and all(abs(got[k] - want[k]) < 1e-6 for k in got)
+
+
 def test_copies_of_a_leak_do_not_hide_it(spark):
     rng = random.Random(13)
     lexicon = [f"w{k}" for k in range(5000)]
