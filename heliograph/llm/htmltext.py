@@ -230,28 +230,31 @@ def _pairs(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["page_id", "content", "pair_id", "shared"])
 
 
-_PARSED = "page_id long, url string, content long, own array<string>, others array<struct<line: string, place: int>>"
+#: The lines to choose from, in page order; place is null inside an article, else the line's number among those outside.
+_PARSED = "page_id long, url string, content long, kept array<struct<line: string, place: int>>"
 
 
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = pa.list_(pa.struct([("line", pa.string()), ("place", pa.int32())]))
     for batch in pieces(batches):
-        own, others = [], []
+        kept = []
         for html in batch["html"].to_pylist():
-            found = lines(html or "")
-            own.append([t for t, text, dropped in found if text and not dropped])
-            outside = enumerate((t, dropped) for t, text, dropped in found if not text)
-            others.append([] if own[-1] else [{"line": t, "place": k} for k, (t, dropped) in outside if not dropped])
-        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["content"], pa.array(own, pa.list_(pa.string())), pa.array(others, kind)], names=["page_id", "url", "content", "own", "others"])
+            row, place = [], 0
+            for line, text, dropped in lines(html or ""):
+                if not dropped:
+                    row.append({"line": line, "place": None if text else place})
+                place += not text
+            kept.append(row)
+        yield pa.RecordBatch.from_arrays([batch["page_id"], batch["url"], batch["content"], pa.array(kept, kind)], names=["page_id", "url", "content", "kept"])
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, pair_id and n_shared of every row of `pages`.
 
     Character references are decoded, white space inside a line becomes one space, and lines are joined by
-    a newline in page order. A page with an article or main element has the lines inside it; any other
-    page has its lines that its nearest page does not have, or, where that would leave nothing (the nearest
-    page is a copy), all of its lines; elements that hold no text are left out in each case. Null or empty
+    a newline in page order. A page has its lines that its nearest page does not have and, shared or not, those
+    inside an article or main element, or, where that would leave nothing (the nearest page is a copy),
+    all of its lines; elements that hold no text are left out in each case. Null or empty
     html gives an empty text. Pages without another one on their host have no template to delete. Rows
     that repeat are kept. pair_id and n_shared say which page was compared and how many lines of the
     page outside an article it shares.
@@ -259,9 +262,9 @@ def main_text(pages: DataFrame) -> DataFrame:
     pages = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("content", F.xxhash64("url", "html"))
     pairs = shared_lines(pages).select(F.col("page_id").alias("p"), F.col("content").alias("c"), "pair_id", "shared")
     joined = pages.mapInArrow(_parsed, _PARSED).join(pairs, F.col("page_id").eqNullSafe(F.col("p")) & (F.col("content") == F.col("c")), "left")
-    every = F.transform("others", lambda x: x["line"])
-    rest = F.transform(F.filter("others", lambda x: ~F.array_contains(F.coalesce("shared", F.array().cast("array<int>")), x["place"])), lambda x: x["line"])
-    text = F.array_join(F.when(F.size("own") > 0, F.col("own")).when(F.size(rest) > 0, rest).otherwise(every), "\n")
+    shared = F.coalesce("shared", F.array().cast("array<int>"))
+    rest = F.filter("kept", lambda x: x["place"].isNull() | ~F.array_contains(shared, x["place"]))
+    text = F.array_join(F.transform(F.when(F.size(rest) > 0, rest).otherwise(F.col("kept")), lambda x: x["line"]), "\n")
     out = joined.select("page_id", "url", text.alias("text"), "pair_id", F.coalesce(F.size("shared"), F.lit(0)).cast("long").alias("n_shared"))
     return out.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "pair_id", "n_shared")
 

@@ -149,6 +149,14 @@ def test_template_lines_go_where_nothing_marks_them(spark):
     assert htmltext.main_text(empty).count() == 0
 
 
+def test_differencing_decides_outside_of_an_article(spark):
+    page = lambda k: f"<div>Welcome</div><article><p>Teaser</p></article><div>long text {k}</div><nav>Menu {k}</nav><div>All rights reserved</div>"
+    rows = [(k, f"http://h.org/a/{k}", page(k)) for k in range(4)] + [(9, "http://copy.org/1", page(9)), (10, "http://copy.org/2", page(9))]
+    text = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(text[k] == f"Teaser\nlong text {k}" for k in range(4))
+    assert text[9] == text[10] == "Teaser"  # outside, copies share everything
+
+
 def test_pairs_do_not_depend_on_ranges(spark):
     rows = [(k, f"http://h.org/{k // 7}/{k % 7}", f"<div>s{k // 7}</div><div>own {k}</div>") for k in range(60)]
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
