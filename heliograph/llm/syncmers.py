@@ -2,9 +2,9 @@
 
 A run of K characters is an anchor if the smallest of its inner runs of S characters lies at its
 left or right edge. That depends on the run's own characters alone, so equal passages have the same
-anchors wherever they stand. A fingerprint keeps the anchors with the smallest hashes, each once, in the
-order of their first positions; two fingerprints match on the anchors that both have, as far as they stand
-in the same order.
+anchors wherever they stand. A fingerprint keeps all anchors of the text, each once, in the order of their
+first positions; two fingerprints match on the anchors that both have, as far as they stand in the same
+order.
 """
 
 from __future__ import annotations
@@ -23,7 +23,6 @@ from heliograph.llm.common import pieces, table, tasks
 K, S = 16, 8
 #: Texts of fewer than SHORT characters also have the anchors of shorter runs.
 SHORT, SHORT_K, SHORT_S = 128, 4, 2
-ANCHORS = 64
 #: Ranges of doc_id at most; else there are as many as shuffle partitions.
 PARTS = 1 << 13
 #: Characters whose hashes are held at once; longer texts are taken in overlapping pieces.
@@ -59,65 +58,63 @@ def _anchors(codes: np.ndarray, k: int = K, s: int = S) -> tuple[np.ndarray, np.
     return _runs(codes, k, 0xC2B2AE3D27D4EB4F)[at], at
 
 
-def _smallest(hashes: np.ndarray, at: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The n smallest different hashes, each with its first position."""
-    if len(hashes) > 4 * n:  # a bound that surely leaves n different ones, where one is found quickly
-        bound = np.partition(hashes, 4 * n)[4 * n]
-        few = hashes <= bound
-        if len(np.unique(hashes[few])) >= n:
-            hashes, at = hashes[few], at[few]
+def _firsts(hashes: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The different hashes in order of their first positions, and these."""
     order = np.lexsort((at, hashes))
     hashes, at = hashes[order], at[order]
     first = np.r_[True, hashes[1:] != hashes[:-1]] if len(hashes) else np.zeros(0, bool)
-    return hashes[first][:n], at[first][:n]
+    hashes, at = hashes[first], at[first]
+    order = np.argsort(at, kind="stable")
+    return hashes[order], at[order]
 
 
-def fingerprint(text: str, n: int = ANCHORS) -> np.ndarray:
-    """The anchors of a text in order of position, as 32-bit numbers.
+def fingerprint(text: str) -> np.ndarray:
+    """All different anchors of a text in order of first position, as 64-bit numbers.
 
     A text without an anchor has its whole as its one anchor; an empty one has none.
     """
     codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64) + np.uint64(1)
     if not len(codes):
-        return np.zeros(0, np.uint32)
-    hashes, at = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        return np.zeros(0, np.uint64)
+    hashes, at = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a in range(0, max(1, len(codes) - K + 1), PIECE):
         piece = codes[a : a + PIECE + K - 1]
         if len(piece) >= K:
-            h, p = _anchors(piece)
-            hashes, at = _smallest(np.concatenate([hashes, h]), np.concatenate([at, p + a]), n)
+            h, p = _firsts(*_anchors(piece))
+            hashes.append(h)
+            at.append(p + a)
     if SHORT_K <= len(codes) < SHORT:
         h, p = _anchors(codes, SHORT_K, SHORT_S)
-        hashes, at = _smallest(np.concatenate([hashes, h]), np.concatenate([at, p]), n)
-    if not len(hashes):
-        return np.frombuffer(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:4], "<u4")
-    short = (hashes[np.argsort(at, kind="stable")] >> np.uint64(32)).astype(np.uint32)
-    return short[np.sort(np.unique(short, return_index=True)[1])]
+        hashes.append(h)
+        at.append(p)
+    found = _firsts(np.concatenate(hashes), np.concatenate(at))[0]
+    if not len(found):
+        return np.frombuffer(hashlib.sha256(text.encode("utf-8", "surrogatepass")).digest()[:8], "<u8")
+    return found
 
 
-def likeness(a: np.ndarray, b: np.ndarray, n: int = ANCHORS) -> float:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
     """The share, 0 to 1, of the anchors of both texts together that they have in the same order.
 
-    A fingerprint of n anchors ends at its largest hash; beyond the smaller of two such ends nothing is
-    known of one of the texts, so only anchors up to it count. Two empty fingerprints are alike, an
-    empty one and another are not.
+    Two empty fingerprints are alike, an empty one and another are not.
     """
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    ends = [int(x.max()) for x in (a, b) if len(x) >= n]
-    if ends:
-        a, b = a[a <= min(ends)], b[b <= min(ends)]
-    where = {x: k for k, x in enumerate(b.tolist())}
-    tails: list[int] = []  # the longest increasing run of positions in b
-    for k in (where[x] for x in a.tolist() if x in where):
+    _, of_a, of_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+    places = of_b[np.argsort(of_a)]  # where b has what both have, in the order of a
+    both = len(a) + len(b) - len(places)
+    if (places[1:] > places[:-1]).all():
+        return len(places) / both
+    tails: list[int] = []  # the longest increasing run of places
+    for k in places.tolist():
         p = bisect_left(tails, k)
         tails[p : p + 1] = [k]
-    both = len(where.keys() | set(a.tolist()))
-    return len(tails) / both if both else 0.0
+    return len(tails) / both
 
 
 def text_of(fingerprint: np.ndarray) -> str:
-    return fingerprint.astype(">u4").tobytes().hex()
+    """All anchors in order, 16 hex digits each."""
+    return fingerprint.astype(">u8").tobytes().hex()
 
 
 def edited(text: str, other: str) -> str:

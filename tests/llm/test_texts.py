@@ -68,6 +68,18 @@ def test_likeness():
     assert syncmers.likeness(a, b) == 1 / 3  # in the same order only one of three
 
 
+def test_a_shared_passage_of_long_texts_leaves_its_trace():
+    rng = random.Random(5)
+    draw = lambda n: "".join(rng.choices("abcdefghij klm", k=n))
+    passage = draw(300)
+    a, b = (draw(50_000) + passage + draw(50_000) for _ in range(2))
+    inside = set(syncmers.fingerprint(passage).tolist())
+    x, y = map(syncmers.fingerprint, (a, b))
+    assert len(inside) > 40 and inside <= set(x.tolist()) & set(y.tolist())
+    assert len(inside) / (len(x) + len(y)) < syncmers.likeness(x, y) < 0.01
+    assert len(x) > 20_000
+
+
 def test_fingerprints_of_hostile_rows(hostile, none):
     rows = syncmers.compare_with_next(hostile).collect()
     assert len(rows) == hostile.count()
