@@ -3,7 +3,7 @@
 Fixed patterns give seed entities. The words around seeds induce lexical patterns; Spark scores the
 bipartite graph of patterns and instances for a few rounds (a pattern by the share of its instances
 that are entities of a kind, an unseen instance by the patterns around it); and trusted patterns
-mark identifiers that no fixed pattern knows. The graph holds only identifier-like tokens, is built
+mark identifiers that no fixed pattern knows. The graph holds only identifier-like tokens and groups of them, is built
 from all documents in one reading, and is aggregated with map-side sums, so that a pattern found in
 a third of all rows is a few rows by the time it is shuffled.
 """
@@ -22,8 +22,10 @@ from heliograph.llm.common import cut, pieces, table
 KINDS = ("email", "ip", "card", "phone")
 #: A trusted pattern has this many different seeds of its kind around it, and this score.
 SUPPORT, TRUST, ROUNDS = 5, 0.9, 3
-#: An unseen identifier has at least this many digits and at most this many characters.
-DIGITS, LONGEST = 5, 64
+#: What a pattern's score is smoothed by: SUPPORT seeds and nothing else at a pattern reach TRUST.
+PRIOR = 0.5
+#: An unseen identifier has at least this many digits.
+DIGITS = 5
 #: Characters of context in which the words next to a span are looked for.
 CONTEXT = 80
 
@@ -33,7 +35,10 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])++")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_TOKEN = re.compile(r"[A-Za-z0-9](?:[A-Za-z0-9()+./#_-]{3,62}[A-Za-z0-9])")
+_MARKS = "()+./#_-"
+_RUN = re.compile(r"[A-Za-z0-9()+./#_-]+")
+_GAP = re.compile(r"\)?\x20\(?|\x20-\x20")
+_BANK = re.compile(r"[A-Z]{4}")
 _DIGIT = re.compile(r"[0-9]")
 _EDGE = "\"'`.,;:!?()[]{}<>*#$%&|=-_"
 
@@ -86,16 +91,42 @@ def _patterns(text: str, start: int, end: int) -> list[str]:
 
 
 def _unseen(text: str, known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
-    """Identifier-like tokens beside the spans of `known`."""
-    at = 0
-    spans = sorted((s, e) for s, _, e in known)
-    for m in _TOKEN.finditer(text):
-        if sum(c in "0123456789" for c in m[0]) < DIGITS:
-            continue
-        while at < len(spans) and spans[at][1] <= m.start():
+    """Identifier-like tokens and groups of tokens beside the spans of `known`.
+
+    A group is the longest run of tokens with digits, a bank's four letters between them included, that
+    stand one space or bracket apart.
+    """
+    found, group, digits, bank = [], [], 0, None
+    for m in _RUN.finditer(text):
+        token = m[0].lstrip(_MARKS)
+        start = m.end() - len(token)
+        token = token.rstrip(_MARKS)
+        end, n = start + len(token), sum(map(token.count, "0123456789"))
+        if n >= DIGITS:
+            found.append((start, end))
+        if n:
+            if not (group and _GAP.fullmatch(text, (bank or group[-1])[1], start)):
+                if len(group) > 1 and digits >= DIGITS:
+                    found.append((group[0][0], group[-1][1]))
+                group, digits = [], 0
+            group.append((start, end))
+            digits, bank = digits + n, None
+        elif group and not bank and _BANK.fullmatch(token) and _GAP.fullmatch(text, group[-1][1], start):
+            bank = (start, end)
+        elif token and group:
+            if len(group) > 1 and digits >= DIGITS:
+                found.append((group[0][0], group[-1][1]))
+            group, digits, bank = [], 0, None
+    if len(group) > 1 and digits >= DIGITS:
+        found.append((group[0][0], group[-1][1]))
+    at, spans = 0, sorted((s, e) for s, _, e in known)
+    for start, end in sorted(found):
+        if start and text[start - 1] == "(" and ")" in text[start:end]:
+            start -= 1
+        while at < len(spans) and spans[at][1] <= start:
             at += 1
-        if not (at < len(spans) and spans[at][0] < m.end()):
-            yield m.start(), m.end()
+        if not (at < len(spans) and spans[at][0] < end):
+            yield start, end
 
 
 _SPAN = pa.struct([("start", pa.int64()), ("kind", pa.int32()), ("end", pa.int64())])
@@ -131,12 +162,12 @@ def trusted_patterns(near: DataFrame, support: int = SUPPORT, trust: float = TRU
     size = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     first = seeded.groupBy("pattern", "kind").agg(F.count("*").alias("seeds")).where(f"seeds >= {support}")
     unseen = edges.where("kind is null").select("instance", "pattern")
-    scores = cut(first.join(size, "pattern").select("pattern", "kind", "seeds", "n", (F.col("seeds") / (F.col("n") + 1)).alias("score")))
+    scores = cut(first.join(size, "pattern").select("pattern", "kind", "seeds", "n", (F.col("seeds") / (F.col("n") + PRIOR)).alias("score")))
     for _ in range(rounds):
         by = unseen.join(scores.where("score > 0"), "pattern").groupBy("instance", "kind")
         mass = by.agg((1 - F.exp(F.sum(F.log1p(-F.least("score", F.lit(0.999)))))).alias("mass"))
         more = unseen.join(mass, "instance").groupBy("pattern", "kind").agg(F.sum("mass").alias("more"))
-        new = (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + 1)
+        new = (F.col("seeds") + F.coalesce("more", F.lit(0.0))) / (F.col("n") + PRIOR)
         scores = cut(scores.join(more, ["pattern", "kind"], "left").select("pattern", "kind", "seeds", "n", new.alias("score")))
     best = scores.where(F.col("score") >= trust).groupBy("pattern").agg(F.max(F.struct("score", "kind")).alias("b"))
     return best.select("pattern", "b.kind", "b.score")
@@ -156,7 +187,11 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, trust: float = TRUST, roun
     hits = near.where("kind is null").drop("kind").join(good, "pattern").groupBy("row_id", "start", "end").agg(F.max(F.struct("score", "kind")).alias("b"))
     found = hits.groupBy("row_id").agg(F.collect_list(F.struct("start", F.col("b.kind").alias("kind"), "end")).alias("more"))
     none = F.array().cast("array<struct<start: long, kind: int, end: long>>")
-    spans = F.sort_array(F.concat("base", F.coalesce("more", none)))
+    # A token of a group may be discovered with it: of those that overlap, the first and longest stays.
+    order = lambda x, y: F.when(x["start"] != y["start"], F.when(x["start"] < y["start"], -1).otherwise(1)).otherwise(F.when(x["end"] == y["end"], 0).when(x["end"] > y["end"], -1).otherwise(1))
+    apart = lambda acc, x: F.when((F.size(acc) > 0) & (F.try_element_at(acc, F.lit(-1))["end"] > x["start"]), acc).otherwise(F.concat(acc, F.array(x)))
+    more = F.aggregate(F.array_sort("more", order), none, apart)
+    spans = F.sort_array(F.concat("base", F.coalesce(more, none)))
     return scanned.select("doc_id", "row_id", "base").join(found, "row_id", "left").select("doc_id", "base", spans.alias("spans"))
 
 

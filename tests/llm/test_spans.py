@@ -69,6 +69,14 @@ def test_patterns_discover_unseen_identifiers(spark):
     assert all(r.base == r.spans for r in strict.collect())
 
 
+@pytest.mark.parametrize("unseen", ["020 7946 0958", "(020) 7946 0958", "GB29 NWBK 6016 1331 9268 19", "4111 1111 1111 1112", "7" * 70, "12345 678"])
+def test_few_seeds_discover_groups_and_long_tokens(spark, unseen):
+    rows = [(k, f"please call mobile {x} today") for k, x in enumerate([*(f"+1 555 0100 {k:03d}" for k in range(5)), unseen])]
+    found = {r.doc_id: r for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    (span,) = found[5].spans
+    assert not found[5].base and rows[5][1][span.start : span.end] == unseen and span.kind == 3
+
+
 def test_pii_of_hostile_rows(hostile, none):
     rows = pii.find_pii(hostile).collect()
     assert len(rows) == hostile.count()
