@@ -1,15 +1,15 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-A bounded sample of labelled rows is fitted: terms that toxic examples have clearly more often than
-others make the vocabulary, their document frequencies are counted over all documents, and the examples
-become an inverted index whose postings are cut into blocks with the largest weight in each. A
-document's exact nearest examples are found by visiting blocks in order of their upper bounds until no
-block can beat the worst neighbour held. Examples with equal vectors are one entry with its numbers of
-toxic and of all examples, so ties are never cut. The distance-weighted votes of the neighbours are the
-score, and the neighbours are its evidence.
-
-The index has at most MAX_EXAMPLES entries of at most MAX_TERMS terms, which bounds what is broadcast;
-scoring is one reading of the texts without a shuffle.
+A bounded sample of labelled rows is fitted. All terms of these examples, words and their beginnings, make the
+vocabulary; labels have no say in it. Document frequencies are counted over all documents, and the
+examples become an inverted index whose postings are cut into blocks with the largest weight of each
+term in each block. The exact nearest examples of a document are found by summing these into an upper bound for
+each block, scoring the most promising blocks, and then only those that can still beat the worst neighbour held.
+The neighbours' votes, weighted by cosine, are calibrated by a logistic curve that is fitted on the
+examples themselves, each by the votes of the others; the neighbours are the score's evidence.
+
+The index is of at most about MAX_EXAMPLES texts, whole, which bounds what is broadcast; scoring is one
+reading of the texts without a shuffle.
 """
 
 from __future__ import annotations
@@ -24,51 +24,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import pieces, table
+from heliograph.llm.common import pieces, table, tasks
 
-#: Labelled rows that are fitted at most, and terms of the vocabulary at most.
-MAX_EXAMPLES, MAX_TERMS = 10_000, 512
-#: A term is taken if this many examples have it, and toxic ones this many standard errors more often.
-MIN_EXAMPLES, MIN_Z = 5, 7.0
-NEIGHBOURS, BLOCK = 15, 64
-#: How fast a vote falls with distance, and the weight of the overall rate among the votes.
-SHARPNESS, PRIOR = 8.0, 0.5
+#: Labelled rows that are fitted at most (about: the sample is by hash).
+MAX_EXAMPLES = 4_000
+#: Neighbours that vote, and of these the ones that are returned as evidence; examples in a block.
+NEIGHBOURS, EVIDENCE, BLOCK = 100, 10, 64
+#: The weight of the overall rate among the votes.
+PRIOR = 0.5
 #: Words are terms, and so are their beginnings of these lengths, which inflected forms share.
-STEMS = (4, 5, 6, 7)
-LONGEST = 40
+STEMS = (4, 5)
+#: Terms whose document counts travel in one row.
+CHUNK = 1 << 14
 
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def words_of(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
-
-
-def terms_of(words: Counter) -> Counter:
-    """All terms of a text. Words of more than LONGEST letters have only their beginnings."""
-    out: Counter = Counter()
-    for word, n in words.items():
-        if len(word) <= LONGEST:
-            out[word] += n
+def terms_of(text: str | None) -> Counter:
+    """All terms of a text: its words in lower case, and their beginnings, marked by a dash."""
+    out = Counter(_WORD.findall((text or "").lower()))
+    for word, n in list(out.items()):
         for k in STEMS:
             if len(word) > k:
                 out[word[:k] + "-"] += n
     return out
 
 
-def known_terms(words: Counter, vocabulary: dict[str, int], stems: frozenset[str]) -> dict[int, int]:
-    """Counts of the terms of the vocabulary, by number."""
-    out: dict[int, int] = {}
-    for word, n in words.items():
-        if (t := vocabulary.get(word)) is not None:
-            out[t] = out.get(t, 0) + n
-        for k in STEMS:
-            if len(word) <= k:
-                break
-            if (stem := word[:k]) in stems:
-                t = vocabulary[stem + "-"]
+class Vocabulary(dict):
+    """Terms by number. Remembers which terms a word stands for; the memory is emptied when it is full."""
+
+    def __init__(self, terms: dict[str, int] = {}):
+        super().__init__(terms)
+        self.seen: dict[str, list[int]] = {}
+
+    def __reduce__(self):
+        return Vocabulary, (dict(self),)
+
+    def counts(self, text: str | None) -> dict[int, int]:
+        """How often a text has each of the terms that it has."""
+        if len(self.seen) > 300_000:
+            self.seen.clear()
+        seen, out = self.seen, {}
+        for word, n in Counter(_WORD.findall((text or "").lower())).items():
+            own = seen.get(word)
+            if own is None:
+                own = seen[word] = [t for x in (word, *[word[:k] + "-" for k in STEMS if len(word) > k]) if (t := self.get(x)) is not None]
+            for t in own:
                 out[t] = out.get(t, 0) + n
-    return out
+        return out
 
 
 def held_out() -> F.Column:
@@ -76,166 +79,256 @@ def held_out() -> F.Column:
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of each run, one after another."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(int(sizes.sum()))
+
+
 class Index:
-    """Examples by block-max postings; vectors have length 1."""
-
-    def __init__(self, vectors: list[dict[int, float]], terms: int, block: int = BLOCK):
-        order = sorted(range(len(vectors)), key=lambda k: sorted(vectors[k].items(), key=lambda x: (-x[1], x[0])))
-        self.order = np.array(order, dtype=np.int64)  # examples of like vectors share blocks
-        self.block = block
-        self.blocks = -(-len(vectors) // block)
-        postings: list[list[tuple[int, float]]] = [[] for _ in range(terms)]
-        for place, k in enumerate(order):
-            for t, w in vectors[k].items():
-                postings[t].append((place, w))
-        self.at = [np.array([p for p, _ in x], dtype=np.int64) for x in postings]
-        self.weight = [np.array([w for _, w in x]) for x in postings]
-        self.most = np.zeros((terms, self.blocks))
-        self.cut = []
-        for t in range(terms):
-            np.maximum.at(self.most[t], self.at[t] // block, self.weight[t])
-            self.cut.append(np.searchsorted(self.at[t], np.arange(self.blocks + 1) * block))
-
-    def nearest(self, query: dict[int, float], k: int) -> tuple[np.ndarray, np.ndarray]:
-        """(examples, cosines) of the k nearest, all those of a positive cosine if they are fewer."""
-        terms, weights = list(query), np.array(list(query.values()))
-        bound = weights @ self.most[terms]
-        places, cosines, worst = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable").tolist():
-            if bound[b] <= 0 or (len(places) >= k and bound[b] < worst - 1e-12):
-                break
-            score = np.zeros(self.block)
-            for t, w in query.items():
-                s, e = self.cut[t][b], self.cut[t][b + 1]
-                if e > s:
-                    score[self.at[t][s:e] - b * self.block] += w * self.weight[t][s:e]
-            hit = np.flatnonzero(score > 0)
-            places, cosines = np.concatenate([places, hit + b * self.block]), np.concatenate([cosines, score[hit]])
-            if len(places) > k:
-                keep = np.lexsort((places, -cosines.round(12)))[:k]
-                places, cosines = places[keep], cosines[keep]
-                worst = cosines.min()
-        keep = np.lexsort((places, -cosines.round(12)))
-        return self.order[places[keep]], cosines[keep]
+    """Examples by block-max postings. A vector is (terms, weights), of length 1 or empty."""
+
+    def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
+        self.block, self.blocks = block, -(-len(vectors) // block)
+        often = np.bincount(np.concatenate([np.zeros(0, np.int64), *(t for t, _ in vectors)]), minlength=terms)
+        self.order = np.array(sorted(range(len(vectors)), key=lambda k: self._like(*vectors[k], often, len(vectors))), dtype=np.int64)
+        sizes = [len(vectors[k][0]) for k in self.order]
+        term = np.concatenate([np.zeros(0, np.int64), *(vectors[k][0] for k in self.order)])
+        weight = np.concatenate([np.zeros(0), *(vectors[k][1] for k in self.order)])
+        place = np.repeat(np.arange(len(vectors)), sizes)
+        by = np.lexsort((place, term))
+        term, self.place, self.weight = term[by], place[by].astype(np.int32), weight[by]
+        of = self.place // block
+        first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])]) if len(term) else np.zeros(0, np.int64)
+        # For each term and block that has it the block and the largest weight, and where its postings begin.
+        self.of, self.most = of[first], np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
+        self.begin = np.r_[first, len(term)].astype(np.int64)
+        self.cuts = np.searchsorted(term[first], np.arange(terms + 1))
+        self.lists: list[list[np.ndarray]] | None = None
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"lists": None}
+
+    @staticmethod
+    def _like(terms: np.ndarray, weights: np.ndarray, often: np.ndarray, n: int) -> list[int]:
+        """The heaviest of the terms that many examples have, by which like examples come to share blocks."""
+        common = np.flatnonzero(64 * often[terms] >= n)
+        return terms[common[np.argsort(-weights[common], kind="stable")[:4]]].tolist()
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+        """(examples, cosines) of the k nearest and all that tie with the last, nearest first.
+
+        Only examples of a positive cosine; `without` is never among them.
+        """
+        if self.lists is None:  # cut once in a process
+            cuts, begin = self.cuts[1:-1], self.begin[self.cuts[1:-1]]
+            wide = (self.of.astype(np.int64), cuts), (self.most, cuts), (self.place.astype(np.int64), begin), (self.weight, begin)
+            self.lists = [np.split(x, at) for x, at in wide]
+        starts, sizes, several = self.cuts[terms], self.cuts[terms + 1] - self.cuts[terms], terms.tolist()
+        of, most, place, posting = ([x[t] for t in several] or [np.zeros(0, x[0].dtype)] for x in self.lists)
+        of = np.concatenate(of)
+        weight = np.repeat(weights, sizes)
+        bound = np.bincount(of, weight * np.concatenate(most), self.blocks)
+        front = np.zeros(self.blocks, dtype=bool)
+        front[np.argsort(-bound, kind="stable")[: 2 * (k // self.block + 1)]] = True
+        own = int(np.flatnonzero(self.order == without)[0]) if without >= 0 else -1
+        number = _runs(starts, sizes)
+        cosine = self._cosines(number[front[of]], weight[front[of]], own)
+        rest = ~front & (bound > 0) & (bound >= self._worst(cosine, k) - 1e-6)
+        inside = rest[of]
+        if 4 * inside.sum() < len(of):
+            cosine += self._cosines(number[inside], weight[inside], own)
+        elif inside.any():  # much is left: whole lists are read faster than their parts
+            sizes = self.begin[starts + sizes] - self.begin[starts]
+            cosine = np.bincount(np.concatenate(place), np.repeat(weights, sizes) * np.concatenate(posting), len(cosine))
+            if own >= 0:
+                cosine[own] = 0
+        worst = self._worst(cosine, k)
+        found = np.flatnonzero((cosine > 0) & (cosine >= worst - 1e-9))
+        found = found[np.argsort(-cosine[found].round(9), kind="stable")]
+        return self.order[found], cosine[found]
+
+    @staticmethod
+    def _worst(cosine: np.ndarray, k: int) -> float:
+        return np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
+
+    def _cosines(self, top: np.ndarray, weight: np.ndarray, own: int) -> np.ndarray:
+        """By the postings of some terms in some blocks; nothing for the example at place `own`."""
+        sizes = self.begin[top + 1] - self.begin[top]
+        at = _runs(self.begin[top], sizes)
+        cosine = np.bincount(self.place[at], np.repeat(weight, sizes) * self.weight[at], self.blocks * self.block)
+        if own >= 0:
+            cosine[own] = 0
+        return cosine
 
 
 class Model:
-    """The fitted index with what scoring needs. Built on the driver, sent once to each worker."""
-
-    def __init__(self, vocabulary: list[str], idf: np.ndarray, entries: list[tuple[dict[int, int], int, int, int]], neighbours: int = NEIGHBOURS):
-        self.vocabulary = {t: k for k, t in enumerate(vocabulary)}
-        self.stems = frozenset(t[:-1] for t in vocabulary if t.endswith("-"))
-        self.idf, self.neighbours = idf, neighbours
-        self.toxic, self.all, self.first = (np.array([e[j] for e in entries], dtype=np.int64) for j in (1, 2, 3))
-        self.rate = (self.toxic.sum() + 0.5) / (self.all.sum() + 1) if entries else 0.0
-        none = [k for k, e in enumerate(entries) if not e[0]]
-        self.none = (self.toxic[none].sum(), self.all[none].sum())
-        self.some = [k for k, e in enumerate(entries) if e[0]]
-        self.index = Index([self.vector(entries[k][0]) for k in self.some], len(vocabulary))
-        self.seen: dict[tuple, tuple] = {}
-
-    def vector(self, counts: dict[int, int]) -> dict[int, float]:
-        raw = {t: (1 + np.log(n)) * self.idf[t] for t, n in sorted(counts.items())}
-        norm = np.sqrt(sum(x * x for x in raw.values()))
-        return {t: float(x / norm) for t, x in raw.items()}
+    """The fitted index with what scoring needs. Built on the driver, sent once to each worker.
+
+    An entry is (terms, counts, toxic examples, examples, smallest doc_id); examples of equal terms and counts are
+    one entry with one vote, so copies don't outvote others.
+    """
+
+    def __init__(self, number: Vocabulary, idf: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray, int, int, int]], neighbours: int = NEIGHBOURS):
+        self.number, self.idf, self.neighbours = number, idf, neighbours
+        self.share = np.array([e[2] / e[3] for e in entries])
+        self.first = np.array([e[4] for e in entries], dtype=np.int64)
+        self.rate = float((self.share.sum() + 0.5) / (len(entries) + 1)) if entries else 0.0
+        self.index = Index([self.vector(e[0], e[1]) for e in entries], len(number))
+        self.slope, self.shift = 1.0, 0.0
+
+    def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        weights = (1 + np.log(counts)) * self.idf[terms]
+        return terms, weights / (np.sqrt((weights**2).sum()) or 1.0)
+
+    def known(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
+        """The terms of the vocabulary that a text has, in ascending order, and how often."""
+        found = self.number.counts(text)
+        terms = np.fromiter(found.keys(), np.int64, len(found))
+        by = np.argsort(terms)
+        return terms[by], np.fromiter(found.values(), np.float64, len(found))[by]
+
+    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+        """(share of toxic votes, entries, cosines); the overall rate where no entry has a term of the text."""
+        if not len(terms):
+            return self.rate, np.zeros(0, np.int64), np.zeros(0)
+        found, cosine = self.index.nearest(*self.vector(terms, counts), self.neighbours, without)
+        return float(((cosine * self.share[found]).sum() + PRIOR * self.rate) / (cosine.sum() + PRIOR)), found, cosine
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        """(score, evidence): evidence holds a doc_id of each nearest entry and its cosine."""
-        counts = known_terms(words_of(text), self.vocabulary, self.stems)
-        key = tuple(sorted(counts.items()))
-        if key not in self.seen:
-            if len(self.seen) > 20_000:
-                self.seen.clear()
-            self.seen[key] = self._score(counts)
-        return self.seen[key]
-
-    def _score(self, counts: dict[int, int]) -> tuple[float, list[tuple[int, float]]]:
-        if not counts or not self.some:  # as near to the examples without a term as to each other
-            toxic, every = self.none
-            return float((toxic + PRIOR * self.rate) / (every + PRIOR)), []
-        found, cosine = self.index.nearest(self.vector(counts), self.neighbours)
-        rows = np.array(self.some)[found]
-        vote = np.exp(-SHARPNESS * (1 - cosine))
-        score = ((vote * self.toxic[rows]).sum() + PRIOR * self.rate) / ((vote * self.all[rows]).sum() + PRIOR)
-        return float(min(1.0, max(0.0, score))), [(int(i), round(float(c), 6)) for i, c in zip(self.first[rows], cosine)]
-
-
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES, max_terms: int = MAX_TERMS) -> Model:
+        """(score, evidence): evidence holds a doc_id of each of the nearest entries and its cosine."""
+        vote, found, cosine = self.vote(*self.known(text))
+        return self.calibrated(vote), [(int(i), round(float(c), 6)) for i, c in zip(self.first[found[:EVIDENCE]], cosine)]
+
+    def calibrated(self, vote: float) -> float:
+        if not 0 < self.rate:
+            return 0.0
+        x = self.slope * np.log(vote / max(1 - vote, 1e-12)) + self.shift
+        return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
+
+    def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
+        """Fit the logistic curve from votes to labels (shares of toxic copies) by Newton's method."""
+        if not len(votes) or not 0 < toxic.sum() < len(toxic):
+            return
+        x = np.stack([np.log(votes / (1 - votes)), np.ones(len(votes))])
+        w = np.array([1.0, 0.0])
+        for _ in range(50):
+            p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
+            step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (p - toxic) + 1e-6 * (w - [1, 0]))
+            w = w - step
+            if np.abs(step).max() < 1e-9:
+                break
+        if w[0] > 0:  # else the votes say nothing of the labels, and stay as they are
+            self.slope, self.shift = map(float, w)
+
+
+def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
+    """(doc_id, toxic, text) of the sample."""
+    labels = labels.select(F.col("doc_id").cast("long"), "toxic").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic is not null")
+    share = min(1.0, max_examples / max(1, labels.count()))
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
+    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # bounded by max_examples
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Each example's terms, joined by a space in alphabetical order, and their counts."""
+    for batch in pieces(batches, 64):
+        found = [sorted(terms_of(x).items()) for x in batch["text"].to_pylist()]
+        terms, counts = [" ".join(t for t, _ in x) for x in found], [np.array([n for _, n in x], "<i4").tobytes() for x in found]
+        yield pa.RecordBatch.from_arrays([batch["doc_id"], batch["toxic"], pa.array(terms, pa.string()), pa.array(counts, pa.binary())], names=["doc_id", "toxic", "terms", "counts"])
+
+
+def document_counts(docs: DataFrame, number: Vocabulary) -> tuple[int, np.ndarray]:
+    """(rows of `docs`, for each term how many of them have it); counted in the tasks, summed by chunks of terms."""
+    sent, n = docs.sparkSession.sparkContext.broadcast(number), len(number)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, counts, rows = sent.value, np.zeros(n, np.int64), 0
+        for batch in pieces(batches):
+            rows += batch.num_rows
+            for text in batch["text"].to_pylist():
+                counts[list(number.counts(text))] += 1
+        payload = [np.int64(rows).tobytes(), *(zlib.compress(counts[a : a + CHUNK].tobytes(), 1) for a in range(0, n, CHUNK))]
+        yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(payload) - 1), pa.int32()), pa.array(payload, pa.binary())], names=["chunk", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, payload in zip(batch["chunk"].to_pylist(), batch["counts"].to_pylist()):
+                own = np.frombuffer(payload if k < 0 else zlib.decompress(payload), np.int64)
+                sums[k] = sums[k] + own if k in sums else own
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["chunk", "counts"])
+
+    schema = "chunk int, counts binary"
+    summed = docs.select("text").mapInArrow(count, schema).repartition(min(tasks(docs.sparkSession), 2 + n // CHUNK), "chunk").mapInArrow(add, schema)
+    rows, out = 0, np.zeros(n, np.int64)
+    for row in summed.toLocalIterator():  # one row for each chunk of the vocabulary
+        own = np.frombuffer(row.counts, np.int64)
+        if row.chunk < 0:
+            rows = int(own[0])
+        else:
+            out[row.chunk * CHUNK : row.chunk * CHUNK + len(own)] = own
+    return rows, out
+
+
+def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
     """Fit on at most about `max_examples` labelled rows outside the held-out fifth.
 
     The sample is by a hash of doc_id, the same in every run. A document with several labels is toxic if
-    one says so; null labels are none. Rows that repeat an example count each.
+    one says so; null labels are none. Texts are taken whole, null ones as empty. Examples without a term have no vector
+    and are never neighbours. Without examples, or with labels of one kind, the score is the overall rate.
     """
     spark = docs.sparkSession
-    labels = labels.select(F.col("doc_id").cast("long"), "toxic").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic is not null")
-    n = labels.count()
-    share = min(1.0, max_examples / max(1, n))
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    chosen = {row.doc_id: row.toxic for row in chosen.toLocalIterator()}  # bounded by max_examples
-    sent = spark.sparkContext.broadcast(chosen)
+    examples = _examples(docs, labels, max_examples)
+    number = Vocabulary()
+    entries: dict[tuple[bytes, bytes], list[int]] = {}
+    for row in examples.mapInArrow(_counted, "doc_id long, toxic int, terms string, counts binary").toLocalIterator():
+        terms = np.array([number.setdefault(t, len(number)) for t in row.terms.split(" ")] if row.terms else [], dtype=np.int32)
+        entry = entries.setdefault((terms.tobytes(), bytes(row.counts)), [0, 0, row.doc_id])
+        entry[:] = [entry[0] + row.toxic, entry[1] + 1, min(entry[2], row.doc_id)]
+    rows, having = document_counts(docs, number)
+    idf = np.log((rows + 1) / (having + 1)) + 1
+    unpacked = []
+    for (terms, counts), own in sorted(entries.items(), key=lambda x: (x[1][2], x[0])):
+        terms, counts = np.frombuffer(terms, np.int32).astype(np.int64), np.frombuffer(counts, "<i4").astype(np.float64)
+        by = np.argsort(terms)
+        unpacked.append((terms[by], counts[by], *own))
+    model = Model(number, idf, unpacked)
+    votes, toxic = _votes(spark, model, unpacked)
+    model.calibrate(votes, toxic)
+    return model
+
+
+def _votes(spark: SparkSession, model: Model, entries: list) -> tuple[np.ndarray, np.ndarray]:
+    """The vote on an example of each entry that has terms, by the other examples, and its label; dealt to the tasks.
+
+    An entry of several examples keeps its vote, as the others of them are left.
+    """
+    some = [k for k, e in enumerate(entries) if len(e[0])]
+    if not some:
+        return np.zeros(0), np.zeros(0)
+    sent = spark.sparkContext.broadcast((model, [(e[0].astype(np.int32), e[1].astype(np.int32), e[3]) for e in entries]))
 
-    def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, clean = Counter(), Counter()
-        rows = [0, 0]
-        for batch in pieces(batches):
-            ids = batch["doc_id"].to_pylist()
-            for k in [k for k, i in enumerate(ids) if i in sent.value]:
-                label = sent.value[ids[k]]
-                rows[label] += 1
-                (toxic if label else clean).update(terms_of(words_of(batch["text"][k].as_py())).keys())
-        terms = list(toxic.keys() | clean.keys())
-        columns = [[None, *terms], [rows[1], *(toxic[t] for t in terms)], [rows[0], *(clean[t] for t in terms)]]
-        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["term", "toxic", "clean"])
-
-    texts = docs.select(F.col("doc_id").cast("long"), "text")
-    counts = texts.mapInArrow(count_terms, "term string, toxic long, clean long").groupBy("term").agg(F.sum("toxic").alias("a"), F.sum("clean").alias("b"))
-    total = texts.join(F.broadcast(spark.createDataFrame(list(chosen.items()) or [(0, 0)], "doc_id long, toxic int")), "doc_id").groupBy("toxic").count().collect() if chosen else []
-    size = {row.toxic: row["count"] for row in total}
-    n1, n0 = size.get(1, 0), size.get(0, 0)
-    best: list = []
-    if n1 and n0:
-        z = (F.col("a") * n0 - F.col("b") * n1) / F.sqrt((F.col("a") + F.col("b") + 1) * float(n0) * n1)
-        good = counts.where(F.col("term").isNotNull() & (F.col("a") + F.col("b") >= MIN_EXAMPLES)).withColumn("z", z).where(F.col("z") >= MIN_Z)
-        best = good.orderBy(F.desc("z"), F.col("term").endswith("-"), F.desc(F.length("term")), "term").limit(max_terms).collect()
-    vocabulary: list[str] = []
-    kept: dict[tuple, list[str]] = {}
-    for row in best:  # a beginning that only one chosen word has says nothing new
-        same = kept.setdefault((row.a, row.b), [])
-        if not (row.term.endswith("-") and any(x.startswith(row.term[:-1]) for x in same)):
-            same.append(row.term)
-            vocabulary.append(row.term)
-    number = {t: k for k, t in enumerate(vocabulary)}
-    stems = frozenset(t[:-1] for t in vocabulary if t.endswith("-"))
-
-    def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows, df = 0, Counter()
-        entries: dict[tuple, list[int]] = {}
-        for batch in pieces(batches):
-            for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                found = known_terms(words_of(text), number, stems)
-                rows += 1
-                df.update(found.keys())
-                if i in sent.value:
-                    entry = entries.setdefault(tuple(sorted(found.items())), [0, 0, i])
-                    entries[tuple(sorted(found.items()))] = [entry[0] + sent.value[i], entry[1] + 1, min(entry[2], i)]
-        keys = [",".join(f"{t}:{c}" for t, c in e) for e in entries]
-        columns = [["df"] * (len(df) + 1) + ["entry"] * len(keys), ["", *map(str, df), *keys], [rows, *df.values(), *(e[1] for e in entries.values())], [0] * (len(df) + 1) + [e[0] for e in entries.values()], [0] * (len(df) + 1) + [e[2] for e in entries.values()]]
-        kinds = (pa.string(), pa.string(), pa.int64(), pa.int64(), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], names=["what", "key", "n", "toxic", "first"])
-
-    found = texts.mapInArrow(vectors, "what string, key string, n long, toxic long, first long").groupBy("what", "key").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"), F.min("first").alias("first"))
-    rows = found.orderBy("what", "key").collect()  # at most max_terms + 1 and max_examples rows
-    df = {row.key: row.n for row in rows if row.what == "df"}
-    idf = np.array([np.log((df.get("", 0) + 1) / (df.get(str(k), 0) + 1)) + 1 for k in range(len(vocabulary))])
-    entries = [({int(t): int(c) for t, c in (x.split(":") for x in row.key.split(",") if x)}, row.toxic, row.n, row.first) for row in rows if row.what == "entry"]
-    return Model(vocabulary, idf, entries)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            model, vectors = sent.value
+            found = []
+            for k in batch["k"].to_pylist():
+                terms, counts, n = vectors[k]
+                found.append(model.vote(terms.astype(np.int64), counts.astype(float), k if n == 1 else -1)[0])
+            yield pa.RecordBatch.from_arrays([batch["k"], pa.array(found, pa.float64())], names=["k", "vote"])
+
+    rows = spark.createDataFrame([(k,) for k in some], "k int").repartition(min(tasks(spark), 1 + len(some) // 64)).mapInArrow(run, "k int, vote double").collect()
+    rows = sorted(rows, key=lambda row: row.k)
+    return np.array([row.vote for row in rows]), model.share[[row.k for row in rows]]
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence for every row of `docs`.
 
-    The score is of the whole text alone. Null and empty texts, and texts without a term of the vocabulary, get
-    the rate of such examples. evidence: the nearest entries, each by its smallest doc_id, and cosines.
+    The score is of the whole text alone, however long. Null and empty texts, and texts without a term of the examples,
+    get the overall rate and no evidence. Rows that repeat are scored each, equal texts alike; neighbours that tie with the last
+    vote too. A null doc_id counts as held out. Other columns of `docs` are not looked at; an empty table gives no rows.
+    evidence: the EVIDENCE nearest entries, each by its smallest doc_id, and cosines.
     """
     sent = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -262,5 +355,6 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`score` with a model that is fitted on the table `labels`, over all of the table `documents`."""
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))

@@ -302,16 +302,78 @@ def test_index_is_exact():
     rng = np.random.default_rng(2)
     vectors = []
     for _ in range(700):
-        t = rng.choice(40, rng.integers(1, 6), replace=False)
+        t = np.sort(rng.choice(40, rng.integers(1, 6), replace=False))
         w = rng.random(len(t)) + 0.1
-        w /= np.sqrt((w**2).sum())
-        vectors.append(dict(zip(t.tolist(), w.tolist())))
+        vectors.append((t, w / np.sqrt((w**2).sum())))
+    vectors[5] = vectors[6] = vectors[7]  # ties
+    dense = np.zeros((700, 40))
+    for k, (t, w) in enumerate(vectors):
+        dense[k, t] = w
     index = toxicity.Index(vectors, 40, block=16)
-    for q in vectors[::17]:
-        found, cosine = index.nearest(q, 10)
-        every = sorted((-sum(w * v.get(t, 0) for t, w in q.items()) for v in vectors))[:10]
-        assert np.allclose(-cosine, every) and len(set(found.tolist())) == 10
-        assert np.allclose([sum(w * vectors[k].get(t, 0) for t, w in q.items()) for k in found], cosine)
+    for k in range(0, 700, 17):
+        for without in (-1, k):
+            every = dense @ dense[k]
+            if without >= 0:
+                every[k] = 0
+            found, cosine = index.nearest(*vectors[k], 10, without)
+            tenth = np.sort(every)[-10]
+            assert set(found.tolist()) == set(np.flatnonzero((every >= tenth - 1e-9) & (every > 0)).tolist()) and without not in found
+            assert np.allclose(cosine, every[found], atol=1e-6) and (np.diff(cosine) < 1e-6).all()
+
+
+def plain_terms(text):
+    out = {}
+    for word in re.findall(r"[^\W\d_]+", (text or "").lower()):
+        for term in {word, *(f"{word[:k]}-" for k in (4, 5) if len(word) > k)}:
+            out[term] = out.get(term, 0) + 1
+    return out
+
+
+def test_scores_equal_brute_force(spark):
+    """Every row's neighbours, votes and score against cosines with all sampled examples, computed anew."""
+    import math
+    import zlib
+
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: plain_terms(r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    fitted = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5 and i in docs}
+    having = {}
+    for terms in docs.values():
+        for t in terms:
+            having[t] = having.get(t, 0) + 1
+    known = set().union(*(docs[i] for i in fitted))
+
+    def vector(terms):
+        raw = {t: (1 + math.log(n)) * (math.log((len(docs) + 1) / (having[t] + 1)) + 1) for t, n in terms.items() if t in known}
+        norm = math.sqrt(sum(x * x for x in raw.values())) or 1.0
+        return {t: x / norm for t, x in raw.items()}
+
+    entries = {}  # equal counts are one example
+    for i in sorted(fitted):
+        entries.setdefault(tuple(sorted(docs[i].items())), []).append(i)
+    places = sorted(known)
+    at = {t: k for k, t in enumerate(places)}
+    dense = np.zeros((len(entries), len(places)))
+    for k, own in enumerate(entries.values()):
+        for t, x in vector(docs[own[0]]).items():
+            dense[k, at[t]] = x
+    share = np.array([np.mean([fitted[i] for i in own]) for own in entries.values()])
+    rate = (share.sum() + 0.5) / (len(share) + 1)
+    model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    assert abs(model.rate - rate) < 1e-12
+    first = [min(own) for own in entries.values()]
+    for r in toxicity.score(spark.read.parquet(f"{sf}/documents.parquet"), model).collect():
+        query = np.zeros(len(places))
+        for t, x in vector(docs[r.doc_id]).items():
+            query[at[t]] = x
+        cosine = dense @ query
+        keep = (cosine > 1e-9) & (cosine >= np.sort(cosine)[-100] - 1e-9)
+        vote = ((cosine * share)[keep].sum() + 0.5 * rate) / (cosine[keep].sum() + 0.5)
+        assert abs(r.score - (model.calibrated(vote) if keep.any() else model.calibrated(rate))) < 1e-4
+        assert (len(r.evidence) > 0) == keep.any()
+        assert np.allclose([e.cosine for e in r.evidence], sorted(cosine, reverse=True)[: len(r.evidence)], atol=1e-5)
+        assert all(abs(cosine[first.index(e.doc_id)] - e.cosine) < 1e-5 for e in r.evidence)
 
 
 def test_scores_of_held_out_rows(spark):
@@ -324,8 +386,12 @@ def test_scores_of_held_out_rows(spark):
     assert len(rows) == 10_000 and rows.score.between(0, 1).all() and ((rows.score >= 0.5) == (rows.predicted == 1)).all()
     m = rows[rows.held_out].merge(labels, on="doc_id")
     hit = ((m.predicted == 1) & (m.toxic == 1)).sum()
-    assert hit / (m.predicted == 1).sum() > 0.9 and hit / (m.toxic == 1).sum() > 0.75
-    assert ((m.score - m.toxic) ** 2).mean() < 0.04
+    assert hit / (m.predicted == 1).sum() > 0.95 and hit / (m.toxic == 1).sum() > 0.75
+    assert ((m.score - m.toxic) ** 2).mean() < 0.03
+    for low, high in ((0, 0.1), (0.1, 0.5), (0.5, 0.9), (0.9, 1.01)):  # calibrated
+        part = m[(m.score >= low) & (m.score < high)]
+        assert abs(part.score.mean() - part.toxic.mean()) < 2.5 * np.sqrt(0.25 / len(part))
+    assert (rows.evidence.map(len) > 0).mean() > 0.98
 
 
 def test_toxicity_of_hostile_rows(spark, hostile, none):
