@@ -30,6 +30,8 @@ from heliograph.llm.common import pieces, table, tasks
 MAX_EXAMPLES = 4_000
 #: Neighbours that vote, and of these the ones that are returned as evidence; examples in a block.
 NEIGHBOURS, EVIDENCE, BLOCK = 100, 10, 64
+#: Postings of a term that one in COMMON examples has are kept as a row of a matrix.
+COMMON = 16
 #: The weight of the overall rate among the votes.
 PRIOR = 0.5
 #: Words are terms, and so are their beginnings of these lengths, which inflected forms share.
@@ -57,8 +59,8 @@ class Vocabulary(dict):
         super().__init__(terms)
         self.seen: dict[str, list[int]] = {}
 
-    def __reduce__(self):
-        return Vocabulary, (dict(self),)
+    def __reduce__(self):  # terms have no spaces
+        return _vocabulary, (zlib.compress(" ".join(self).encode(), 1),)
 
     def counts(self, text: str | None) -> dict[int, int]:
         """How often a text has each of the terms that it has."""
@@ -74,6 +76,11 @@ class Vocabulary(dict):
         return out
 
 
+def _vocabulary(packed: bytes) -> Vocabulary:
+    terms = zlib.decompress(packed).decode()
+    return Vocabulary({t: k for k, t in enumerate(terms.split(" "))} if terms else {})
+
+
 def held_out() -> F.Column:
     """Whether a row is kept from fitting: crc32 of its doc_id as text leaves 0 when divided by 5."""
     return F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 5 == 0, F.lit(True))
@@ -85,7 +92,10 @@ def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 
 class Index:
-    """Examples by block-max postings. A vector is (terms, weights), of length 1 or empty."""
+    """Examples by block-max postings. A vector is (terms, weights), of length 1 or empty.
+
+    The postings of terms that many examples have are kept as rows of a matrix, all others as lists.
+    """
 
     def __init__(self, vectors: list[tuple[np.ndarray, np.ndarray]], terms: int, block: int = BLOCK):
         self.block, self.blocks = block, -(-len(vectors) // block)
@@ -95,18 +105,21 @@ class Index:
         term = np.concatenate([np.zeros(0, np.int64), *(vectors[k][0] for k in self.order)])
         weight = np.concatenate([np.zeros(0), *(vectors[k][1] for k in self.order)])
         place = np.repeat(np.arange(len(vectors)), sizes)
-        by = np.lexsort((place, term))
-        term, self.place, self.weight = term[by], place[by].astype(np.int32), weight[by]
+        common = np.flatnonzero(often * COMMON > len(vectors))
+        self.row = np.full(terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), self.blocks, block))
+        full = self.row[term] >= 0
+        self.matrix.reshape(len(common), -1)[self.row[term[full]], place[full]] = weight[full]
+        self.peaks = self.matrix.max(axis=2, initial=0)
+        by = np.lexsort((place[~full], term[~full]))
+        term, self.place, self.weight = term[~full][by], place[~full][by], weight[~full][by]
         of = self.place // block
         first = np.flatnonzero(np.r_[True, (term[1:] != term[:-1]) | (of[1:] != of[:-1])]) if len(term) else np.zeros(0, np.int64)
-        # For each term and block that has it the block and the largest weight, and where its postings begin.
+        # For each other term and block that has it the block and the largest weight, and where its postings begin.
         self.of, self.most = of[first], np.maximum.reduceat(self.weight, first) if len(first) else np.zeros(0)
         self.begin = np.r_[first, len(term)].astype(np.int64)
         self.cuts = np.searchsorted(term[first], np.arange(terms + 1))
-        self.lists: list[list[np.ndarray]] | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"lists": None}
 
     @staticmethod
     def _like(terms: np.ndarray, weights: np.ndarray, often: np.ndarray, n: int) -> list[int]:
@@ -119,46 +132,43 @@ class Index:
 
         Only examples of a positive cosine; `without` is never among them.
         """
-        if self.lists is None:  # cut once in a process
-            cuts, begin = self.cuts[1:-1], self.begin[self.cuts[1:-1]]
-            wide = (self.of.astype(np.int64), cuts), (self.most, cuts), (self.place.astype(np.int64), begin), (self.weight, begin)
-            self.lists = [np.split(x, at) for x, at in wide]
-        starts, sizes, several = self.cuts[terms], self.cuts[terms + 1] - self.cuts[terms], terms.tolist()
-        of, most, place, posting = ([x[t] for t in several] or [np.zeros(0, x[0].dtype)] for x in self.lists)
-        of = np.concatenate(of)
-        weight = np.repeat(weights, sizes)
-        bound = np.bincount(of, weight * np.concatenate(most), self.blocks)
-        front = np.zeros(self.blocks, dtype=bool)
-        front[np.argsort(-bound, kind="stable")[: 2 * (k // self.block + 1)]] = True
+        row = self.row[terms]
+        many, few = row >= 0, terms[row < 0]
+        heavy = weights[many], row[many]
+        sizes = self.cuts[few + 1] - self.cuts[few]
+        top, weight = _runs(self.cuts[few], sizes), np.repeat(weights[~many], sizes)
+        bound = heavy[0] @ self.peaks[heavy[1]] + np.bincount(self.of[top], weight * self.most[top], self.blocks)
+        by = np.argsort(-bound, kind="stable")
+        cosine = np.zeros((self.blocks, self.block))
         own = int(np.flatnonzero(self.order == without)[0]) if without >= 0 else -1
-        number = _runs(starts, sizes)
-        cosine = self._cosines(number[front[of]], weight[front[of]], own)
-        rest = ~front & (bound > 0) & (bound >= self._worst(cosine, k) - 1e-6)
-        inside = rest[of]
-        if 4 * inside.sum() < len(of):
-            cosine += self._cosines(number[inside], weight[inside], own)
-        elif inside.any():  # much is left: whole lists are read faster than their parts
-            sizes = self.begin[starts + sizes] - self.begin[starts]
-            cosine = np.bincount(np.concatenate(place), np.repeat(weights, sizes) * np.concatenate(posting), len(cosine))
-            if own >= 0:
-                cosine[own] = 0
-        worst = self._worst(cosine, k)
+        front = 2 * (k // self.block + 1)
+        self._add(cosine, np.sort(by[:front]), *heavy, top, weight, own)
+        later = by[front:]
+        later = np.sort(later[(bound[later] > 0) & (bound[later] >= self._worst(cosine, k) - 1e-9)])
+        if len(later):
+            self._add(cosine, later, *heavy, top, weight, own)
+        worst, cosine = self._worst(cosine, k), cosine.reshape(-1)
         found = np.flatnonzero((cosine > 0) & (cosine >= worst - 1e-9))
         found = found[np.argsort(-cosine[found].round(9), kind="stable")]
         return self.order[found], cosine[found]
 
     @staticmethod
     def _worst(cosine: np.ndarray, k: int) -> float:
-        return np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
-
-    def _cosines(self, top: np.ndarray, weight: np.ndarray, own: int) -> np.ndarray:
-        """By the postings of some terms in some blocks; nothing for the example at place `own`."""
+        return np.partition(cosine.reshape(-1), -k)[-k] if cosine.size >= k else 0.0
+
+    def _add(self, cosine: np.ndarray, blocks: np.ndarray, heavy: np.ndarray, row: np.ndarray, top: np.ndarray, weight: np.ndarray, own: int) -> None:
+        """The cosines of some blocks; none for the example at place `own`."""
+        part = self.matrix[row] if len(blocks) == self.blocks else self.matrix[row[:, None], blocks]
+        cosine[blocks] = (heavy @ part.reshape(len(row), len(blocks) * self.block)).reshape(len(blocks), self.block)
+        inside = np.zeros(self.blocks, dtype=bool)
+        inside[blocks] = True
+        inside = inside[self.of[top]]
+        top, weight = top[inside], weight[inside]
         sizes = self.begin[top + 1] - self.begin[top]
         at = _runs(self.begin[top], sizes)
-        cosine = np.bincount(self.place[at], np.repeat(weight, sizes) * self.weight[at], self.blocks * self.block)
+        cosine += np.bincount(self.place[at], np.repeat(weight, sizes) * self.weight[at], cosine.size).reshape(cosine.shape)
         if own >= 0:
-            cosine[own] = 0
-        return cosine
+            cosine.reshape(-1)[own] = 0
 
 
 class Model:
@@ -170,12 +180,28 @@ class Model:
 
     def __init__(self, number: Vocabulary, idf: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray, int, int, int]], neighbours: int = NEIGHBOURS):
         self.number, self.idf, self.neighbours = number, idf, neighbours
+        self.entries = [(e[0], e[1], e[3]) for e in entries]
         self.share = np.array([e[2] / e[3] for e in entries])
         self.first = np.array([e[4] for e in entries], dtype=np.int64)
         self.rate = float((self.share.sum() + 0.5) / (len(entries) + 1)) if entries else 0.0
         self.index = Index([self.vector(e[0], e[1]) for e in entries], len(number))
         self.slope, self.shift = 1.0, 0.0
 
+    def __getstate__(self) -> dict:
+        """Without the index, which is made again from the counts, and these as steps: a tenth of the size."""
+        terms = np.concatenate([np.zeros(0, np.int32), *(np.diff(e[0], prepend=0).astype(np.int32) for e in self.entries)])
+        counts = np.concatenate([np.zeros(0, np.int32), *(e[1].astype(np.int32) for e in self.entries)])
+        sizes = np.array([(len(e[0]), e[2]) for e in self.entries], dtype=np.int64).reshape(-1, 2)
+        return self.__dict__ | {"entries": (zlib.compress(terms.tobytes(), 1), zlib.compress(counts.tobytes(), 1), sizes), "index": None}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        terms, counts, sizes = state["entries"]
+        cuts = np.cumsum(sizes[:, 0])[:-1]
+        terms, counts = (np.split(np.frombuffer(zlib.decompress(x), np.int32), cuts) for x in (terms, counts))
+        self.entries = [(np.cumsum(t, dtype=np.int64), c.astype(float), n) for t, c, n in zip(terms, counts, sizes[:, 1].tolist())]
+        self.index = Index([self.vector(t, c) for t, c, _ in self.entries], len(self.number))
+
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weights = (1 + np.log(counts)) * self.idf[terms]
         return terms, weights / (np.sqrt((weights**2).sum()) or 1.0)
@@ -267,6 +293,7 @@ def document_counts(docs: DataFrame, number: Vocabulary) -> tuple[int, np.ndarra
             rows = int(own[0])
         else:
             out[row.chunk * CHUNK : row.chunk * CHUNK + len(own)] = own
+    sent.unpersist()
     return rows, out
 
 
@@ -293,31 +320,30 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
         by = np.argsort(terms)
         unpacked.append((terms[by], counts[by], *own))
     model = Model(number, idf, unpacked)
-    votes, toxic = _votes(spark, model, unpacked)
-    model.calibrate(votes, toxic)
+    model.calibrate(*_votes(spark, model))
     return model
 
 
-def _votes(spark: SparkSession, model: Model, entries: list) -> tuple[np.ndarray, np.ndarray]:
+def _votes(spark: SparkSession, model: Model) -> tuple[np.ndarray, np.ndarray]:
     """The vote on an example of each entry that has terms, by the other examples, and its label; dealt to the tasks.
 
     An entry of several examples keeps its vote, as the others of them are left.
     """
-    some = [k for k, e in enumerate(entries) if len(e[0])]
+    some = [k for k, e in enumerate(model.entries) if len(e[0])]
     if not some:
         return np.zeros(0), np.zeros(0)
-    sent = spark.sparkContext.broadcast((model, [(e[0].astype(np.int32), e[1].astype(np.int32), e[3]) for e in entries]))
+    sent = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            model, vectors = sent.value
             found = []
             for k in batch["k"].to_pylist():
-                terms, counts, n = vectors[k]
-                found.append(model.vote(terms.astype(np.int64), counts.astype(float), k if n == 1 else -1)[0])
+                terms, counts, n = sent.value.entries[k]
+                found.append(sent.value.vote(terms, counts, k if n == 1 else -1)[0])
             yield pa.RecordBatch.from_arrays([batch["k"], pa.array(found, pa.float64())], names=["k", "vote"])
 
     rows = spark.createDataFrame([(k,) for k in some], "k int").repartition(min(tasks(spark), 1 + len(some) // 64)).mapInArrow(run, "k int, vote double").collect()
+    sent.unpersist()
     rows = sorted(rows, key=lambda row: row.k)
     return np.array([row.vote for row in rows]), model.share[[row.k for row in rows]]
 
