@@ -11,9 +11,8 @@ from pyspark.sql import functions as F
 def cut(df: DataFrame) -> DataFrame:
     """Write `df` into the shared checkpoint folder and go on from there.
 
-    The folder is the session's spark.checkpoint.dir; only where none is set (tests on one
-    machine) a temporary one is made. The files outlive any executor, and Spark's cleaner
-    removes them when the frame is no longer referenced.
+    The folder is `shared_folder`. The files outlive any executor; they go when the session's application does
+    where spark.cleaner.referenceTracking.cleanCheckpoints is set, else the folder's owner clears it.
     """
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
@@ -22,8 +21,24 @@ def cut(df: DataFrame) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share."""
-    return spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="heliograph-")
+    """The folder that the driver and all executors share: spark.checkpoint.dir, else the context's checkpoint folder.
+
+    Only a session on one machine (local master) without either gets a temporary folder; a cluster without one is an error.
+    """
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if folder:
+        return folder
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    folder = tempfile.mkdtemp(prefix="heliograph-")
+    spark.sparkContext.setCheckpointDir(folder)
+    return spark.sparkContext.getCheckpointDir()
+
+
+def children(spark: SparkSession, folder: str) -> list[str]:
+    """Paths of what lies in a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    return [str(x.getPath()) for x in at.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(at)]
 
 
 def remove(spark: SparkSession, folder: str) -> None:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph import schema
 from heliograph.functions.paths import in_scope
+from heliograph.graph import children, remove
 
 #: Columns that a new analysis replaces, and those it resets.
 ANALYSED = ("content_hash", "file_size", "mtime", "width", "height", "format", "nsfw_score", "blur_score", "exif_taken", "exif_camera", "thumb_path", "analyzed_at", "phash")
@@ -113,6 +115,37 @@ def invalidate(catalogue: DataFrame, stored: str | None, recipe: str) -> tuple[D
     return catalogue.withColumns(gone), owed
 
 
+@dataclass(frozen=True)
+class Migration:
+    """What a change of recipe did: rows it touched, and where the catalogue from before it is."""
+
+    rows: int
+    backup: str | None
+
+    def take_notice(self, taken: set[Migration]) -> str | None:
+        """The notice of a change that touched rows; once only for one set of those taken."""
+        if not self.rows or self in taken:
+            return None
+        taken.add(self)
+        where = f"; the catalogue from before is in {self.backup}" if self.backup else ""
+        return f"Signatures of {self.rows:,} rows are made again by a new recipe{where}"
+
+
+def migrate_recipe(catalogue: DataFrame, stored: str | None, recipe: str, folder: str) -> tuple[DataFrame, Migration | None]:
+    """`invalidate` with a backup: the catalogue as it is is written under `folder` before signatures are dropped, and only then
+    older backups go, so there is one at any time. None where the recipe is the same."""
+    if stored == recipe:
+        return catalogue, None
+    spark, rows = catalogue.sparkSession, catalogue.count()
+    backup = publish(catalogue, f"{folder}/backup") if rows else None
+    if backup:
+        for old in children(spark, f"{folder}/backup"):
+            if not old.endswith(backup.rsplit("/", 1)[-1]):
+                remove(spark, old)
+        catalogue = spark.read.schema(catalogue.schema).parquet(backup)
+    return invalidate(catalogue, stored, recipe)[0], Migration(rows, backup)
+
+
 def migrate_kinds(groups: DataFrame) -> DataFrame:
     """Kinds by their present names."""
     return groups.withColumn("kind", F.when(F.col("kind") == "similar", F.lit(schema.VARIANT)).otherwise(F.col("kind")))

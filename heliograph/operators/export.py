@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -28,25 +30,35 @@ def directory(structure: str, destination: str, source_root: str = "") -> Column
 
 
 def resolve(names: list[str], hashes: list[str], taken: dict[str, str] | None = None) -> list[tuple[str | None, bool]]:
-    """(name, whether an identical file is there already) in turn; name None where all numbers are taken."""
+    """(name, whether an identical file is there already) in turn; name None where all numbers are taken.
+
+    For each name the next number to try and the slots passed so far are remembered, so no slot is tried twice.
+    """
     there, out = dict(taken or {}), []
+    tries: dict[str, tuple[Iterator[str], dict[str, str]]] = {}
     for name, content in zip(names, hashes):
-        dot = name.rfind(".")
-        stem, ext = (name[:dot], name[dot:]) if dot >= 0 else (name, "")
-        for n in range(1, LAST_NUMBER + 1):
-            slot = name if n == 1 else f"{stem} ({n}){ext}"
-            if slot not in there:
-                there[slot] = content
-                out.append((slot, False))
-                break
-            if there[slot] == content:
-                out.append((slot, True))
-                break
+        if name not in tries:
+            tries[name] = _slots(name), {}
+        slots, passed = tries[name]
+        slot = passed.get(content)
+        while slot is None and (slot := next(slots, "")) in there:
+            passed.setdefault(there[slot], slot)
+            slot = slot if there[slot] == content else None
+        if slot and slot not in there:
+            there[slot], passed[content] = content, slot
+            out.append((slot, False))
         else:
-            out.append((None, False))
+            out.append((slot or None, bool(slot)))
     return out
 
 
+def _slots(name: str) -> Iterator[str]:
+    dot = name.rfind(".")
+    stem, ext = (name[:dot], name[dot:]) if dot >= 0 else (name, "")
+    yield name
+    yield from (f"{stem} ({n}){ext}" for n in range(2, LAST_NUMBER + 1))
+
+
 def plan(rows: DataFrame, structure: str, destination: str, source_root: str = "", existing: DataFrame | None = None) -> DataFrame:
     """image_id, dest_path, status (copy, skipped, failed) of rows (id, path, content_hash, exif_taken), by id.
 
@@ -127,9 +139,9 @@ def run_status(journal: DataFrame) -> DataFrame:
 
 
 def to_recycle(rejected: DataFrame, journal: DataFrame, run: int) -> DataFrame:
-    """Rejects to recycle after a run: all of them if none of its keepers failed, else none."""
-    failed = journal.where((F.col("run_id") == run) & (F.col("status") == "failed")).agg(F.count("*").alias("failed"), F.lit(1).alias("one"))
-    return rejected.withColumn("one", F.lit(1)).join(failed, "one").where("failed = 0").drop("one", "failed")
+    """Rejects to recycle once a run has settled its keepers, also where some of them failed; none before it has any."""
+    ran = journal.where(F.col("run_id") == run).limit(1).select(F.lit(1).alias("one"))
+    return rejected.withColumn("one", F.lit(1)).join(F.broadcast(ran), "one", "left_semi").drop("one")
 
 
 def manifest(journal: DataFrame, images: DataFrame) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph import schema
@@ -182,15 +182,30 @@ def years(rows: DataFrame) -> DataFrame:
 
 
 def differences(rows: DataFrame, columns: tuple[str, ...] = ("width", "height", "file_size", "blur_score")) -> DataFrame:
-    """For each group and column whether its members differ; for each member whether it is strictly best."""
-    by = Window.partitionBy("dupe_group")
+    """For each group and column whether its members differ; for each member whether it is strictly best.
+
+    Aggregated by group and joined back, so a group of any size is summed before it is shuffled.
+    """
     out = rows.where("dupe_group is not null")
-    marks = []
-    for c in columns:
-        top = F.max(c).over(by)
-        marks += [(F.size(F.collect_set(F.coalesce(F.col(c).cast("string"), F.lit(""))).over(by)) > 1).alias(f"{c}_differs"), F.coalesce((F.col(c) == top) & (F.count_if(F.col(c) == F.col(f"top_{c}")).over(by) == 1) & (F.col(c) != 0), F.lit(False)).alias(f"{c}_best")]
-        out = out.withColumn(f"top_{c}", top)
-    return out.select("dupe_group", F.col("id").alias("image_id"), *marks)
+    text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(""))
+    of = []
+    for c in columns:  # the top is one member's alone if the lowest and the highest id at the top are the same
+        of += [(F.min(text(c)) != F.max(text(c))).alias(f"{c}_differs"), F.max(F.struct(c, "id")).alias(f"{c}_last"), F.max(F.struct(F.col(c), (-F.col("id")).alias("back"))).alias(f"{c}_first")]
+    facts = out.groupBy("dupe_group").agg(*of)
+    best = lambda c: F.coalesce((F.col("id") == F.col(f"{c}_last.id")) & (F.col("id") == -F.col(f"{c}_first.back")) & F.col(c).isNotNull() & (F.col(c) != 0), F.lit(False))
+    marks = [x for c in columns for x in (F.col(f"{c}_differs"), best(c).alias(f"{c}_best"))]
+    return out.join(facts, "dupe_group").select("dupe_group", F.col("id").alias("image_id"), *marks)
+
+
+def group_members(rows: DataFrame, group_id: int) -> DataFrame:
+    """The members of one group in the order of their paths, byte by byte."""
+    return rows.where(F.col("dupe_group") == group_id).select("id", "path", "is_keeper").orderBy("path")
+
+
+def members_by_path(rows: DataFrame) -> DataFrame:
+    """dupe_group and the ids of its members in the order of their paths, for all groups."""
+    of = rows.where("dupe_group is not null").groupBy("dupe_group").agg(F.sort_array(F.collect_list(F.struct("path", "id"))).alias("m"))
+    return of.select("dupe_group", F.col("m.id").alias("ids"))
 
 
 def select_by(rows: DataFrame, scope: str) -> DataFrame:

@@ -9,7 +9,8 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import labels, paths, scores
 from heliograph.functions.signals import blur_score
-from heliograph.operators import catalog, export, folders, groups, undo, view
+from heliograph.graph import cut
+from heliograph.operators import catalog, codec, export, folders, groups, undo, view
 from heliograph.operators.similarity import burst_pairs, pairs_banded, pairs_brute
 from heliograph.plans import sql
 from heliograph.sources import catalog as reading
@@ -46,12 +47,17 @@ def sample_groups(images: DataFrame) -> tuple[DataFrame, DataFrame]:
     own = exact.join(heads, "key").select("group_id", F.lit("exact").alias("kind"), "image_id", "is_keeper")
     near = images.where(F.col("id") % 50 < 3).where(F.col("id") % 50 > 0)
     burst = near.select((F.floor(F.col("id") / 50) + 1_000_000).alias("group_id"), F.lit("burst").alias("kind"), F.col("id").alias("image_id"), (F.col("id") % 50 == 1).alias("is_keeper"))
-    every = own.unionByName(burst)
+    every = cut(own.unionByName(burst))
     return every.select(F.col("group_id").alias("id"), "kind", F.lit(None).cast("string").alias("similarity")).distinct(), every.drop("kind")
 
 
+def library(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalogue, written once: what is derived from it several times reads no text and makes no hash again."""
+    return cut(catalogue(spark, sf_dir))
+
+
 def browse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    images = catalogue(spark, sf_dir)
+    images = library(spark, sf_dir)
     return view.view(images, *sample_groups(images), RULE)
 
 
@@ -102,8 +108,8 @@ def pending_scores(spark, sf_dir):
 
 @query(sql.PENDING_OF_IDS)
 def pending_scores_of_ids(spark, sf_dir):
-    images = catalogue(spark, sf_dir)
-    return reading.pending_scores(images, ids=images.where("id % 9 = 0").select("id"), tiled=False)
+    images = library(spark, sf_dir)
+    return reading.pending_scores(images, ids=images.where("analyzed_at IS NULL").select("id"), tiled=False)
 
 
 @query(sql.PATHS)
@@ -221,17 +227,23 @@ def group_differences(spark, sf_dir):
     return view.differences(browse(spark, sf_dir), ("width", "file_size", "blur_score"))
 
 
+@query(sql.MEMBERS_BY_PATH)
+def members_by_path(spark, sf_dir):
+    out = view.members_by_path(browse(spark, sf_dir))
+    return out.select("dupe_group", F.array_join(F.transform("ids", lambda x: x.cast("string")), ",").alias("ids"))
+
+
 @query(sql.LIVE)
 def live_group_members(spark, sf_dir):
     """Members that are present, of groups of two or more, with a keeper in each."""
-    images = catalogue(spark, sf_dir)
-    return view.live_members(images.where("id % 4 <> 1"), *sample_groups(images))
+    images = library(spark, sf_dir)
+    return view.live_members(images.where("dupe_checked_at IS NOT NULL"), *sample_groups(images))
 
 
 @query(sql.INVERT)
 def selection_invert(spark, sf_dir):
-    rows = browse(spark, sf_dir)
-    return view.invert(rows.where("id % 3 = 0"), rows.where(view.Filters(nsfw="review").matches()))
+    rows = cut(browse(spark, sf_dir))
+    return view.invert(rows.where("blur_score >= 100"), rows.where(view.Filters(nsfw="review").matches()))
 
 
 @query(sql.SELECT_EXTRAS)
@@ -241,8 +253,8 @@ def selection_of_extras(spark, sf_dir):
 
 @query(sql.REJECTS)
 def rejects_total(spark, sf_dir):
-    images = catalogue(spark, sf_dir)
-    return view.rejects(images, images.where("id % 4 = 1")).agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"))
+    images = library(spark, sf_dir)
+    return view.rejects(images, images.where("dupe_checked_kinds = 7")).agg(F.count("*").alias("n"), F.sum("file_size").alias("bytes"))
 
 
 @query(sql.ROLLUP)
@@ -314,22 +326,22 @@ def detection(spark, sf_dir):
 
 @query(sql.BLUR)
 def grid_blur(spark, sf_dir):
-    """Sharpness of the 8 x 8 grids, rounded."""
+    """Sharpness of embeddings as grids of eight rows, rounded."""
 
     @F.pandas_udf("double")
     def of(cells):
         import numpy as np
 
-        return cells.map(lambda x: blur_score(np.asarray(x[:64], dtype="float32").reshape(8, 8)))
+        return cells.map(lambda x: blur_score(np.asarray(x, dtype="float32").reshape(8, -1)))
 
     return spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", F.round(of("embedding"), 4).alias("blur"))
 
 
 def _old_and_new(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
-    """A catalogue without every fifth row, and a scan in which every third row has grown."""
-    images = catalogue(spark, sf_dir)
-    new = images.where("id % 3 = 0 OR id % 5 = 0").withColumn("file_size", F.col("file_size") + F.when(F.col("id") % 3 == 0, 1).otherwise(0))
-    return images.where("id % 5 <> 0"), new.drop("id")
+    """A catalogue of the rows with a camera, and a scan of all rows, in which those without sharpness have grown."""
+    images = library(spark, sf_dir)
+    new = images.withColumn("file_size", F.col("file_size") + F.col("blur_score").isNull().cast("int"))
+    return images.where("exif_camera IS NOT NULL"), new.drop("id")
 
 
 @query(sql.PROBE)
@@ -342,13 +354,13 @@ def incremental_probe(spark, sf_dir):
 def catalogue_upsert(spark, sf_dir):
     """Known ids stay; new ones follow the highest, by path."""
     old, new = _old_and_new(spark, sf_dir)
-    return catalog.upsert(old, new).select("id", "path", "file_size", "nsfw_tile_mean", "dupe_checked_at", "dupe_checked_kinds")
+    return catalog.upsert(old, new.where("blur_score IS NULL OR exif_camera IS NULL")).select("id", "path", "file_size", "nsfw_tile_mean", "dupe_checked_at", "dupe_checked_kinds")
 
 
 @query(sql.PRUNE)
 def catalogue_prune(spark, sf_dir):
-    images = catalogue(spark, sf_dir)
-    return catalog.prune(images, images.where("id % 6 <> 0").select("path"), SRC).select("id", "path")
+    images = library(spark, sf_dir)
+    return catalog.prune(images, images.where("blur_score IS NOT NULL").select("path"), SRC).select("id", "path")
 
 
 @query(sql.MARK)
@@ -358,29 +370,29 @@ def mark_checked(spark, sf_dir):
 
 @query(sql.UPDATED)
 def scores_update(spark, sf_dir):
-    images = catalogue(spark, sf_dir)
-    return catalog.updated(images, images.where("id % 8 = 0").select("id", F.lit(0.33).alias("nsfw_score"))).select("id", "nsfw_score")
+    images = library(spark, sf_dir)
+    return catalog.updated(images, images.where("analyzed_at IS NULL").select("id", F.lit(0.33).alias("nsfw_score"))).select("id", "nsfw_score")
 
 
 @query(sql.CLEAR_KIND)
 def clear_kind(spark, sf_dir):
     """Groups under one folder go, those that straddle it stay."""
-    images = catalogue(spark, sf_dir)
+    images = library(spark, sf_dir)
     kept, _ = catalog.clear_kind(*sample_groups(images), images, "exact", SRC)
     return kept.select("id", "kind")
 
 
 @query(sql.TOGGLE)
 def keeper_toggle(spark, sf_dir):
-    _, members = sample_groups(catalogue(spark, sf_dir))
+    _, members = sample_groups(library(spark, sf_dir))
     least = members.groupBy("group_id").agg(F.min("image_id").alias("image_id"))
     return catalog.toggle_keepers(members, least)
 
 
 @query(sql.FAILURES)
 def failure_reasons(spark, sf_dir):
-    rows = catalogue(spark, sf_dir).where("id % 5 < 2")
-    out = files.failure_reasons(rows.select("path", F.when(F.col("id") % 5 == 0, "unreadable").otherwise("not a picture").alias("reason")), 3)
+    rows = catalogue(spark, sf_dir).where("exif_taken IS NULL OR blur_score IS NULL")
+    out = files.failure_reasons(rows.select("path", F.when(F.col("exif_taken").isNull(), "unreadable").otherwise("not a picture").alias("reason")), 3)
     return out.select("reason", "n", F.array_join("paths", "|").alias("paths"), "more")
 
 
@@ -393,7 +405,7 @@ def unsupported_formats(spark, sf_dir):
 
 def _exported(spark, sf_dir) -> DataFrame:
     """Rows whose names collide: a hundred names over all ids."""
-    rows = catalogue(spark, sf_dir)
+    rows = library(spark, sf_dir)
     return rows.withColumn("path", F.concat(F.regexp_replace("path", "/[^/]*$", "/"), (F.col("id") % 100).cast("string"), F.lit(".txt")))
 
 
@@ -419,9 +431,11 @@ def export_preflight(spark, sf_dir):
 
 
 def _journal(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """A run after which files whose content begins with 0 are missing, and those that begin with 1 are broken."""
     rows = _exported(spark, sf_dir)
-    planned = export.plan(rows, "flat", "/out").join(rows.select(F.col("id").alias("image_id"), "content_hash"), "image_id")
-    found = planned.where("image_id % 10 <> 0").select(F.col("dest_path").alias("path"), F.when(F.col("image_id") % 10 == 1, F.lit("broken")).otherwise(F.col("content_hash")).alias("content_hash"), "status")
+    planned = cut(export.plan(rows, "flat", "/out").join(rows.select(F.col("id").alias("image_id"), "content_hash"), "image_id"))
+    there = planned.where(~F.startswith("content_hash", F.lit("0")))
+    found = there.select(F.col("dest_path").alias("path"), F.when(F.startswith("content_hash", F.lit("1")), F.lit("broken")).otherwise(F.col("content_hash")).alias("content_hash"), "status")
     return planned, export.verified(planned, found.where("status = 'copy'").drop("status"), 1)
 
 
@@ -438,10 +452,23 @@ def export_resume(spark, sf_dir):
 
 @query(sql.MANIFEST)
 def export_manifest(spark, sf_dir):
-    rows = export.manifest(_journal(spark, sf_dir)[1], catalogue(spark, sf_dir).where("id % 7 <> 0"))
+    rows = export.manifest(_journal(spark, sf_dir)[1], catalogue(spark, sf_dir).where("exif_taken IS NOT NULL"))
     return rows.select("image_id", "status", export.csv_quote(F.concat(F.col("source"), F.lit(",x"))).alias("source"), "destination", "detail")
 
 
+@query(sql.CODEC)
+def codec_round_trip(spark, sf_dir):
+    """Texts zipped by 64 ids, encrypted, embedded behind a carrier, and back again."""
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    batch = F.floor(F.col("doc_id") / 64).cast("string")
+    packed = codec.zipped(rows.select(batch.alias("batch"), F.concat(F.lit("/in/"), F.col("doc_id").cast("string"), F.lit(".txt")).alias("path"), F.encode("text", "utf-8").alias("content")))
+    sealed = codec.encrypt(packed, "pass phrase", 1000)
+    carried = sealed.select("batch", codec.embed(F.encode(F.lit("carrier"), "utf-8"), F.col("payload"), F.lit(True)).alias("file"))
+    found = carried.select("batch", codec.extract(F.col("file")).alias("x")).select("batch", "x.payload", "x.encrypted")
+    opened = codec.unzipped(codec.decrypt(found.where("encrypted"), "pass phrase").where("error IS NULL"))
+    return opened.select("batch", "name", F.sha2("content", 256).alias("sha256"), "error")
+
+
 def _log(spark, sf_dir) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return rows.select(

@@ -32,7 +32,7 @@ DETECTOR_ROWS = f"WITH {_CAT} SELECT id, path, pixels, file_size AS bytes, exif_
 BY_IDS = f"WITH {_CAT} SELECT CAST(pos AS INT) AS pos, id, path FROM (VALUES (0, 7), (1, 3), (2, 7), (3, 1000000000), (4, 11)) t(pos, want) JOIN cat ON id = want"
 PATH_INDEX = f"WITH {_CAT} SELECT path, id, pixels, file_size AS bytes FROM px"
 PENDING_SCORES = f"WITH {_CAT} SELECT id, path FROM cat WHERE nsfw_score IS NULL OR nsfw_tile_mean IS NULL"
-PENDING_OF_IDS = f"WITH {_CAT} SELECT id, path FROM cat WHERE id % 9 = 0 AND nsfw_score IS NULL"
+PENDING_OF_IDS = f"WITH {_CAT} SELECT id, path FROM cat WHERE analyzed_at IS NULL AND nsfw_score IS NULL"
 PATHS = r"""
 WITH p AS (SELECT page_id, url, regexp_replace(url, '/[^/]*$', '') AS folder, regexp_extract(url, '[^/]*$') AS file_name FROM pages),
   s AS (SELECT *, list_filter(string_split(folder, '/'), lambda x: x <> '') AS seg FROM p)
@@ -76,11 +76,13 @@ DIFFERENCES = _VIEW + """, t AS (SELECT *, max(width) OVER g AS m1, max(file_siz
     count_if(width = m1) AS c1, count_if(file_size = m2) AS c2, count_if(blur_score = m3) AS c3 FROM t GROUP BY 1)
 SELECT dupe_group, id AS image_id, width_differs, coalesce(width = m1 AND c1 = 1 AND width <> 0, false) AS width_best, file_size_differs, coalesce(file_size = m2 AND c2 = 1 AND file_size <> 0, false) AS file_size_best,
   blur_score_differs, coalesce(blur_score = m3 AND c3 = 1 AND blur_score <> 0, false) AS blur_score_best FROM t JOIN a ON dg = dupe_group"""
-LIVE = "WITH " + _MEMBERS + """, p AS (SELECT * FROM mem WHERE image_id % 4 <> 1), l AS (SELECT *, count(*) OVER g AS c, bool_or(is_keeper) OVER g AS k, min(image_id) OVER g AS f FROM p WINDOW g AS (PARTITION BY group_id))
+MEMBERS_BY_PATH = _VIEW + "SELECT dupe_group, string_agg(id::VARCHAR, ',' ORDER BY path) AS ids FROM vw WHERE dupe_group IS NOT NULL GROUP BY dupe_group"
+CODEC = "SELECT (doc_id // 64)::VARCHAR AS batch, doc_id || '.txt' AS name, sha256(coalesce(text, '')) AS sha256, NULL::VARCHAR AS error FROM documents"
+LIVE = "WITH " + _MEMBERS + """, p AS (SELECT mem.* FROM mem JOIN cat ON image_id = id WHERE dupe_checked_at IS NOT NULL), l AS (SELECT *, count(*) OVER g AS c, bool_or(is_keeper) OVER g AS k, min(image_id) OVER g AS f FROM p WINDOW g AS (PARTITION BY group_id))
 SELECT group_id, kind, image_id, CASE WHEN k THEN is_keeper ELSE image_id = f END AS is_keeper FROM l WHERE c >= 2"""
-INVERT = _VIEW + "SELECT id FROM vw WHERE (id % 3 = 0) <> (band IN ('likely', 'unsure'))"
+INVERT = _VIEW + "SELECT id FROM vw WHERE coalesce(blur_score >= 100, false) <> (band IN ('likely', 'unsure'))"
 SELECT_EXTRAS = _VIEW + f"SELECT id FROM vw WHERE {EXTRA}"
-REJECTS = f"WITH {_CAT} SELECT count(*) AS n, CAST(sum(file_size) AS BIGINT) AS bytes FROM cat WHERE id % 4 <> 1"
+REJECTS = f"WITH {_CAT} SELECT count(*) AS n, CAST(sum(file_size) AS BIGINT) AS bytes FROM cat WHERE dupe_checked_kinds <> 7"
 _STEPS = "count_if(analyzed_at IS NOT NULL)::BIGINT AS analyzed, count_if(blur_score IS NOT NULL)::BIGINT AS blur, count_if(exif_taken IS NOT NULL)::BIGINT AS dated, count_if(nsfw_score IS NOT NULL)::BIGINT AS nsfw, count_if(dupe_checked_at IS NOT NULL AND dupe_checked_kinds & 5 = 5)::BIGINT AS deduped, count_if(dupe_group IS NOT NULL)::BIGINT AS in_dupe_group"
 ROLLUP = _VIEW + f""", e AS (SELECT vw.*, unnest(list_transform(range(2, len(string_split(folder, '/')) + 1), lambda n: array_to_string(string_split(folder, '/')[:n], '/'))) AS up FROM vw)
 SELECT up AS path, count_if(folder = up)::BIGINT AS direct_count, count(*) AS total_count, {_STEPS} FROM e GROUP BY up"""
@@ -120,20 +122,20 @@ SELECT DISTINCT gid AS id, kind FROM g WHERE gid NOT IN (SELECT gid FROM c)"""
 BLUR = f"""
 WITH l AS (SELECT vec_id, {', '.join(f"CAST(embedding[{8 * y + x + 1 - 8}] + embedding[{8 * y + x + 1 + 8}] + embedding[{8 * y + x}] + embedding[{8 * y + x + 2}] - 4::FLOAT * embedding[{8 * y + x + 1}] AS DOUBLE) AS l{y}_{x}" for y in range(1, 7) for x in range(1, 7))} FROM embeddings)
 SELECT vec_id, round(({' + '.join(f'l{y}_{x} * l{y}_{x}' for y in range(1, 7) for x in range(1, 7))}) / 64 - pow(({' + '.join(f'l{y}_{x}' for y in range(1, 7) for x in range(1, 7))}) / 64, 2), 4) AS blur FROM l"""
-PROBE = f"WITH {_CAT} SELECT path, CASE WHEN id % 5 = 0 THEN 'new' WHEN id % 3 = 0 OR analyzed_at IS NULL THEN 'changed' ELSE 'cached' END AS status FROM cat WHERE id % 3 = 0 OR id % 5 = 0"
+PROBE = f"WITH {_CAT} SELECT path, CASE WHEN exif_camera IS NULL THEN 'new' WHEN blur_score IS NULL OR analyzed_at IS NULL THEN 'changed' ELSE 'cached' END AS status FROM cat"
 UPSERT = f"""
-WITH {_CAT}, old AS (SELECT * FROM cat WHERE id % 5 <> 0), top AS (SELECT max(id) AS m FROM old)
-SELECT id, path, file_size, nsfw_tile_mean, dupe_checked_at, dupe_checked_kinds FROM old WHERE id % 3 <> 0
-UNION ALL SELECT id, path, file_size + 1, NULL, NULL, 0 FROM old WHERE id % 3 = 0
-UNION ALL SELECT m + row_number() OVER (ORDER BY path), path, file_size + (id % 3 = 0)::INT, NULL, NULL, 0 FROM cat, top WHERE id % 5 = 0"""
-PRUNE = f"WITH {_CAT} SELECT id, path FROM cat WHERE NOT ({_SRC}) OR id % 6 <> 0"
+WITH {_CAT}, old AS (SELECT * FROM cat WHERE exif_camera IS NOT NULL), top AS (SELECT max(id) AS m FROM old)
+SELECT id, path, file_size, nsfw_tile_mean, dupe_checked_at, dupe_checked_kinds FROM old WHERE blur_score IS NOT NULL
+UNION ALL SELECT id, path, file_size + 1, NULL, NULL, 0 FROM old WHERE blur_score IS NULL
+UNION ALL SELECT m + row_number() OVER (ORDER BY path), path, file_size + (blur_score IS NULL)::INT, NULL, NULL, 0 FROM cat, top WHERE exif_camera IS NULL"""
+PRUNE = f"WITH {_CAT} SELECT id, path FROM cat WHERE NOT ({_SRC}) OR blur_score IS NOT NULL"
 MARK = f"WITH {_CAT} SELECT id, CASE WHEN {_SRC} THEN 1800000000 ELSE dupe_checked_at END::BIGINT AS dupe_checked_at, CASE WHEN {_SRC} THEN 7 ELSE dupe_checked_kinds END::INT AS dupe_checked_kinds FROM cat"
-UPDATED = f"WITH {_CAT} SELECT id, CASE WHEN id % 8 = 0 THEN 0.33::DOUBLE ELSE nsfw_score END AS nsfw_score FROM cat"
+UPDATED = f"WITH {_CAT} SELECT id, CASE WHEN analyzed_at IS NULL THEN 0.33::DOUBLE ELSE nsfw_score END AS nsfw_score FROM cat"
 CLEAR_KIND = "WITH " + _MEMBERS + f", a AS (SELECT group_id, kind, bool_and({_SRC}) AS inside FROM mem JOIN cat ON id = image_id GROUP BY 1, 2) SELECT group_id AS id, kind FROM a WHERE NOT (kind = 'exact' AND inside)"
 TOGGLE = "WITH " + _MEMBERS + """, k AS (SELECT *, count_if(is_keeper) OVER (PARTITION BY group_id) AS n, min(image_id) OVER (PARTITION BY group_id) AS f FROM mem)
 SELECT group_id, image_id, CASE WHEN image_id = f AND NOT (is_keeper AND n <= 1) THEN NOT is_keeper ELSE is_keeper END AS is_keeper FROM k"""
 FAILURES = f"""
-WITH {_CAT}, r AS (SELECT path, CASE WHEN id % 5 = 0 THEN 'unreadable' ELSE 'not a picture' END AS reason FROM cat WHERE id % 5 < 2),
+WITH {_CAT}, r AS (SELECT path, CASE WHEN exif_taken IS NULL THEN 'unreadable' ELSE 'not a picture' END AS reason FROM cat WHERE exif_taken IS NULL OR blur_score IS NULL),
   k AS (SELECT *, row_number() OVER (PARTITION BY reason ORDER BY path) AS k FROM r)
 SELECT reason, count(*) AS n, string_agg(path, '|' ORDER BY path) FILTER (WHERE k <= 3) AS paths, greatest(count(*) - 3, 0) AS more FROM k GROUP BY reason"""
 UNSUPPORTED = f"WITH {_CAT} SELECT CASE id % 4 WHEN 0 THEN 'HEIC' WHEN 1 THEN 'CR2' ELSE 'NEF' END AS extension, count(*) AS n FROM cat WHERE id % 4 <> 2 GROUP BY 1"
@@ -149,11 +151,11 @@ EXPORT_MIRROR = f"WITH {_CAT}, " + _PLANNED.format(dir=f"CASE WHEN {_SRC} THEN '
 PREFLIGHT = f"""
 WITH {_CAT}, s AS (SELECT DISTINCT '/out/' || coalesce(strftime(make_timestamp(exif_taken * 1000000), '%Y/%Y-%m'), 'undated') AS d FROM (SELECT * FROM cat ORDER BY id LIMIT 5))
 SELECT count(*) AS files, CAST(sum(file_size) AS BIGINT) AS bytes, sum(file_size) < 1000000 AS enough, (SELECT string_agg(d, '|' ORDER BY d) FROM s) AS samples FROM cat"""
-_JOURNAL = _FLAT + """, j AS (SELECT image_id, dest_path, content_hash, CASE WHEN status = 'skipped' THEN 'skipped' WHEN image_id % 10 IN (0, 1) THEN 'failed' ELSE 'verified' END AS status FROM p)"""
+_JOURNAL = _FLAT + """, j AS (SELECT image_id, dest_path, content_hash, CASE WHEN status = 'skipped' THEN 'skipped' WHEN content_hash[1] IN ('0', '1') THEN 'failed' ELSE 'verified' END AS status FROM p)"""
 RUN_STATUS = _JOURNAL + " SELECT 1::BIGINT AS run_id, count_if(status = 'verified')::BIGINT AS exported, count_if(status = 'skipped')::BIGINT AS skipped, count_if(status = 'failed')::BIGINT AS failed, CASE WHEN bool_or(status = 'failed') THEN 'partial' ELSE 'done' END AS status FROM j"
 REMAINING = _JOURNAL + " SELECT image_id, dest_path FROM j WHERE status = 'failed'"
-MANIFEST = _JOURNAL + """ SELECT image_id, status, '"' || CASE WHEN image_id % 7 = 0 THEN '' ELSE cat.path END || ',x"' AS source, dest_path AS destination,
-  CASE WHEN status = 'skipped' THEN 'identical file exists' WHEN status = 'verified' THEN '' WHEN image_id % 10 = 0 THEN 'missing' ELSE 'differs' END AS detail FROM j JOIN cat ON id = image_id"""
+MANIFEST = _JOURNAL + """ SELECT image_id, status, '"' || CASE WHEN exif_taken IS NULL THEN '' ELSE cat.path END || ',x"' AS source, dest_path AS destination,
+  CASE WHEN status = 'skipped' THEN 'identical file exists' WHEN status = 'verified' THEN '' WHEN j.content_hash[1] = '0' THEN 'missing' ELSE 'differs' END AS detail FROM j JOIN cat ON id = image_id"""
 _LOG = "WITH l AS (SELECT event_id AS id, 'b' || user_id % 20 AS batch_id, floor(epoch(ts))::BIGINT AS ts_utc, (event_id % 3 = 0)::INT AS restored FROM events)"
 UNDO_BATCHES = _LOG + " SELECT batch_id, min(ts_utc) AS ts_utc, count(*) AS total, CAST(sum(restored) AS BIGINT) AS restored FROM l GROUP BY batch_id"
 UNDO_ITEMS = _LOG + " SELECT batch_id, id, CAST(place AS INT) AS place FROM (SELECT *, row_number() OVER (PARTITION BY batch_id ORDER BY id) AS place FROM l) WHERE place <= 8"

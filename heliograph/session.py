@@ -20,6 +20,7 @@ def session(app: str = "heliograph", master: str | None = None, partitions: int
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.adaptive.coalescePartitions.enabled": "true",
+        "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
     } | ({"spark.sql.shuffle.partitions": str(partitions)} if partitions else {})
     return builder.config(map=settings | {k.replace("__", "."): v for k, v in conf.items()}).getOrCreate()
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, fields
+from math import isfinite
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from heliograph import schema
 from heliograph.functions.labels import pixels
 from heliograph.functions.paths import in_scope
+from heliograph.functions.scores import Rule
 
 
 def scan(images: DataFrame, root: str | None = None) -> DataFrame:
@@ -96,6 +98,22 @@ def save_settings(settings: Settings) -> dict[str, str]:
     return {"dedup." + f.name.replace("_", "."): str(int(getattr(settings, f.name))) for f in fields(Settings)}
 
 
+def load_rule(stored: dict[str, str]) -> tuple[Rule, bool]:
+    """The stored thresholds of the score, sanitised, and whether tiles are scored; what is missing or no number is the default."""
+    values = {}
+    for f in fields(Rule):
+        try:
+            values[f.name] = float(stored["score." + f.name.replace("_", ".")])
+        except (KeyError, TypeError, ValueError):
+            continue
+    return Rule(**{k: v for k, v in values.items() if isfinite(v)}).sanitised(), stored.get("score.tiled", "1") == "1"
+
+
+def save_rule(rule: Rule, tiled: bool = True) -> dict[str, str]:
+    rule = rule.sanitised()
+    return {"score." + f.name.replace("_", "."): repr(getattr(rule, f.name)) for f in fields(Rule)} | {"score.tiled": str(int(tiled))}
+
+
 @dataclass(frozen=True)
 class Preprocess:
     """How a classifier's input is made."""

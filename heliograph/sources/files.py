@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.functions.paths import extension
+from heliograph.functions.paths import extension, in_scope
 
 #: File types that are decoded, and types that are recognised but can't be.
 DECODED = ("JPG", "JPEG", "PNG", "WEBP", "GIF", "BMP", "TIF", "TIFF")
@@ -43,6 +43,15 @@ def probe(files: DataFrame, catalogue: DataFrame) -> DataFrame:
     return files.join(known, "path", "left").withColumn("status", status).drop("known_size", "known_mtime", "analysed")
 
 
+def rescan(files: DataFrame, catalogue: DataFrame, folder: str) -> tuple[DataFrame, DataFrame]:
+    """One folder anew, the session's root left alone: its files with their status, and the catalogue without its rows
+    whose files are gone. Rows beyond the folder stay as they are."""
+    from heliograph.operators.catalog import prune
+
+    here = files.where(in_scope(F.col("path"), folder))
+    return probe(here, catalogue.where(in_scope(F.col("path"), folder))), prune(catalogue, here.select("path"), folder)
+
+
 def failure_reasons(failures: DataFrame, first: int = 8) -> DataFrame:
     """reason, n, and the first paths of each reason with how many more there are; most first."""
     from pyspark.sql import Window

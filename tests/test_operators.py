@@ -1,9 +1,12 @@
+import os
+import random
+
 import pytest
 
 from heliograph import schema
 from heliograph.functions import labels, paths, scores
 from heliograph.functions.signals import decode_pgm, pixel_signals
-from heliograph.operators import catalog, codec, export, folders, groups, inference, undo, view
+from heliograph.operators import catalog, codec, export, folders, groups, inference, transfer, undo, view
 from heliograph.sources import catalog as reading
 from heliograph.sources import files
 from heliograph.streaming import scan
@@ -213,10 +216,10 @@ def test_export_names_that_look_numbered_and_existing_files(spark):
     assert export.resolve(["a"], ["h"], {"a": "z", **{f"a ({n})": "z" for n in range(2, 10000)}}) == [(None, False)]
 
 
-def test_rejects_wait_for_keepers(spark):
-    journal = spark.createDataFrame([(1, 1, "/o/a", "failed", None, "differs"), (2, 1, "/o/a", "verified", None, None)], schema.EXPORT_ITEMS)
+def test_rejects_go_after_the_run_whether_or_not_a_keeper_failed(spark):
+    journal = spark.createDataFrame([(1, 1, "/o/a", "failed", None, "differs"), (2, 2, "/o/a", "verified", None, None)], schema.EXPORT_ITEMS)
     rejected = spark.createDataFrame([(5,)], "id long")
-    assert export.to_recycle(rejected, journal, 1).count() == 0 and export.to_recycle(rejected, journal, 2).count() == 1
+    assert [export.to_recycle(rejected, journal, run).count() for run in (1, 2, 3)] == [1, 1, 0]
     assert export.effective_mode("hardlink", False) == "copy"
 
 
@@ -327,3 +330,96 @@ def test_vanished_facets(spark):
 def test_seconds_left(spark):
     df = spark.createDataFrame([("a", 0, 0), ("a", 1000, 10), ("a", 9000, 20), ("b", 5, 100)], "job string, ms long, done long")
     assert [r.eta for r in scan.seconds_left(df, 100).orderBy("job", "ms").collect()] == [None, 9.0, None, None]
+
+
+def test_slots_are_settled_as_one_by_one():
+    rng = random.Random(6)
+
+    def plain(names, hashes, taken):
+        there, out = dict(taken), []
+        for name, content in zip(names, hashes):
+            stem, ext = os.path.splitext(name)
+            for slot in [name, *(f"{stem} ({n}){ext}" for n in range(2, 60))]:
+                if there.get(slot, content) == content:
+                    out.append((slot, slot in there))
+                    there[slot] = content
+                    break
+        return out
+
+    for _ in range(300):
+        names = rng.choices(["a.x", "a (2).x", "b", "a (3).x"], k=12)
+        hashes = rng.choices("hijk", k=12)
+        taken = {n: rng.choice("hijk") for n in rng.sample(["a.x", "a (2).x", "a (5).x", "b (2)"], 2)}
+        assert export.resolve(names, hashes, taken) == plain(names, hashes, taken)
+
+
+def test_many_files_of_one_name():
+    names = export.resolve(["n.txt"] * 12_000, [f"h{k}" for k in range(12_000)])
+    assert names[0] == ("n.txt", False) and names[9998] == ("n (9999).txt", False) and set(names[9999:]) == {(None, False)}
+
+
+def test_differences_of_groups(spark):
+    rows = spark.createDataFrame([(1, 7, 10, "a"), (2, 7, 20, "a"), (3, 7, None, "a"), (4, 8, 5, None), (5, 8, 5, ""), (6, None, 1, "z"), (7, 9, 0, "x"), (8, 9, None, "y")], "id long, dupe_group long, size long, name string")
+    out = view.differences(rows, ("size",)).collect()
+    got = {r.image_id: (r.size_differs, r.size_best) for r in out}
+    assert got == {1: (True, False), 2: (True, True), 3: (True, False), 4: (False, False), 5: (False, False), 7: (True, False), 8: (True, False)}
+
+
+def test_members_in_order_of_path(spark):
+    rows = spark.createDataFrame([(1, "/b", 7, True), (2, "/a", 7, False), (3, "/B", 7, False), (4, "/c", None, None)], "id long, path string, dupe_group long, is_keeper boolean")
+    assert [r.id for r in view.group_members(rows, 7).collect()] == [3, 2, 1]
+    assert [(r.dupe_group, r.ids) for r in view.members_by_path(rows).collect()] == [(7, [3, 2, 1])]
+
+
+@pytest.mark.parametrize("mode", ["copy", "move", "hardlink"])
+def test_an_export_is_carried_out(spark, tmp_path, mode):
+    source, target = tmp_path / "in", tmp_path / "out"
+    source.mkdir()
+    for k in range(6):
+        (source / f"f{k}.txt").write_text("same" if k in (1, 2) else f"content {k}")
+    facts = [{"id": k, "path": str(source / f"f{k}.txt"), "content_hash": transfer.content_hash(str(source / f"f{k}.txt")), "file_size": (source / f"f{k}.txt").stat().st_size} for k in range(6)]
+    facts[3]["content_hash"], facts[3]["file_size"] = "wrong", 1
+    (source / "f4.txt").unlink()
+    rows = images(spark, facts)
+    flat = rows.withColumn("path", F.regexp_replace("path", "f[12].txt", "g.txt"))
+    planned = export.plan(flat, "flat", str(target))
+    log = spark.createDataFrame([], schema.UNDO_LOG)
+    journal, log, after = transfer.export_run(planned, rows, log, 1, str(tmp_path / "store"), mode, 5)
+    status = {r.image_id: (r.status, r.error) for r in journal.collect()}
+    assert [status[k][0] for k in range(6)] == ["verified", "verified", "skipped", "failed", "failed", "verified"] and status[4][1] == "source missing"
+    assert (target / "f0.txt").read_text() == "content 0" and not list(target.glob("*.part"))
+    paths = {r.id: r.path for r in after.collect()}
+    if mode == "move":
+        assert sorted(r.original_path for r in log.collect()) == sorted(str(source / f"f{k}.txt") for k in (0, 1, 5))
+        assert paths[0] == str(target / "f0.txt") and paths[2] == str(source / "f2.txt") and not (source / "f0.txt").exists() and (source / "f3.txt").exists()
+    else:
+        assert log.count() == 0 and paths[0] == str(source / "f0.txt") and (source / "f0.txt").exists()
+    again = transfer.transfer(planned.where("image_id in (0, 1)"), rows, 2, mode)  # a task that is repeated
+    assert {r.status for r in again.collect()} == {"verified"}
+
+
+def test_a_folder_is_scanned_anew(spark):
+    rows = images(spark, [{"id": 1, "path": "/l/a/1", "file_size": 1, "mtime": 1, "analyzed_at": 1}, {"id": 2, "path": "/l/a/2"}, {"id": 3, "path": "/l/b/3"}])
+    found = spark.createDataFrame([("/l/a/1", 1, 1), ("/l/a/9", 1, 1), ("/l/b/8", 1, 1)], "path string, file_size long, mtime long")
+    status, left = files.rescan(found, rows, "/l/a")
+    assert {r.path: r.status for r in status.collect()} == {"/l/a/1": "cached", "/l/a/9": "new"}
+    assert sorted(r.id for r in left.collect()) == [1, 3]
+
+
+def test_recipe_changes_leave_one_backup_and_one_notice(spark, tmp_path):
+    rows = images(spark, [{"id": 1, "path": "/a", "phash": [1] * 20, "dupe_checked_kinds": 7}])
+    taken = set()
+    for k in range(2):
+        after, change = catalog.migrate_recipe(rows, str(k), str(k + 1), str(tmp_path))
+        assert after.first().phash is None and change.rows == 1 and len(list((tmp_path / "backup").glob("v-*"))) == 1
+        assert spark.read.parquet(change.backup).first().phash == [1] * 20
+        assert change.backup in change.take_notice(taken) and change.take_notice(taken) is None
+    assert catalog.migrate_recipe(rows, "2", "2", str(tmp_path))[1] is None
+    empty, change = catalog.migrate_recipe(rows.where("false"), None, "1", str(tmp_path))
+    assert change.take_notice(taken) is None and change.backup is None and empty.count() == 0
+
+
+def test_score_settings_are_stored():
+    rule = scores.Rule(0.7, 0.4, 0.2)
+    assert reading.load_rule(reading.save_rule(rule, False)) == (rule, False)
+    assert reading.load_rule({"score.whole.flag": "1.5", "score.unsure": "nan", "score.tile.mean.flag": "x"}) == (scores.Rule(1.0).sanitised(), True)
