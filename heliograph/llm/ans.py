@@ -11,7 +11,7 @@ A segment holds the ids of consecutive documents. Layout, all little-endian:
 A block is LANES interleaved coders over the shared table and is decoded without any other block; the
 checkpoints say where it begins and in which states, and its crc32 is checked when it is read. numpy
 codes all lanes of a group of blocks at once. Segments are cells of a Parquet table with columns
-(part, segment, n_tokens, payload), in ascending order of document ids by (part, segment), so any store
+(part, segment, before, n_tokens, payload), before the ids of the part's earlier segments, in ascending order of document ids by (part, segment), so any store
 that Spark can write to will do, a lost task is run again under Spark's commit protocol, and readers
 split the work by segment and block.
 """
@@ -26,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,10 +38,9 @@ MAGIC = b"HRANS1\0\0"
 SCALE = 18  # bits of the frequency table's total
 LANES, STEPS = 512, 512  # a block is LANES * STEPS ids
 SEGMENT = 1 << 21  # ids after which a segment is closed
-PARTS = 1 << 13  # ranges of document ids at most
 END = 0
 _LOW = np.uint64(1 << 31)
-_SEGMENTS = "part int, segment int, n_tokens long, payload binary"
+_SEGMENTS = "part int, segment int, before long, n_tokens long, payload binary"
 
 
 def frequencies(counts: np.ndarray) -> np.ndarray:
@@ -176,41 +176,51 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Encode the texts of `docs` and write their ids, each document ended by END, into `folder`.
 
     Documents are ordered by ascending doc_id, nulls first; rows that repeat a doc_id are documents of
-    their own, ordered by their ids. There are as many ranges of doc_id as shuffle partitions, cut by
-    quantiles of the column alone, so texts are read and encoded once, and only compressed ids are shuffled.
+    their own. Null and empty texts have the end id alone; a text of any length is one document; an empty table gives
+    no segments; other columns are not looked at. There are as many ranges of doc_id as shuffle partitions, cut by
+    quantiles of the column alone, so texts are read and encoded once, and only compressed ids are shuffled. A doc_id
+    that several quantiles fall on is spread over their ranges by a hash of the text; inside a range its rows are in order
+    of their ids.
     """
     path = path or default_path()
     docs = docs.select(F.col("doc_id").cast("long"), "text")
-    parts = min(PARTS, tasks(docs.sparkSession))
+    parts = tasks(docs.sparkSession)
     bounds = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
 
+    def place(doc_id: int | None, text: str | None) -> int:
+        if doc_id is None:
+            return 0
+        low, high = (int(np.searchsorted(bounds, doc_id, side=side)) for side in ("left", "right"))
+        return high if high - low < 2 else low + 1 + xxhash.xxh64_intdigest((text or "").encode("utf-8")) % (high - low)
+
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         end = np.array([END], dtype=encode.dtype).tobytes()
         for batch in pieces(batches):
-            ids = [press(encode(text) + end, encode.dtype) for text in batch["text"].to_pylist()]
-            part = [0 if i is None else int(np.searchsorted(bounds, i, side="right")) for i in batch["doc_id"].to_pylist()]
+            texts = batch["text"].to_pylist()
+            ids = [press(x + end, encode.dtype) for x in encode.batch(texts)]
+            part = [place(i, x) for i, x in zip(batch["doc_id"].to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch["doc_id"], pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, segment, held, size = -1, 0, [], 0
+        part, segment, before, held, size = -1, 0, 0, [], 0
 
         def out() -> pa.RecordBatch:
-            columns = [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([size], pa.int64()), pa.array([write_segment(held)], pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, names=["part", "segment", "n_tokens", "payload"])
+            columns = [pa.array([part], pa.int32()), pa.array([segment], pa.int32()), pa.array([before], pa.int64()), pa.array([size], pa.int64()), pa.array([write_segment(held)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["part", "segment", "before", "n_tokens", "payload"])
 
         for batch in batches:
             for p, doc_id, ids in zip(batch["part"].to_pylist(), batch["doc_id"].to_pylist(), batch["ids"].to_pylist()):
                 if held and (p != part or size >= SEGMENT):
                     yield out()
-                    segment, held, size = (segment + 1 if p == part else 0), [], 0
+                    segment, before, held, size = *((segment + 1, before + size) if p == part else (0, 0)), [], 0
                 part = p
                 held.append((doc_id, unpress(ids)))
                 size += len(held[-1][1])
         if held:
             yield out()
 
-    sent = docs.mapInArrow(encode_all, "part int, doc_id long, ids binary").repartition(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
+    sent = docs.mapInArrow(encode_all, "part int, doc_id long, ids binary").repartitionById(parts, "part").sortWithinPartitions("part", "doc_id", "ids")
     sent.mapInArrow(write, _SEGMENTS).write.option("compression", "none").parquet(folder)
 
 
@@ -249,15 +259,13 @@ def _placed(spark: SparkSession, folder: str) -> DataFrame:
     """The segments with `base`, the ids of all documents before them."""
     files = spark.read.schema(_SEGMENTS).parquet(folder)
     sizes = files.groupBy("part").agg(F.sum("n_tokens").alias("all"))
-    before = Window.rowsBetween(Window.unboundedPreceding, -1)  # at most PARTS rows
-    bases = sizes.select("part", F.coalesce(F.sum("all").over(before.orderBy("part")), F.lit(0)).alias("before"))
-    inside = files.select("part", "segment", F.coalesce(F.sum("n_tokens").over(before.partitionBy("part").orderBy("segment")), F.lit(0)).alias("inside"))
-    places = inside.join(bases, "part").select("part", "segment", (F.col("before") + F.col("inside")).alias("base"))
-    return files.select("part", "segment", "payload").join(F.broadcast(places), ["part", "segment"]).select("base", "payload")
+    bases = sizes.select(F.col("part").alias("p"), F.coalesce(F.sum("all").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("base"))
+    # One row for each range, of which there are as many as shuffle partitions.
+    return files.join(F.broadcast(bases), F.col("part") == F.col("p")).select((F.col("base") + F.col("before")).alias("base"), "payload")
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Writes the files into the shared folder, reads them back, and removes them."""
+    """The digests of all of `documents` from files that are written into the shared folder, read back, and removed."""
     folder = f"{shared_folder(spark)}/tokens-{uuid.uuid4().hex}"
     write_tokens(table(spark, sf_dir, "documents"), folder)
     out = cut(token_digests(spark, folder))

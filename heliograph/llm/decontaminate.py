@@ -126,15 +126,8 @@ def _sweep(events: Column) -> Column:
     return F.aggregate(events, none, step, lambda s: F.struct(s["any"].alias("w"), F.when(s["own"] == s["any"], s["own_at"]).otherwise(s["any_at"]).alias("start")))
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """Documents that hold a benchmark item: doc_id, item_id, similarity, start_word, n_words.
-
-    One row for each document and item, with the item's best window (the first of equals); words are
-    counted from 0. Case and punctuation don't count. Null and empty texts, and items without words, match
-    nothing. An item of fewer than five words has one shingle, its whole sequence, which only a document
-    of the same words has. Rows that repeat a doc_id are one document with several texts; rows that repeat
-    an item_id are items of their own under one name.
-    """
+def _leaks(docs: DataFrame, benchmark: DataFrame, similarity: float) -> DataFrame:
+    """doc_id, text_key, item_id, n_words, similarity and start of every different text and item row that it holds."""
     items = benchmark.select(F.col("item_id").cast("long"), _words("text").alias("words"))
     items = cut(items.withColumn("shingles", _shingles(F.col("words"))).where(F.size("words") > 0).withColumn("row", F.monotonically_increasing_id()))
     parts, wanted = _wanted(items, similarity)
@@ -158,15 +151,36 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMI
     least = (similarity - 1e-9) * F.col("mass")
     scored = scored.where(F.col("bound") >= least).withColumn("best", _sweep(F.sort_array("events"))).where(F.col("best.w") >= least)
     shared = F.round(F.col("best.w") / F.col("mass"), 9).alias("similarity")
-    best = scored.groupBy("doc_id", "item_id").agg(F.max(F.struct(shared, (-F.col("best.start")).alias("back"), "n_words")).alias("b"))
+    return scored.select("doc_id", "text_key", "item_id", "n_words", shared, F.col("best.start").alias("start"))
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """Documents that hold a benchmark item: doc_id, item_id, similarity, start_word, n_words.
+
+    One row for each document and item, with the item's best window (the first of equals); words are
+    counted from 0. Case and punctuation don't count. Texts are searched whole; null and empty texts, and items without words,
+    match nothing. An item of fewer than five words has one shingle, its whole sequence, which only a document
+    of the same words has. Rows that repeat a doc_id are one document with several texts; rows that repeat
+    an item_id are items of their own under one name. Other columns are not looked at; an empty table on either side
+    gives no rows.
+    """
+    best = F.max(F.struct("similarity", (-F.col("start")).alias("back"), "n_words")).alias("b")
+    best = _leaks(docs, benchmark, similarity).groupBy("doc_id", "item_id").agg(best)
     return best.select("doc_id", "item_id", "b.similarity", (-F.col("b.back")).cast("int").alias("start_word"), "b.n_words")
 
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """`docs` without the documents that hold a benchmark item; columns, rows and null ids stay."""
-    ids = contaminated(docs, benchmark, similarity).select(F.col("doc_id").alias("leaked_id")).distinct()
-    return docs.join(ids, docs["doc_id"].eqNullSafe(ids["leaked_id"]), "left_anti")
+    """`docs` without the rows whose text holds a benchmark item; all other rows and all columns stay.
+
+    Rows are judged one by one: a clean text stays though another row has its doc_id, or neither has one.
+    """
+    leaks = _leaks(docs, benchmark, similarity).select(F.col("doc_id").alias("leaked_id"), F.col("text_key").alias("leaked_key")).distinct()
+    names = [f"c{k}" for k in range(len(docs.columns))]  # free of clashes
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    same = doc_id.cast("long").eqNullSafe(F.col("leaked_id")) & (F.xxhash64(text) == F.col("leaked_key"))
+    return docs.toDF(*names).join(leaks, same, "left_anti").toDF(*docs.columns)
 
 
 def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`contaminated` of all of the table `documents` by the table `benchmark`."""
     return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))

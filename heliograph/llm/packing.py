@@ -79,8 +79,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
         end = np.array([END], dtype=encode.dtype).tobytes()
         for batch in pieces(batches):
             ids, cells = [], []
-            for text in batch["text"].to_pylist():
-                own = encode(text)
+            for own in encode.batch(batch["text"].to_pylist()):
                 cells.append(coordinates(np.frombuffer(own, encode.dtype), encode.vocabulary))
                 ids.append(press(own + end, encode.dtype))
             curve = hilbert(np.array(cells, dtype=np.int64).reshape(len(cells), DIMENSIONS))

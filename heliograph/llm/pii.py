@@ -11,6 +11,7 @@ a third of all rows is a few rows by the time it is shuffled.
 from __future__ import annotations
 
 import re
+from bisect import bisect_left
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -26,8 +27,6 @@ SUPPORT, TRUST, ROUNDS = 5, 0.9, 3
 PRIOR = 0.5
 #: An unseen identifier has at least this many digits.
 DIGITS = 5
-#: Characters of context in which the words next to a span are looked for.
-CONTEXT = 80
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -39,6 +38,7 @@ _MARKS = "()+./#_-"
 _RUN = re.compile(r"[A-Za-z0-9()+./#_-]+")
 _GAP = re.compile(r"\)?\x20\(?|\x20-\x20")
 _BANK = re.compile(r"[A-Z]{4}")
+_WORD = re.compile(r"\S+")
 _DIGIT = re.compile(r"[0-9]")
 _EDGE = "\"'`.,;:!?()[]{}<>*#$%&|=-_"
 
@@ -81,13 +81,24 @@ def seeds(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def _patterns(text: str, start: int, end: int) -> list[str]:
-    """The lexical patterns around a span: the two words before it, and the words on both sides."""
-    clean = lambda w: _DIGIT.sub("0", w.lower().strip(_EDGE)) or w
-    left = [clean(w) for w in text[max(0, start - CONTEXT) : start].split()[-2:]]
-    right = [clean(w) for w in text[end : end + CONTEXT].split()[:1]]
-    out = ["before " + " ".join(left)] if len(left) == 2 else []
-    return [*out, f"around {left[-1]} | {right[0]}"] if left and right else out
+def _clean(word: str) -> str:
+    return _DIGIT.sub("0", word.lower().strip(_EDGE)) or word
+
+
+def _patterns(text: str, start: int, end: int, words: list[tuple[int, int]], starts: list[int]) -> list[str]:
+    """The lexical patterns around a span: the word before it, the two before, the words on both sides, and the two after.
+
+    `words` are the places of the text's words, `starts` where they begin; what is joined to a span is a word of its own.
+    """
+    k = bisect_left(starts, start)
+    left = [_clean(text[s : min(e, start)]) for s, e in words[max(0, k - 2) : k]]
+    k = bisect_left(starts, end)
+    right = [(end, words[k - 1][1])] if k and words[k - 1][1] > end else []
+    right = [_clean(text[s:e]) for s, e in [*right, *words[k : k + 2]][:2]]
+    out = ["before " + left[-1]] if left else []
+    out += ["before " + " ".join(left)] if len(left) == 2 else []
+    out += [f"around {left[-1]} | {right[0]}"] if left and right else []
+    return [*out, "after " + " ".join(right)] if len(right) == 2 else out
 
 
 def _unseen(text: str, known: list[tuple[int, int, int]]) -> Iterator[tuple[int, int]]:
@@ -144,8 +155,10 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 continue
             found = seeds(text)
             more = [(s, None, e) for s, e in _unseen(text, found)]
+            words = [m.span() for m in _WORD.finditer(text)] if found or more else []
+            starts = [s for s, _ in words]
             base.append([{"start": s, "kind": k, "end": e} for s, k, e in found])
-            near.append([{"start": s, "kind": k, "end": e, "instance": text[s:e].lower(), "patterns": _patterns(text, s, e)} for s, k, e in [*found, *more]])
+            near.append([{"start": s, "kind": k, "end": e, "instance": text[s:e].lower(), "patterns": _patterns(text, s, e, words, starts)} for s, k, e in [*found, *more]])
         yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(base, pa.list_(_SPAN)), pa.array(near, pa.list_(_NEAR))], names=["doc_id", "base", "near"])
 
 
@@ -177,9 +190,11 @@ def find_pii(docs: DataFrame, support: int = SUPPORT, trust: float = TRUST, roun
     """doc_id, base and spans (arrays of (start, kind, end) in order) for every row of `docs`.
 
     base: what the fixed patterns find. spans: base and the identifiers that trusted patterns discover,
-    which never overlap base. kind is a place in KINDS. Offsets are code points, ends exclusive. A null
-    or empty text has no spans; rows that repeat are scanned each, but one instance at one pattern counts
-    once in the graph. Texts without words around an entity induce no pattern.
+    which never overlap base; of those that overlap each other the first and longest stays, and an identifier at patterns of
+    several kinds takes the kind of the highest score, of equal ones the later in KINDS. kind is a place in KINDS. Offsets
+    are code points, ends exclusive. A null or empty text has no spans; a text of any length is scanned whole; rows
+    that repeat are scanned each, but one instance at one pattern counts once in the graph. Texts without words around an
+    entity induce no pattern. Other columns are not looked at; an empty table gives no rows.
     """
     scanned = cut(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_extract, _SCHEMA)).withColumn("row_id", F.monotonically_increasing_id())
     near = scanned.select("row_id", F.explode("near").alias("x")).select("row_id", "x.*").withColumn("pattern", F.explode("patterns"))
@@ -203,6 +218,7 @@ def digest(spans: str) -> F.Column:
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts and digests of `find_pii` over all of the table `documents`."""
     found = find_pii(table(spark, sf_dir, "documents"))
     count = lambda k: F.size(F.filter("base", lambda x: x["kind"] == k)).cast("long").alias(f"n_{KINDS[k]}")
     counts = [count(k) for k in range(len(KINDS))]

@@ -21,7 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import components, cut, pieces, table
+from heliograph.llm.common import components, cut, pieces, table, tasks
 
 CROWD = 64
 SHINGLE = 3
@@ -47,15 +47,21 @@ def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
     return int.from_bytes(np.packbits(2 * ones > n, bitorder="little").tobytes(), "little")
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp) with fp the fingerprint as a signed long, one row for each row of `docs`."""
+def fingerprints(docs: DataFrame, key: bool = False) -> DataFrame:
+    """(doc_id, fp) with fp the fingerprint as a signed long, one row for each row of `docs`.
+
+    With `key` also text_key, what xxhash64(text) is in SQL.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            fp = np.array([fingerprint(x) for x in batch["text"].to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(fp)], names=["doc_id", "fp"])
+            texts = batch["text"].to_pylist()
+            columns = {"doc_id": batch["doc_id"], "fp": np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64)}
+            if key:
+                columns["text_key"] = np.array([42 if x is None else xxhash.xxh64_intdigest(x.encode("utf-8"), 42) for x in texts], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_pydict({name: pa.array(x) if isinstance(x, np.ndarray) else x for name, x in columns.items()})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long" + ", text_key long" * key)
 
 
 def _bit(k) -> F.Column:
@@ -101,7 +107,8 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     Links within a crowd are a spanning star of each refined signature, all others are complete;
     so the links have the connected components of the full relation.
     """
-    keys = _signatures(fps)
+    # As many tasks as the session asks for: a checkpoint of narrow rows may lie in a few partitions, and each gives 64 rows.
+    keys = _signatures(fps.repartition(tasks(fps.sparkSession)))
     sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
     sizes = cut(sizes)
     pairs = sizes.where("n = 2").select("a", "b")
@@ -121,8 +128,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
     Returns doc_id, fingerprint (16 lower-case hex digits) and component_id, the smallest doc_id
     reachable over links, itself included; one row for each row of `docs`. Null and empty texts have
-    fingerprint zero and are linked like any other. Rows that repeat a doc_id are kept as rows. A
-    null doc_id is no candidate for component_id unless all of its group are null.
+    fingerprint zero and are linked like any other; a text of any length has one fingerprint. Rows that repeat a doc_id are
+    kept as rows. A null doc_id is no candidate for component_id unless all of its group are null. Other columns are not
+    looked at; an empty table gives no rows.
     """
     prints = cut(fingerprints(docs))
     classes = cut(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
@@ -134,22 +142,33 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """`docs` with one document of each group of near-duplicates: the one with the smallest doc_id.
+    """`docs` with one row of each group of near-duplicates: the first by doc_id (nulls last), then by the text's hash.
 
-    Rows that share a doc_id are one document; the first by text stays. All columns are kept.
+    Rows are judged one by one, so rows that share a doc_id, or have none, but are no near-duplicates all stay;
+    of rows equal in doc_id and text the first by their other columns stays. Null and empty texts and those without words are
+    one group. All columns are kept, of any type and name; an empty table gives no rows.
     """
-    same = lambda left, ids: left["doc_id"].eqNullSafe(ids["kept_id"])
-    groups = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("kept_id")).distinct()
-    repeated = cut(docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("kept_id")))
-    if repeated.isEmpty():
-        return docs.join(groups, same(docs, groups), "left_semi")
-    once = docs.join(repeated, same(docs, repeated), "left_anti")
-    once = once.join(groups, same(once, groups), "left_semi")
-    again = docs.join(repeated, same(docs, repeated), "left_semi")
-    again = again.join(groups, same(again, groups), "left_semi")
-    first = again.groupBy("doc_id").agg(F.min(F.struct("text", *[c for c in docs.columns if c not in ("doc_id", "text")])).alias("row"))
-    return once.unionByName(first.select("doc_id", "row.*").select(docs.columns))
+    prints = cut(fingerprints(docs, key=True))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key"))
+    classes = prints.groupBy("fp").agg(first.alias("first"))
+    classes = cut(classes)
+    roots = cut(components(links(classes.select("fp"))))
+    of = classes.join(roots, F.col("fp") == F.col("node"), "left").select("first", F.coalesce("root", "fp").alias("root"))
+    kept = of.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.doc_id").alias("kept_id"), F.col("first.text_key").alias("kept_key"))
+    repeated = prints.groupBy("doc_id", "text_key").agg(F.count("*").alias("n")).where("n > 1").select(F.col("doc_id").alias("kept_id"), F.col("text_key").alias("kept_key"))
+    repeated = cut(repeated)
+    names = [f"c{k}" for k in range(len(docs.columns))]  # free of clashes
+    rows = docs.toDF(*names)
+    doc_id, text = (F.col(names[docs.columns.index(c)]) for c in ("doc_id", "text"))
+    same = doc_id.cast("long").eqNullSafe(F.col("kept_id")) & (F.xxhash64(text) == F.col("kept_key"))
+    rows = rows.join(kept, same, "left_semi")
+    if not repeated.isEmpty():
+        again = rows.join(repeated, same, "left_semi").withColumn("row", F.struct(*names)).withColumn("key", F.xxhash64(text))
+        again = again.groupBy(doc_id.alias("id"), "key").agg(F.min_by("row", F.to_json("row")).alias("row")).select("row.*")
+        rows = rows.join(repeated, same, "left_anti").unionByName(again)
+    return rows.toDF(*docs.columns)
 
 
 def op5_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`near_duplicates` of all of the table `documents`."""
     return near_duplicates(table(spark, sf_dir, "documents"))

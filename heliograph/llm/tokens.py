@@ -5,71 +5,71 @@ from __future__ import annotations
 import functools
 import os
 import re
+import sys
+from array import array
 
 import numpy as np
 import zstandard
 
-#: Texts outside these characters (Latin script) are always encoded by the tokenizers library.
-_PLAIN = re.compile("[^\t\n\r\x20-\x7e\xa1-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]")
-#: Fixed value: the word pattern of byte-level BPE, without backtracking.
-WORD = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
-#: What both engines must agree on before the fast one is used in a process.
-_PROBES = (
-    "The quick brown fox's 12 jumps,  over\n\n\tthe lazy dog!!! ",
-    "Éçueux größer señorías | token = \"04dbe\" $$$%%% a_b-c  ",
-    " ".join(f"x{k * k}y{chr(97 + k % 26) * (k % 7)}" for k in range(300)),
-)
-
-
-def _bytes_of_symbols() -> dict[str, int]:
-    """Byte-level vocabularies write bytes that don't print as characters from U+0100 on."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    hidden = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
+#: A space between two characters that aren't white space. No byte-level word reaches over one from the left, and none looks
+#: behind, so the ids of a text are those of its parts one after another, each part but the first with its space.
+_SPACE = re.compile(r" (?=\S)(?<=\S )")
+#: Parts whose ids a process remembers at most, and their longest.
+REMEMBERED, LONGEST = 600_000, 32
 
 
 class Encoder:
     """Ids of texts as little-endian bytes, two to an id where the vocabulary allows it, else four.
 
-    The ids are the tokenizers library's. For byte-level BPE whose ids are in the order of its merges,
-    tiktoken's core merges the same vocabulary several times faster; it is used for texts in Latin
-    script, once it has given the library's ids for the probes, and never otherwise. Strings of special
-    tokens in a text are ordinary text.
+    All ids are the tokenizers library's. Where the file is a plain byte-level one, texts are cut at single spaces,
+    and the library encodes the different parts of a batch in one call, but for those whose ids the process
+    remembers; with any other file it encodes whole texts. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.vocabulary = self.tokenizer.get_vocab_size(with_added_tokens=True)
+        self.tokenizer = t = Tokenizer.from_file(path)
+        t.encode_special_tokens = True
+        self.vocabulary = t.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self.fast = self._fast()
-
-    def _fast(self):
-        import tiktoken
-        from tokenizers import models, pre_tokenizers
-
-        t, model, before = self.tokenizer, self.tokenizer.model, self.tokenizer.pre_tokenizer
-        plain = t.normalizer is None and isinstance(model, models.BPE) and not model.dropout and not model.ignore_merges
-        if not plain or not isinstance(before, pre_tokenizers.ByteLevel) or not before.use_regex or before.add_prefix_space:
-            return None
-        byte = _bytes_of_symbols()
-        vocabulary = t.get_vocab(with_added_tokens=False)
-        added = {x.content for x in t.get_added_tokens_decoder().values()}
-        ranks = {bytes(byte[c] for c in token): k for token, k in vocabulary.items() if token not in added}
-        fast = tiktoken.Encoding("own", pat_str=WORD, mergeable_ranks=ranks, special_tokens={})
-        same = all(fast.encode_ordinary(x) == self.tokenizer.encode(x, add_special_tokens=False).ids for x in _PROBES)
-        return fast if same else None
+        before, added = t.pre_tokenizer, t.get_added_tokens_decoder().values()
+        byte_level = isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space
+        self.cut = byte_level and t.normalizer is None and all(x.special for x in added)
+        self.known: dict[str, bytes] = {}
+
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        kind = "H" if self.dtype.itemsize == 2 else "I"
+        out = [array(kind, x.ids) for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        if sys.byteorder == "big":
+            for x in out:
+                x.byteswap()
+        return [x.tobytes() for x in out]
+
+    def batch(self, texts: list[str | None]) -> list[bytes]:
+        """The ids of each text; none for a null or empty one."""
+        if not self.cut:
+            several = [*{x for x in texts if x}]
+            ids = dict(zip(several, self._ids(several)))
+            return [ids[x] if x else b"" for x in texts]
+        parts = [_SPACE.split(x) if x else [] for x in texts]
+        first = self._ids([x[0] for x in parts if x])
+        rest = [x[1:] for x in parts]
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        known = self.known
+        fresh = [x for x in set().union(*rest) if x not in known]
+        known.update(zip(fresh, self._ids([" " + x for x in fresh])))
+        begin, get = iter(first), known.__getitem__
+        out = [next(begin) + b"".join(map(get, own)) if x else b"" for x, own in zip(parts, rest)]
+        for x in fresh:
+            if len(x) > LONGEST:
+                del known[x]
+        return out
 
     def __call__(self, text: str | None) -> bytes:
-        if not text:
-            return b""
-        if self.fast is None or _PLAIN.search(text):
-            ids = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
-            return np.array(ids, dtype=self.dtype).tobytes()
-        return np.array(self.fast.encode_ordinary(text), dtype=self.dtype).tobytes()
+        return self.batch([text])[0]
 
 
 @functools.lru_cache(maxsize=2)

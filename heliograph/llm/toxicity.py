@@ -1,6 +1,6 @@
 """Toxicity by the nearest labelled examples under TF-IDF cosine.
 
-A bounded sample of labelled rows is fitted. All terms of these examples, words and their beginnings, make the
+A bounded sample of the labelled rows of either label is fitted. All terms of these examples, words and their beginnings, make the
 vocabulary; labels have no say in it. Document frequencies are counted over all documents, and the
 examples become an inverted index whose postings are cut into blocks with the largest weight of each
 term in each block. The exact nearest examples of a document are found by summing these into an upper bound for
@@ -8,7 +8,7 @@ each block, scoring the most promising blocks, and then only those that can stil
 The neighbours' votes, weighted by cosine, are calibrated by a logistic curve that is fitted on the
 examples themselves, each by the votes of the others; the neighbours are the score's evidence.
 
-The index is of at most about MAX_EXAMPLES texts, whole, which bounds what is broadcast; scoring is one
+The index is of at most about MAX_TOXIC + MAX_CLEAN texts, whole, which bounds what is broadcast; scoring is one
 reading of the texts without a shuffle.
 """
 
@@ -26,8 +26,8 @@ from pyspark.sql import functions as F
 
 from heliograph.llm.common import pieces, table, tasks
 
-#: Labelled rows that are fitted at most (about: the sample is by hash).
-MAX_EXAMPLES = 4_000
+#: Labelled rows of either label that are fitted at most (about: the sample is by hash).
+MAX_TOXIC, MAX_CLEAN = 600, 1_600
 #: Neighbours that vote, and of these the ones that are returned as evidence; examples in a block.
 NEIGHBOURS, EVIDENCE, BLOCK = 100, 10, 64
 #: Postings of a term that one in COMMON examples has are kept as a row of a matrix.
@@ -57,23 +57,24 @@ class Vocabulary(dict):
 
     def __init__(self, terms: dict[str, int] = {}):
         super().__init__(terms)
-        self.seen: dict[str, list[int]] = {}
+        self.seen: dict[str, bytes] = {}
 
     def __reduce__(self):  # terms have no spaces
         return _vocabulary, (zlib.compress(" ".join(self).encode(), 1),)
 
-    def counts(self, text: str | None) -> dict[int, int]:
-        """How often a text has each of the terms that it has."""
-        if len(self.seen) > 300_000:
-            self.seen.clear()
-        seen, out = self.seen, {}
-        for word, n in Counter(_WORD.findall((text or "").lower())).items():
-            own = seen.get(word)
-            if own is None:
-                own = seen[word] = [t for x in (word, *[word[:k] + "-" for k in STEMS if len(word) > k]) if (t := self.get(x)) is not None]
-            for t in own:
-                out[t] = out.get(t, 0) + n
-        return out
+    def numbers(self, text: str | None) -> np.ndarray:
+        """The terms of a text that are known, as often as it has them."""
+        words, seen = _WORD.findall((text or "").lower()), self.seen
+        if len(seen) > 300_000:
+            seen.clear()
+        try:
+            packed = [seen[w] for w in words]
+        except KeyError:
+            for w in {w for w in words if w not in seen}:
+                own = [t for x in (w, *[w[:k] + "-" for k in STEMS if len(w) > k]) if (t := self.get(x)) is not None]
+                seen[w] = np.array(own, np.int32).tobytes()
+            packed = [seen[w] for w in words]
+        return np.frombuffer(b"".join(packed), np.int32)
 
 
 def _vocabulary(packed: bytes) -> Vocabulary:
@@ -110,7 +111,7 @@ class Index:
         self.row[common] = np.arange(len(common))
         self.matrix = np.zeros((len(common), self.blocks, block))
         full = self.row[term] >= 0
-        self.matrix.reshape(len(common), -1)[self.row[term[full]], place[full]] = weight[full]
+        self.matrix.reshape(len(common), self.blocks * block)[self.row[term[full]], place[full]] = weight[full]
         self.peaks = self.matrix.max(axis=2, initial=0)
         by = np.lexsort((place[~full], term[~full]))
         term, self.place, self.weight = term[~full][by], place[~full][by], weight[~full][by]
@@ -178,12 +179,13 @@ class Model:
     one entry with one vote, so copies don't outvote others.
     """
 
-    def __init__(self, number: Vocabulary, idf: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray, int, int, int]], neighbours: int = NEIGHBOURS):
+    def __init__(self, number: Vocabulary, idf: np.ndarray, entries: list[tuple[np.ndarray, np.ndarray, int, int, int]], rate: float, neighbours: int = NEIGHBOURS):
         self.number, self.idf, self.neighbours = number, idf, neighbours
         self.entries = [(e[0], e[1], e[3]) for e in entries]
         self.share = np.array([e[2] / e[3] for e in entries])
         self.first = np.array([e[4] for e in entries], dtype=np.int64)
-        self.rate = float((self.share.sum() + 0.5) / (len(entries) + 1)) if entries else 0.0
+        self.rate = rate  # of all labelled rows
+        self.prior = float((self.share.sum() + 0.5) / (len(entries) + 1)) if entries else 0.0  # of the entries
         self.index = Index([self.vector(e[0], e[1]) for e in entries], len(number))
         self.slope, self.shift = 1.0, 0.0
 
@@ -208,38 +210,42 @@ class Model:
 
     def known(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
         """The terms of the vocabulary that a text has, in ascending order, and how often."""
-        found = self.number.counts(text)
-        terms = np.fromiter(found.keys(), np.int64, len(found))
-        by = np.argsort(terms)
-        return terms[by], np.fromiter(found.values(), np.float64, len(found))[by]
+        terms, counts = np.unique(self.number.numbers(text), return_counts=True)
+        return terms.astype(np.int64), counts.astype(float)
 
     def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        """(share of toxic votes, entries, cosines); the overall rate where no entry has a term of the text."""
+        """(share of toxic votes, entries, cosines); the share among all entries where none has a term of the text."""
         if not len(terms):
-            return self.rate, np.zeros(0, np.int64), np.zeros(0)
+            return self.prior, np.zeros(0, np.int64), np.zeros(0)
         found, cosine = self.index.nearest(*self.vector(terms, counts), self.neighbours, without)
-        return float(((cosine * self.share[found]).sum() + PRIOR * self.rate) / (cosine.sum() + PRIOR)), found, cosine
+        return float(((cosine * self.share[found]).sum() + PRIOR * self.prior) / (cosine.sum() + PRIOR)), found, cosine
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
         """(score, evidence): evidence holds a doc_id of each of the nearest entries and its cosine."""
         vote, found, cosine = self.vote(*self.known(text))
+        if not len(found):
+            return self.rate, []
         return self.calibrated(vote), [(int(i), round(float(c), 6)) for i, c in zip(self.first[found[:EVIDENCE]], cosine)]
 
     def calibrated(self, vote: float) -> float:
-        if not 0 < self.rate:
-            return 0.0
-        x = self.slope * np.log(vote / max(1 - vote, 1e-12)) + self.shift
+        if not 0 < self.rate < 1:
+            return self.rate
+        x = self.slope * np.log(vote / (1 - vote)) + self.shift
         return float(1 / (1 + np.exp(-np.clip(x, -30, 30))))
 
     def calibrate(self, votes: np.ndarray, toxic: np.ndarray) -> None:
-        """Fit the logistic curve from votes to labels (shares of toxic copies) by Newton's method."""
+        """Fit the logistic curve from votes to labels (shares of toxic copies) by Newton's method.
+
+        Entries of either label weigh as much together as their label does among all labelled rows.
+        """
         if not len(votes) or not 0 < toxic.sum() < len(toxic):
             return
         x = np.stack([np.log(votes / (1 - votes)), np.ones(len(votes))])
+        weight = len(toxic) * (toxic * self.rate / toxic.sum() + (1 - toxic) * (1 - self.rate) / (1 - toxic).sum())
         w = np.array([1.0, 0.0])
         for _ in range(50):
             p = 1 / (1 + np.exp(-np.clip(w @ x, -30, 30)))
-            step = np.linalg.solve((x * (p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (p - toxic) + 1e-6 * (w - [1, 0]))
+            step = np.linalg.solve((x * (weight * p * (1 - p))) @ x.T + 1e-6 * np.eye(2), x @ (weight * (p - toxic)) + 1e-6 * (w - [1, 0]))
             w = w - step
             if np.abs(step).max() < 1e-9:
                 break
@@ -247,12 +253,13 @@ class Model:
             self.slope, self.shift = map(float, w)
 
 
-def _examples(docs: DataFrame, labels: DataFrame, max_examples: int) -> DataFrame:
-    """(doc_id, toxic, text) of the sample."""
-    labels = labels.select(F.col("doc_id").cast("long"), "toxic").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic is not null")
-    share = min(1.0, max_examples / max(1, labels.count()))
-    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < int(share * (1 << 20)) + (share == 1.0))
-    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id")  # bounded by max_examples
+def _examples(docs: DataFrame, labels: DataFrame, most: tuple[int, int]) -> tuple[DataFrame, dict[int, int]]:
+    """(doc_id, toxic, text) of the sample, and the labelled rows of each label."""
+    labels = labels.select(F.col("doc_id").cast("long"), "toxic").where(~held_out()).groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).where("toxic in (0, 1)")
+    sizes = {row.toxic: row["count"] for row in labels.groupBy("toxic").count().collect()}
+    part = [int(min(1.0, n / max(1, sizes.get(k, 0))) * (1 << 20)) for k, n in enumerate(most)]
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < F.when(F.col("toxic") == 1, part[1]).otherwise(part[0]))
+    return docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(chosen), "doc_id"), sizes  # bounded by `most`
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -272,7 +279,7 @@ def document_counts(docs: DataFrame, number: Vocabulary) -> tuple[int, np.ndarra
         for batch in pieces(batches):
             rows += batch.num_rows
             for text in batch["text"].to_pylist():
-                counts[list(number.counts(text))] += 1
+                counts[number.numbers(text)] += 1  # a number that is there several times counts once
         payload = [np.int64(rows).tobytes(), *(zlib.compress(counts[a : a + CHUNK].tobytes(), 1) for a in range(0, n, CHUNK))]
         yield pa.RecordBatch.from_arrays([pa.array(range(-1, len(payload) - 1), pa.int32()), pa.array(payload, pa.binary())], names=["chunk", "counts"])
 
@@ -297,15 +304,16 @@ def document_counts(docs: DataFrame, number: Vocabulary) -> tuple[int, np.ndarra
     return rows, out
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) -> Model:
-    """Fit on at most about `max_examples` labelled rows outside the held-out fifth.
+def fit(docs: DataFrame, labels: DataFrame, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN) -> Model:
+    """Fit on at most about `max_toxic` toxic and `max_clean` other labelled rows outside the held-out fifth.
 
-    The sample is by a hash of doc_id, the same in every run. A document with several labels is toxic if
-    one says so; null labels are none. Texts are taken whole, null ones as empty. Examples without a term have no vector
-    and are never neighbours. Without examples, or with labels of one kind, the score is the overall rate.
+    The sample is by a hash of doc_id, the same in every run; the curve gives its labels their weights among all
+    labelled rows. A document with several labels is toxic if one says so; null labels are none. Texts are taken whole,
+    null ones as empty. Examples without a term have no vector and are never neighbours. Without examples, or with labels
+    of one kind, the score is the overall rate.
     """
     spark = docs.sparkSession
-    examples = _examples(docs, labels, max_examples)
+    examples, sizes = _examples(docs, labels, (max_clean, max_toxic))
     number = Vocabulary()
     entries: dict[tuple[bytes, bytes], list[int]] = {}
     for row in examples.mapInArrow(_counted, "doc_id long, toxic int, terms string, counts binary").toLocalIterator():
@@ -319,7 +327,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_examples: int = MAX_EXAMPLES) ->
         terms, counts = np.frombuffer(terms, np.int32).astype(np.int64), np.frombuffer(counts, "<i4").astype(np.float64)
         by = np.argsort(terms)
         unpacked.append((terms[by], counts[by], *own))
-    model = Model(number, idf, unpacked)
+    model = Model(number, idf, unpacked, sizes.get(1, 0) / (sum(sizes.values()) or 1))
     model.calibrate(*_votes(spark, model))
     return model
 

@@ -96,6 +96,16 @@ def test_keep_one(hostile, none, docs, texts):
     assert {r.doc_id for r in simhash.keep_one(docs).collect()} == {i for i in want if want[i] == i}
 
 
+def test_keep_one_judges_rows_not_ids(spark):
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(30))
+    rows = [(None, text(1)), (None, text(2)), (None, text(3)), (5, text(4)), (5, text(5)), (5, text(5)), (6, text(4)), (7, text(1)), (8, None), (9, ""), (None, text(2))]
+    df = spark.createDataFrame([(i, t, {"k": n}) for n, (i, t) in enumerate(rows)], "doc_id long, text string, fp map<string,int>").repartition(3)
+    kept = simhash.keep_one(df)
+    assert kept.columns == df.columns and kept.schema["fp"].dataType == df.schema["fp"].dataType
+    got = sorted((str(r.doc_id), r.text, r.fp["k"]) for r in kept.collect())
+    assert got == sorted([("None", text(2), 1), ("None", text(3), 2), ("5", text(4), 3), ("5", text(5), 4), ("7", text(1), 7), ("8", None, 8)])
+
+
 def test_substrings_equal_sql(spark, duck, sf):
     assert same_rows(substrings.op9_substring_dedup(spark, sf).toPandas(), duck.sql(substrings.ORACLE_SQL).df())
 

@@ -35,3 +35,28 @@ def test_stages_keep_the_columns(spark, sf, hostile, none, k):
     stage = corpus_pipeline.STAGES[k][1]
     assert stage(spark, hostile, sf).columns == hostile.columns
     assert stage(spark, none, sf).columns == none.columns and stage(spark, none, sf).count() == 0
+
+
+def folder_with(spark, sf, docs, folder):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{sf}/{name}.parquet").write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_run_on_hostile_rows(spark, sf, hostile, tmp_path, library):  # noqa: F811
+    """Only copies go: rows without an id, or of one id, are judged by their own texts."""
+    item = spark.read.parquet(f"{sf}/benchmark.parquet").first().text
+    more = [(None, f"another text {k} without an id " * 4, "x", "y", 1) for k in range(3)] + [(20, "one of two texts", "x", "y", 1), (20, "the other of both", "x", "y", 1), (20, item, "x", "y", 1), (None, item + " .", "x", "y", 1)]
+    docs = hostile.select("doc_id", "text", "lang", "source", "n_chars").unionByName(spark.createDataFrame(more, "doc_id long, text string, lang string, source string, n_chars long"))
+    rows = corpus_pipeline.run(spark, folder_with(spark, sf, docs, tmp_path)).collect()
+    texts = [r.text or "" for r in docs.collect()]
+    clean = {t.replace("0123456789abcdef0123456789abcdef", "[SECRET]") for t in texts if item not in t}
+    distinct = {plain_fingerprint(t): t for t in sorted(clean)}  # none of them are near
+    got = sorted((r.doc_tokens, r.length) for r in rows if r.start == 0)
+    assert len(got) == len(distinct)
+    assert sum(r.doc_id is None for r in rows if r.start == 0) == 4 and sum(r.doc_id == 20 for r in rows if r.start == 0) == 2
+
+
+def test_run_on_an_empty_table(spark, sf, none, tmp_path):
+    assert corpus_pipeline.run(spark, folder_with(spark, sf, none, tmp_path)).count() == 0

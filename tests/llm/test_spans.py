@@ -1,4 +1,5 @@
 import hashlib
+import random
 import re
 
 import pytest
@@ -77,6 +78,60 @@ def test_few_seeds_discover_groups_and_long_tokens(spark, unseen):
     assert not found[5].base and rows[5][1][span.start : span.end] == unseen and span.kind == 3
 
 
+def plain_trust(rows, support, trust, rounds):
+    """The graph of (instance, kind or None, pattern) by dicts: the trusted patterns with kind and score."""
+    kind_of, near = {}, {}
+    for instance, kind, pattern in rows:
+        near.setdefault(pattern, set()).add(instance)
+        if kind is not None:
+            kind_of[instance, pattern] = max(kind, kind_of.get((instance, pattern), -1))
+    seeds = {}
+    for (instance, pattern), kind in kind_of.items():
+        seeds[pattern, kind] = seeds.get((pattern, kind), 0) + 1
+    seeds = {k: n for k, n in seeds.items() if n >= support}
+    score = {(p, k): n / (len(near[p]) + 0.5) for (p, k), n in seeds.items()}
+    for _ in range(rounds):
+        miss = {}
+        for (p, k), v in score.items():
+            for i in near[p]:
+                if (i, p) not in kind_of:
+                    miss[i, k] = miss.get((i, k), 1.0) * (1 - min(v, 0.999))
+        score = {(p, k): (n + sum(1 - miss[i, k] for i in near[p] if (i, p) not in kind_of)) / (len(near[p]) + 0.5) for (p, k), n in seeds.items()}
+    best = {}
+    for (p, k), v in score.items():
+        if v >= trust:
+            best[p] = max(best.get(p, (0, 0)), (v, k))
+    return best
+
+
+def test_graph_scores_and_planted_identifiers(spark):
+    """Scores against a plain version; of planted identifiers all at patterns with seeds are found, and no other number."""
+    rng = random.Random(11)
+    filler = lambda n: " ".join("".join(rng.choices("abcdefgh", k=5)) for _ in range(n))
+    rows, planted = [], {}
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    for k in range(240):
+        kind = k % 4
+        cue = ("mail me at", "server address", "card number", "ring me on")[kind]
+        own = (f"{filler(1)}{k}@x.example.com", f"10.{k % 256}.3.{k % 200}", "4111111111111111 " if k == 2 else f"4539 1488 0343 {6400 + k}", f"+1 (555) 010-{1000 + k}")[kind]
+        if kind != 2 or k == 2:
+            rows.append((k, f"{filler(6)} {cue} {own.strip()} {filler(5)}"))
+    for k in range(300, 330):
+        hidden = rng.choice([digits(9), f"0{digits(2)} {digits(4)} {digits(4)}"])
+        rows.append((k, f"{filler(6)} ring me on {hidden} {filler(5)}"))
+        planted[k] = hidden
+    rows += [(k, f"{filler(6)} order {digits(9)} of {filler(5)}") for k in range(400, 430)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    edges = [(text[s:e].lower(), k, p) for _, text in rows for found in [pii.seeds(text)] for words in [[m.span() for m in re.finditer(r"\S+", text)]]
+             for s, k, e in [*found, *((s, None, e) for s, e in pii._unseen(text, found))] for p in pii._patterns(text, s, e, words, [s for s, _ in words])]
+    want = plain_trust(edges, pii.SUPPORT, 0.5, pii.ROUNDS)
+    got = {r.pattern: (r.score, r.kind) for r in pii.trusted_patterns(spark.createDataFrame(edges, "instance string, kind int, pattern string"), trust=0.5).collect()}
+    assert got.keys() == want.keys() and "before me on" in got and all(abs(got[p][0] - v) < 1e-9 and got[p][1] == k for p, (v, k) in want.items())
+    texts = dict(rows)
+    found = {r.doc_id: [texts[r.doc_id][x.start : x.end] for x in r.spans if x not in r.base] for r in pii.find_pii(df).collect()}
+    assert {i: x for i, x in found.items() if x} == {i: [x] for i, x in planted.items()}
+
+
 def test_pii_of_hostile_rows(hostile, none):
     rows = pii.find_pii(hostile).collect()
     assert len(rows) == hostile.count()
@@ -104,6 +159,28 @@ def test_trigram_queries():
     assert q("(?:abc)?") is secrets.ALL and q("a{3}") is secrets.ALL
 
 
+def test_postings_of_a_segment(monkeypatch):
+    monkeypatch.setattr(secrets.Index, "STEP", 7)
+    rng = random.Random(2)
+    texts = ["".join(rng.choices("abC\u00e9\u00c9 k", k=rng.randrange(40))) for _ in range(60)] + [""]
+    grams = {"abc", "bca", "a k", "kkk", "zzz"}
+    index = secrets.Index([x.encode() for x in texts], grams)
+    fold = lambda x: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x)
+    for g in grams:
+        assert index.candidates(g).tolist() == [k for k, x in enumerate(texts) if g in fold(x)]
+    both = index.candidates(("and", ("abc", ("or", ("bca", "zzz")))))
+    assert both.tolist() == [k for k, x in enumerate(texts) if "abc" in fold(x) and "bca" in fold(x)]
+    assert index.candidates(secrets.ALL).tolist() == list(range(61)) and len(secrets.Index([], grams).candidates("abc")) == 0
+
+
+def test_passwords_in_addresses_of_any_length():
+    scanner = secrets.Scanner()
+    long = "u" * 500
+    for text in (f"see https://{long}:{'p' * 900}@host", "ftp://me:secret1@h", "a" * 100_000 + "://x", "x://" * 20_000):
+        want = [(m.start(), m.end()) for m in re.finditer(r"[a-z0-9+.-]+://[^\s:/@\"'<>]+:[^\s:/@\"'<>]{6,}@", text[:2000])]
+        assert [(s, e) for s, k, e in scanner.scan([text])[0] if secrets.RULES[k].kind == "url"] == want
+
+
 def test_base_secrets_of_documents(spark, sf, texts):
     for r in secrets.op8_secret_scan(spark, sf).collect():
         want = plain_secrets(texts[r.doc_id])

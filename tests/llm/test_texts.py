@@ -295,6 +295,14 @@ def test_leaks_of_hostile_rows(spark, hostile, none):
     assert decontaminate.without_contaminated(hostile, bench()).count() == hostile.count()
 
 
+def test_leaking_rows_go_and_rows_of_their_id_stay(spark):
+    item = " ".join(f"i{k}" for k in range(20))
+    rows = [(None, item), (None, "clean one"), (3, "before " + item), (3, "clean two"), (3, None), (None, None), (4, "clean three")]
+    df = spark.createDataFrame([(i, t, n) for n, (i, t) in enumerate(rows)], "doc_id long, text string, leaked_id int")
+    kept = decontaminate.without_contaminated(df, spark.createDataFrame([(1, item)], "item_id long, text string"))
+    assert kept.columns == df.columns and sorted(r.leaked_id for r in kept.collect()) == [1, 3, 4, 5, 6]
+
+
 # ---- toxicity
 
 
@@ -361,7 +369,7 @@ def test_scores_equal_brute_force(spark):
     share = np.array([np.mean([fitted[i] for i in own]) for own in entries.values()])
     rate = (share.sum() + 0.5) / (len(share) + 1)
     model = toxicity.fit(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
-    assert abs(model.rate - rate) < 1e-12
+    assert abs(model.prior - rate) < 1e-12 and abs(model.rate - np.mean(list(fitted.values()))) < 1e-12
     first = [min(own) for own in entries.values()]
     for r in toxicity.score(spark.read.parquet(f"{sf}/documents.parquet"), model).collect():
         query = np.zeros(len(places))
@@ -370,7 +378,7 @@ def test_scores_equal_brute_force(spark):
         cosine = dense @ query
         keep = (cosine > 1e-9) & (cosine >= np.sort(cosine)[-100] - 1e-9)
         vote = ((cosine * share)[keep].sum() + 0.5 * rate) / (cosine[keep].sum() + 0.5)
-        assert abs(r.score - (model.calibrated(vote) if keep.any() else model.calibrated(rate))) < 1e-4
+        assert abs(r.score - (model.calibrated(vote) if keep.any() else model.rate)) < 1e-6
         assert (len(r.evidence) > 0) == keep.any()
         assert np.allclose([e.cosine for e in r.evidence], sorted(cosine, reverse=True)[: len(r.evidence)], atol=1e-5)
         assert all(abs(cosine[first.index(e.doc_id)] - e.cosine) < 1e-5 for e in r.evidence)

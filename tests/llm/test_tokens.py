@@ -1,9 +1,10 @@
+import random
 import zlib
 
 import numpy as np
 import pytest
 
-from heliograph.llm import ans, packing
+from heliograph.llm import ans, packing, tokens
 from heliograph.llm.tokens import default_path, encoder
 
 
@@ -25,7 +26,31 @@ def test_encoder_gives_the_library_s_ids(library, texts):
     hard = ["a b x\x1c y²³ 12½ _a_ __", "'s it's  \n\n x\t\ty   ", "日本 語 <|endoftext|> é<|endoftext|>", " ", "\n \n", "a​b ÿŸ ª º × ÷", "é́ \x85 z", "'", "''s 'll'LL", "  x", "\r\n\r\n", "\xa0\xa0a", "x" * 3000, "ǅ ɏ ɐ"]
     for text in [*hard, *list(texts.values())]:
         assert np.frombuffer(e(text), e.dtype).tolist() == library(text), text[:50]
-    assert e.fast is not None and e(None) == e("") == b""
+    assert e.cut and e(None) == e("") == b"" and e.batch([]) == []
+    assert e.batch(["a b", None, "", " c", "a b"]) == [e("a b"), b"", b"", e(" c"), e("a b")]
+
+
+def test_cutting_at_spaces_never_changes_ids(library, monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 50)
+    monkeypatch.setattr(tokens, "LONGEST", 3)
+    e, rng = tokens.Encoder(default_path()), random.Random(3)
+    letters = "ab'sTt \n\t\r  12.,é日\u0085\x1c\x1f<|>endoftext😀\u200b\u3000\u00a0\u2028\ufeff   "
+    several = ["".join(rng.choices(letters, k=rng.randrange(40))) for _ in range(5000)]
+    for k in range(0, 5000, 100):
+        for text, ids in zip(several[k : k + 100], e.batch(several[k : k + 100])):
+            assert np.frombuffer(ids, e.dtype).tolist() == library(text), repr(text)
+    e.cut = False
+    assert [np.frombuffer(x, e.dtype).tolist() for x in e.batch([None, "", *several[:50]])] == [[], [], *map(library, several[:50])]
+
+
+def test_a_repeated_id_is_spread(spark, tmp_path, library):
+    rows = [(7, f"text {k}") for k in range(300)] + [(k, "x") for k in range(-20, 30) if k != 7]
+    ans.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), str(tmp_path / "f"))
+    got = sorted(ans.read_tokens(spark, str(tmp_path / "f")).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == sorted(i for i, _ in rows)
+    assert sorted(r.ids for r in got if r.doc_id == 7) == sorted([*library(f"text {k}"), 0] for k in range(300))
+    assert [r.start for r in got] == (np.cumsum([r.n_tokens for r in got]) - [r.n_tokens for r in got]).tolist()
+    assert spark.read.parquet(str(tmp_path / "f")).select("part").distinct().count() > 2
 
 
 @pytest.mark.parametrize("n, symbols", [(0, 1), (1, 1), (63, 2), (64, 1), (1000, 50_000), (262_144, 300), (300_001, 40_000), (600_000, 3)])
