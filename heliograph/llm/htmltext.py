@@ -7,7 +7,8 @@ inside a page's <article> or <main> are its text although another page has them
 say what they are (menus, footers, adverts, forms, comments) go although no other page has them.
 
 Only line hashes are sorted and paired. A host with a third of all pages is spread over ranges like any
-other, and the rows next to a range's ends are handed over, so every page sees its true neighbours.
+other. Of the rows at a range's ends the driver learns the URLs, and their lines meet in a join, so every page sees its
+true neighbours.
 """
 
 from __future__ import annotations
@@ -160,6 +161,7 @@ def _hashes(found: list[tuple[str, bool, bool]]) -> list[int]:
 
 _KEYS = "page_id long, content long, host string, path string, hashes array<long>"
 _SHARED = "page_id long, content long, pair_id long, shared array<int>"
+_FOUND = _SHARED + ", pair_content long, hashes array<long>"
 
 
 def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,13 +192,14 @@ def shared_lines(pages: DataFrame) -> DataFrame:
             yield first
             yield last
 
-    kept = sorted((row for row in ranged.mapInArrow(ends, ranged.schema).collect()), key=lambda row: row.range)  # two for each range
-    edges: dict[int, list] = {}
-    for row in kept:
-        edges.setdefault(row.range, []).append((row.host, row.path, row.page_id, row.content, row.hashes))
-    full = sorted(edges)
-    before = {r: edges[full[k - 1]][-1] for k, r in enumerate(full) if k}
-    after = {r: edges[full[k + 1]][0] for k, r in enumerate(full[:-1])}
+    edges = cut(ranged.mapInArrow(ends, ranged.schema).dropDuplicates(["page_id", "content"]))
+    places: dict[int, list] = {}
+    for row in edges.select("range", "host", "path", "page_id", "content").collect():  # two for each range, without their lines
+        places.setdefault(row.range, []).append((row.host, row.path, row.page_id, row.content, None))
+    order_of = lambda x: (x[0], x[1], x[2] is not None, x[2] or 0, x[3])
+    full = sorted(places)
+    before = {r: max(places[full[k - 1]], key=order_of) for k, r in enumerate(full) if k}
+    after = {r: min(places[full[k + 1]], key=order_of) for k, r in enumerate(full[:-1])}
 
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left = row = own = None
@@ -209,25 +212,38 @@ def shared_lines(pages: DataFrame) -> DataFrame:
                     out += _paired(left, row, item)
                     left = row
                 row = item
-            yield _pairs(out)
+            yield _pairs(out, _FOUND)
         if row is not None:
-            yield _pairs(_paired(left, row, after.get(own)))
+            yield _pairs(_paired(left, row, after.get(own)), _FOUND)
 
-    return ranged.mapInArrow(pair, _SHARED)
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = (batch[c].to_pylist() for c in ("page_id", "content", "pair_id", "hashes", "theirs"))
+            yield _pairs([(i, c, p, common_lines(a, b)) for i, c, p, a, b in zip(*columns)], _SHARED)
+
+    found = cut(ranged.mapInArrow(pair, _FOUND))
+    theirs = edges.select(F.col("page_id").alias("their_id"), F.col("content").alias("their_content"), F.col("hashes").alias("theirs"))
+    same = F.col("pair_id").eqNullSafe(F.col("their_id")) & (F.col("pair_content") == F.col("their_content"))
+    apart = found.where("shared IS NULL").join(theirs, same).select("page_id", "content", "pair_id", "hashes", "theirs")
+    return found.where("shared IS NOT NULL").select("page_id", "content", "pair_id", "shared").unionByName(apart.mapInArrow(across, _SHARED))
 
 
 def _paired(left, row, right) -> list[tuple]:
+    """The row's nearest page and the lines that both have; or, of a page whose lines are in another range, no lines yet."""
     near = [x for x in (left, right) if x is not None and x[0] == row[0]]
     if not near:
         return []
     other = max(near, key=lambda x: len(os.path.commonprefix([x[1], row[1]])))
-    return [(row[2], row[3], other[2], common_lines(row[4], other[4]))]
+    if other[4] is None:
+        return [(row[2], row[3], other[2], None, other[3], row[4])]
+    return [(row[2], row[3], other[2], common_lines(row[4], other[4]), other[3], None)]
 
 
-def _pairs(rows: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*rows)) if rows else [[]] * 4
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int32()))
-    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, kinds)], names=["page_id", "content", "pair_id", "shared"])
+def _pairs(rows: list[tuple], schema: str) -> pa.RecordBatch:
+    fields = [x.split(" ") for x in schema.split(", ")]
+    kinds = {"long": pa.int64(), "array<int>": pa.list_(pa.int32()), "array<long>": pa.list_(pa.int64())}
+    columns = list(zip(*rows)) if rows else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, (_, t) in zip(columns, fields)], names=[n for n, _ in fields])
 
 
 #: The lines to choose from, in page order; place is null inside an article, else the line's number among those outside.
@@ -255,9 +271,10 @@ def main_text(pages: DataFrame) -> DataFrame:
     a newline in page order. A page has its lines that its nearest page does not have and, shared or not, those
     inside an article or main element, or, where that would leave nothing (the nearest page is a copy),
     all of its lines; elements that hold no text are left out in each case. Null or empty
-    html gives an empty text. Pages without another one on their host have no template to delete. Rows
-    that repeat are kept. pair_id and n_shared say which page was compared and how many lines of the
-    page outside an article it shares.
+    html gives an empty text. A page of any length is taken whole. Pages without another one on their host have no template to
+    delete. Rows that repeat are kept, and are one page in the pairing; of two equally near pages the one before in the
+    order of path and page_id is compared. pair_id and n_shared say which page was compared and how many lines of the
+    page outside an article it shares. Other columns are not looked at; an empty table gives no rows.
     """
     pages = pages.select(F.col("page_id").cast("long"), "url", "html").withColumn("content", F.xxhash64("url", "html"))
     pairs = shared_lines(pages).select(F.col("page_id").alias("p"), F.col("content").alias("c"), "pair_id", "shared")
@@ -270,4 +287,5 @@ def main_text(pages: DataFrame) -> DataFrame:
 
 
 def op2_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`main_text` of all of the table `pages`."""
     return main_text(table(spark, sf_dir, "pages"))

@@ -42,6 +42,40 @@ def plain_anchors(text, k, s):
     return out
 
 
+def test_fingerprints_and_likeness_against_plain_versions(spark, sf):
+    """Anchors by the definition, with the module's hashes of runs alone; likeness by a table."""
+
+    def hash_run(run, base):  # what the doubling of runs computes, by Horner's rule
+        h = 0
+        for c in run:
+            h = (h * base + ord(c) + 1) % (1 << 64)
+        return int(syncmers._mix(np.array([h], np.uint64))[0])
+
+    def plain_print(text):
+        out = []
+        kinds = [(16, 8)] + ([(4, 2)] if 4 <= len(text) < 128 else [])
+        first = {}
+        for k, s in kinds:
+            for i in range(len(text) - k + 1):
+                inner = [hash_run(text[j : j + s], 0x9E3779B97F4A7C15) for j in range(i, i + k - s + 1)]
+                if min(inner) in (inner[0], inner[-1]):
+                    h = hash_run(text[i : i + k], 0xC2B2AE3D27D4EB4F)
+                    first[h] = min(i, first.get(h, i))
+        for h in sorted(first, key=lambda h: first[h]):
+            out.append(h)
+        return out or ([int.from_bytes(hashlib.sha256(text.encode()).digest()[:8], "little")] if text else [])
+
+    rows = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").where("length(text) < 700").orderBy("doc_id").limit(12).collect()] + ["", "a", "short one here", "x" * 60]
+    prints = [plain_print(t) for t in rows]
+    for t, p in zip(rows, prints):
+        got = syncmers.fingerprint(t).tolist()
+        assert sorted(got) == sorted(p) and (len(t) < 128 or got == p)
+    for a, b in zip(rows, rows[1:] + rows[:1]):
+        x, y = syncmers.fingerprint(a).tolist(), syncmers.fingerprint(b).tolist()
+        want = plain_lcs(x, y) / (len(x) + len(y) - len(set(x) & set(y))) if x and y else float(len(x) == len(y))
+        assert abs(syncmers.likeness(np.array(x, np.uint64), np.array(y, np.uint64)) - want) < 1e-12
+
+
 def test_anchors_are_closed_syncmers_and_free_of_context():
     rng = random.Random(1)
     text = "".join(rng.choice("abc é") for _ in range(400))
@@ -161,6 +195,54 @@ def test_template_lines_go_where_nothing_marks_them(spark):
     assert htmltext.main_text(empty).count() == 0
 
 
+def plain_lcs(a, b):
+    table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+    return table[-1][-1]
+
+
+def is_subsequence(a, b):
+    rest = iter(b)
+    return all(x in rest for x in a)
+
+
+def test_pairing_and_deletion_equal_brute_force(spark):
+    """All pages of sf0.01 with their tags made to say nothing, so that differencing decides every line."""
+    import html as entities
+    from urllib.parse import urlsplit
+
+    pages = []
+    for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").collect():
+        body = re.sub(r"<!--.*?-->|<head>.*?</head>|<(script|style|form|button|select|textarea|noscript|iframe)\b.*?</\1>", "", r.html, flags=re.S)
+        body = re.sub(r"<(/?)[a-z][^>]*>", lambda m: m[0] if re.match(r"</?(b|i|em|a|span|strong)\b", m[0]) and "class" not in m[0] else f"<{m[1]}div>", body)
+        pages.append((r.page_id, r.url, body + f"<div>common end</div><div>own {r.page_id}</div>"))
+    of = {}
+    for i, url, body in pages:
+        blocks = [" ".join(entities.unescape(re.sub("<[^>]*>", "", x)).split()) for x in re.split("</?div>", body)]
+        of[i] = [x for x in blocks if x]
+    place = {i: (urlsplit(u).hostname, urlsplit(u).path + ("?" + urlsplit(u).query if urlsplit(u).query else "")) for i, u, _ in pages}
+    common = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b)) if x != y), min(len(a), len(b)))
+    got = {r.page_id: r for r in htmltext.main_text(spark.createDataFrame(pages, "page_id long, url string, html string").repartition(4)).collect()}
+    deleted = 0
+    for i in of:
+        others = sorted((common(place[i][1], place[j][1]) for j in of if j != i and place[j][0] == place[i][0]), reverse=True)
+        if not others:
+            assert got[i].pair_id is None and got[i].text == "\n".join(of[i])
+            continue
+        j = got[i].pair_id  # no page of the host is nearer
+        assert place[j][0] == place[i][0] and common(place[i][1], place[j][1]) == others[0]
+        kept, n = got[i].text.split("\n"), plain_lcs(of[i], of[j])
+        assert got[i].n_shared == n >= 1 and len(kept) == len(of[i]) - n and is_subsequence(kept, of[i]) and f"own {i}" in kept
+        gone = list(of[i])
+        for x in kept:
+            gone.remove(x)
+        assert sorted(gone) == sorted(x for x in gone if x in of[j])
+        deleted += n
+    assert deleted > len(of)
+
+
 def test_differencing_decides_outside_of_an_article(spark):
     page = lambda k: f"<div>Welcome</div><article><p>Teaser</p></article><div>long text {k}</div><nav>Menu {k}</nav><div>All rights reserved</div>"
     rows = [(k, f"http://h.org/a/{k}", page(k)) for k in range(4)] + [(9, "http://copy.org/1", page(9)), (10, "http://copy.org/2", page(9))]
