@@ -146,7 +146,8 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
     null or empty text is one piece of one id, and rows that repeat are documents of their own. Columns:
     doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Sequences are full but for the
     last ones of each range of the curve, which have a power of two of ids. Rows of one place on the curve
-    are sorted and split by doc_id, so a large group of copies spreads over ranges.
+    are sorted and split by doc_id, so a large group of copies spreads over ranges. Texts are taken whole, whatever their
+    length; other columns are not looked at; an empty table gives no rows.
     """
     path = path or default_path()
     spark = docs.sparkSession
@@ -166,4 +167,5 @@ def pack(docs: DataFrame, path: str | None = None, length: int = LENGTH) -> Data
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`pack` of all of the table `documents`."""
     return pack(table(spark, sf_dir, "documents"))

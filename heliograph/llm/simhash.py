@@ -145,7 +145,7 @@ def keep_one(docs: DataFrame) -> DataFrame:
     """`docs` with one row of each group of near-duplicates: the first by doc_id (nulls last), then by the text's hash.
 
     Rows are judged one by one, so rows that share a doc_id, or have none, but are no near-duplicates all stay;
-    of rows equal in doc_id and text the first by their other columns stays. Null and empty texts and those without words are
+    of rows equal in doc_id and text the first as JSON stays. Null and empty texts and those without words are
     one group. All columns are kept, of any type and name; an empty table gives no rows.
     """
     prints = cut(fingerprints(docs, key=True))

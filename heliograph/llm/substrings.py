@@ -159,7 +159,7 @@ def sketch(docs: DataFrame, width: int, window: int = WINDOW) -> bytes:
             yield out()
 
     parts = docs.select("text").mapInArrow(count, "part int, cells binary, twice binary")
-    merged = parts.repartition(tasks(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary")
+    merged = parts.repartitionById(tasks(docs.sparkSession), "part").sortWithinPartitions("part").mapInArrow(merge, "part int, bits binary")
     bits = bytearray(DEPTH << (width - 3))
     step = 1 << (LOG_PART - 3)
     for row in merged.toLocalIterator():  # at most DEPTH * 2**(width - LOG_PART) rows
@@ -282,7 +282,7 @@ def _repeated(docs: DataFrame, bits: Broadcast, window: int, n: int) -> DataFram
             yield _frame([[k for k, _ in found], [x for _, x in found]], (pa.int32(), pa.binary()), ["bucket", "cover"])
 
     sent = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(send, "part int, hashes binary, cover binary")
-    return sent.repartition(n, "part").mapInArrow(settle, "bucket int, cover binary")
+    return sent.repartitionById(n, "part").mapInArrow(settle, "bucket int, cover binary")
 
 
 def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -291,7 +291,8 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     A word goes if a window that covers it has the word sequence of a window that starts anywhere
     else, in the same document or in another, judged on the input. Words are maximal runs without
     ASCII white space, unchanged. A null or empty text has no words; texts of fewer than `window` words
-    stay as they are. Rows that repeat a document are places of their own, so they lose their windows.
+    stay as they are, and one of any length is read whole. Rows that repeat a document are places of their own, so they lose their
+    windows. Other columns of `docs` are not looked at; an empty table gives no rows.
     """
     spark = docs.sparkSession
     bits, n = spark.sparkContext.broadcast(sketch(docs, width_for(docs), window)), tasks(spark)
@@ -330,11 +331,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     texts = docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(deal, "bucket int, doc_id long, text string")
     rows = _repeated(docs, bits, window, n).selectExpr("bucket", "0 AS kind", "CAST(NULL AS BIGINT) AS doc_id", "CAST(NULL AS STRING) AS text", "cover")
     rows = rows.union(texts.selectExpr("bucket", "1 AS kind", "doc_id", "text", "CAST(NULL AS BINARY) AS cover"))
-    dealt = rows.repartition(n, "bucket").sortWithinPartitions("bucket", "kind")
+    dealt = rows.repartitionById(n, "bucket").sortWithinPartitions("bucket", "kind")
     return dealt.select("bucket", "doc_id", "text", "cover").mapInArrow(apply, "doc_id long, n_words long, n_removed long, kept string")
 
 
 def op9_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`remove_repeats` of all of the table `documents`, with a digest of what is kept."""
     kept = remove_repeats(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
 

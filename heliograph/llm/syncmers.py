@@ -23,8 +23,6 @@ from heliograph.llm.common import pieces, table, tasks
 K, S = 16, 8
 #: Texts of fewer than SHORT characters also have the anchors of shorter runs.
 SHORT, SHORT_K, SHORT_S = 128, 4, 2
-#: Ranges of doc_id at most; else there are as many as shuffle partitions.
-PARTS = 1 << 13
 #: Characters whose hashes are held at once; longer texts are taken in overlapping pieces.
 PIECE = 1 << 20
 
@@ -130,7 +128,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
     document after each is in its task. Texts are shuffled once. Ties of doc_id are sorted by text.
     """
     docs = docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    parts = min(PARTS, tasks(docs.sparkSession))
+    parts = tasks(docs.sparkSession)
     bounds = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
     bounds = sorted({int(b) for b in bounds})
     place = lambda i: 0 if i is None else int(np.searchsorted(bounds, i, side="right"))
@@ -160,7 +158,7 @@ def neighbours(docs: DataFrame) -> DataFrame:
 
     dealt = docs.mapInArrow(deal, "part int, guest int, doc_id long, text string")
     order = [F.col("part").desc(), F.col("guest"), F.col("doc_id").desc_nulls_last(), F.col("text")]
-    return dealt.repartition(max(1, len(tops)), "part").sortWithinPartitions(*order)
+    return dealt.repartitionById(parts, "part").sortWithinPartitions(*order)
 
 
 _SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
@@ -171,7 +169,8 @@ def compare_with_next(docs: DataFrame) -> DataFrame:
 
     The next document is the one after it by descending doc_id (nulls last, rows of one doc_id by text),
     after the last the first; a single document is its own next. Null texts are empty. Equal texts have
-    equal fingerprints.
+    equal fingerprints. Texts are taken whole, long ones in overlapping pieces. Rows that repeat a doc_id lie in one range, as
+    their order asks for. Other columns are not looked at; an empty table gives no rows.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,4 +200,5 @@ def _row(doc_id: int | None, text: str, own: np.ndarray, other: str, others: np.
 
 
 def op7_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """`compare_with_next` of all of the table `documents`."""
     return compare_with_next(table(spark, sf_dir, "documents"))
