@@ -354,6 +354,52 @@ def test_leaks_of_a_share_of_0_8_are_all_found(spark):
     assert set(got) == set(want) and len(want) > 40 and all(abs(got[k] - want[k]) < 1e-6 for k in got)
 
 
+def test_leaks_of_5_to_60_words_equal_all_windows(spark):
+    """Items that share shingles, so weights differ; first and last words are replaced, so many windows are near 0.8."""
+    import math
+
+    rng = random.Random(21)
+    lexicon = [f"w{k}" for k in range(4000)]
+    phrase = rng.choices(lexicon, k=9)
+    items = []
+    for k in range(96):
+        w = rng.choices(lexicon, k=(5, 6, 8, 10, 14, 16, 26, 60)[k % 8])
+        if k % 3 == 0 and len(w) > 20:
+            w[4:13] = phrase
+        items.append((k, " ".join(w)))
+    docs = []
+    for k, t in items:
+        w = t.split()
+        if k % 8 > 2:
+            w[:1], w[-1:] = rng.choices(lexicon, k=k % 2), rng.choices(lexicon, k=1 - k % 2 or 1)
+        docs.append((k, " ".join(rng.choices(lexicon, k=30) + w + rng.choices(lexicon, k=30))))
+    having = {}
+    for _, t in items:
+        for x in set(shingles(words(t))):
+            having[x] = having.get(x, 0) + 1
+    weight = {x: round(math.log1p(len(items) / n) * (1 << 32)) for x, n in having.items()}
+    want = {}
+    for i, t in docs:
+        s = shingles(words(t))
+        for j, u in items:
+            own = shingles(words(u))
+            if set(own) & set(s):
+                mass = sum(weight[x] for x in own)
+                best = 0
+                for at in range(len(s)):
+                    there, rest = 0, {}
+                    for x in s[at : at + len(own)]:
+                        rest[x] = rest.get(x, 0) + 1
+                    for x in set(own):
+                        there += weight[x] * min(own.count(x), rest.get(x, 0))
+                    best = max(best, there)
+                if best >= 0.8 * mass:
+                    want[i, j] = best / mass
+    rows = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id): r.similarity for r in rows}
+    assert got.keys() == want.keys() and len(want) > 60 and all(abs(got[k] - v) < 1e-6 for k, v in want.items())
+
+
 def test_copies_of_a_leak_do_not_hide_it(spark):
     rng = random.Random(13)
     lexicon = [f"w{k}" for k in range(5000)]
