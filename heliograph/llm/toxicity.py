@@ -30,8 +30,8 @@ from heliograph.llm.common import pieces, table, tasks
 MAX_TOXIC, MAX_CLEAN = 600, 1_600
 #: Neighbours that vote, and of these the ones that are returned as evidence; examples in a block.
 NEIGHBOURS, EVIDENCE, BLOCK = 100, 10, 64
-#: Postings of a term that one in COMMON examples has are kept as a row of a matrix.
-COMMON = 16
+#: Postings of a term that one in COMMON examples has are kept as a row of a matrix, by which BATCH texts are multiplied at once.
+COMMON, BATCH = 16, 64
 #: The weight of the overall rate among the votes.
 PRIOR = 0.5
 #: Words are terms, and so are their beginnings of these lengths, which inflected forms share.
@@ -109,10 +109,9 @@ class Index:
         common = np.flatnonzero(often * COMMON > len(vectors))
         self.row = np.full(terms, -1)
         self.row[common] = np.arange(len(common))
-        self.matrix = np.zeros((len(common), self.blocks, block))
+        self.matrix = np.zeros((len(common), self.blocks * block))
         full = self.row[term] >= 0
-        self.matrix.reshape(len(common), self.blocks * block)[self.row[term[full]], place[full]] = weight[full]
-        self.peaks = self.matrix.max(axis=2, initial=0)
+        self.matrix[self.row[term[full]], place[full]] = weight[full]
         by = np.lexsort((place[~full], term[~full]))
         term, self.place, self.weight = term[~full][by], place[~full][by], weight[~full][by]
         of = self.place // block
@@ -128,48 +127,53 @@ class Index:
         common = np.flatnonzero(64 * often[terms] >= n)
         return terms[common[np.argsort(-weights[common], kind="stable")[:4]]].tolist()
 
-    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
+    def common(self, queries: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
+        """What the frequent terms of each query add to its cosine with each example."""
+        rows = np.zeros((len(queries), len(self.matrix)))
+        for own, (terms, weights) in zip(rows, queries):
+            row = self.row[terms]
+            own[row[row >= 0]] = weights[row >= 0]
+        return rows @ self.matrix
+
+    def nearest(self, terms: np.ndarray, weights: np.ndarray, k: int, common: np.ndarray | None = None, without: int = -1) -> tuple[np.ndarray, np.ndarray]:
         """(examples, cosines) of the k nearest and all that tie with the last, nearest first.
 
-        Only examples of a positive cosine; `without` is never among them.
+        Only examples of a positive cosine; `without` is never among them. A block's bound is the most that frequent terms give
+        one of its examples, and the largest weights of the other terms in it.
         """
-        row = self.row[terms]
-        many, few = row >= 0, terms[row < 0]
-        heavy = weights[many], row[many]
-        sizes = self.cuts[few + 1] - self.cuts[few]
-        top, weight = _runs(self.cuts[few], sizes), np.repeat(weights[~many], sizes)
-        bound = heavy[0] @ self.peaks[heavy[1]] + np.bincount(self.of[top], weight * self.most[top], self.blocks)
-        by = np.argsort(-bound, kind="stable")
-        cosine = np.zeros((self.blocks, self.block))
-        own = int(np.flatnonzero(self.order == without)[0]) if without >= 0 else -1
-        front = 2 * (k // self.block + 1)
-        self._add(cosine, np.sort(by[:front]), *heavy, top, weight, own)
-        later = by[front:]
-        later = np.sort(later[(bound[later] > 0) & (bound[later] >= self._worst(cosine, k) - 1e-9)])
-        if len(later):
-            self._add(cosine, later, *heavy, top, weight, own)
-        worst, cosine = self._worst(cosine, k), cosine.reshape(-1)
-        found = np.flatnonzero((cosine > 0) & (cosine >= worst - 1e-9))
+        cosine = (self.common([(terms, weights)])[0] if common is None else common).copy()
+        few = self.row[terms] < 0
+        terms, weights = terms[few], weights[few]
+        sizes = self.cuts[terms + 1] - self.cuts[terms]
+        top, weight = _runs(self.cuts[terms], sizes), np.repeat(weights, sizes)
+        of = self.of[top]
+        bound = cosine.reshape(self.blocks, self.block).max(axis=1, initial=0) + np.bincount(of, weight * self.most[top], self.blocks)
+        own = np.flatnonzero(self.order == without) if without >= 0 else np.zeros(0, np.int64)
+        front = np.zeros(self.blocks, dtype=bool)
+        front[np.argsort(-bound, kind="stable")[: 2 * (k // self.block + 1)]] = True
+        inside = front[of]
+        cosine += self._others(top[inside], weight[inside])
+        cosine[own] = 0
+        # What the front holds so far is a lower bound of the k-th cosine, as the others can only gain.
+        rest = ~front & (bound >= self._worst(cosine, k) - 1e-9)
+        inside = rest[of]
+        if inside.any():
+            cosine += self._others(top[inside], weight[inside])
+            cosine[own] = 0
+        worst = self._worst(cosine, k)
+        found = np.flatnonzero((cosine > 1e-12) & (cosine >= worst - 1e-9))
         found = found[np.argsort(-cosine[found].round(9), kind="stable")]
         return self.order[found], cosine[found]
 
     @staticmethod
     def _worst(cosine: np.ndarray, k: int) -> float:
-        return np.partition(cosine.reshape(-1), -k)[-k] if cosine.size >= k else 0.0
-
-    def _add(self, cosine: np.ndarray, blocks: np.ndarray, heavy: np.ndarray, row: np.ndarray, top: np.ndarray, weight: np.ndarray, own: int) -> None:
-        """The cosines of some blocks; none for the example at place `own`."""
-        part = self.matrix[row] if len(blocks) == self.blocks else self.matrix[row[:, None], blocks]
-        cosine[blocks] = (heavy @ part.reshape(len(row), len(blocks) * self.block)).reshape(len(blocks), self.block)
-        inside = np.zeros(self.blocks, dtype=bool)
-        inside[blocks] = True
-        inside = inside[self.of[top]]
-        top, weight = top[inside], weight[inside]
+        return np.partition(cosine, -k)[-k] if len(cosine) >= k else 0.0
+
+    def _others(self, top: np.ndarray, weight: np.ndarray) -> np.ndarray:
+        """What the postings of some terms in some blocks add to the cosines."""
         sizes = self.begin[top + 1] - self.begin[top]
         at = _runs(self.begin[top], sizes)
-        cosine += np.bincount(self.place[at], np.repeat(weight, sizes) * self.weight[at], cosine.size).reshape(cosine.shape)
-        if own >= 0:
-            cosine.reshape(-1)[own] = 0
+        return np.bincount(self.place[at], np.repeat(weight, sizes) * self.weight[at], self.blocks * self.block)
 
 
 class Model:
@@ -213,19 +217,26 @@ class Model:
         terms, counts = np.unique(self.number.numbers(text), return_counts=True)
         return terms.astype(np.int64), counts.astype(float)
 
-    def vote(self, terms: np.ndarray, counts: np.ndarray, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
+    def vote(self, query: tuple[np.ndarray, np.ndarray], common: np.ndarray | None = None, without: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
         """(share of toxic votes, entries, cosines); the share among all entries where none has a term of the text."""
-        if not len(terms):
+        if not len(query[0]):
             return self.prior, np.zeros(0, np.int64), np.zeros(0)
-        found, cosine = self.index.nearest(*self.vector(terms, counts), self.neighbours, without)
+        found, cosine = self.index.nearest(*query, self.neighbours, common, without)
         return float(((cosine * self.share[found]).sum() + PRIOR * self.prior) / (cosine.sum() + PRIOR)), found, cosine
 
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, float]]]]:
+        """(score, evidence) of each text; evidence holds a doc_id of each of the nearest entries and its cosine."""
+        out = []
+        for at in range(0, len(texts), BATCH):
+            queries = [self.vector(*self.known(x)) for x in texts[at : at + BATCH]]
+            for query, common in zip(queries, self.index.common(queries)):
+                vote, found, cosine = self.vote(query, common)
+                evidence = [(int(i), round(float(c), 6)) for i, c in zip(self.first[found[:EVIDENCE]], cosine)]
+                out.append((round(self.calibrated(vote), 9) if len(found) else self.rate, evidence))
+        return out
+
     def score(self, text: str | None) -> tuple[float, list[tuple[int, float]]]:
-        """(score, evidence): evidence holds a doc_id of each of the nearest entries and its cosine."""
-        vote, found, cosine = self.vote(*self.known(text))
-        if not len(found):
-            return self.rate, []
-        return self.calibrated(vote), [(int(i), round(float(c), 6)) for i, c in zip(self.first[found[:EVIDENCE]], cosine)]
+        return self.scores([text])[0]
 
     def calibrated(self, vote: float) -> float:
         if not 0 < self.rate < 1:
@@ -347,7 +358,7 @@ def _votes(spark: SparkSession, model: Model) -> tuple[np.ndarray, np.ndarray]:
             found = []
             for k in batch["k"].to_pylist():
                 terms, counts, n = sent.value.entries[k]
-                found.append(sent.value.vote(terms, counts, k if n == 1 else -1)[0])
+                found.append(sent.value.vote(sent.value.vector(terms, counts), without=k if n == 1 else -1)[0])
             yield pa.RecordBatch.from_arrays([batch["k"], pa.array(found, pa.float64())], names=["k", "vote"])
 
     rows = spark.createDataFrame([(k,) for k in some], "k int").repartition(min(tasks(spark), 1 + len(some) // 64)).mapInArrow(run, "k int, vote double").collect()
@@ -369,7 +380,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("doc_id", pa.int64()), ("cosine", pa.float64())]))
         for batch in pieces(batches):
-            found = [sent.value.score(x) for x in batch["text"].to_pylist()]
+            found = sent.value.scores(batch["text"].to_pylist())
             evidence = [[{"doc_id": i, "cosine": c} for i, c in e] for _, e in found]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array([s for s, _ in found], pa.float64()), pa.array(evidence, kind)], names=["doc_id", "score", "evidence"])
 
@@ -383,7 +394,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float = 0.5) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches):
-            yield batch.filter(pa.array([sent.value.score(x)[0] < threshold for x in batch["text"].to_pylist()], pa.bool_()))
+            yield batch.filter(pa.array([x < threshold for x, _ in sent.value.scores(batch["text"].to_pylist())], pa.bool_()))
 
     return docs.mapInArrow(run, docs.schema)
 

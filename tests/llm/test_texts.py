@@ -451,7 +451,7 @@ def test_index_is_exact():
             every = dense @ dense[k]
             if without >= 0:
                 every[k] = 0
-            found, cosine = index.nearest(*vectors[k], 10, without)
+            found, cosine = index.nearest(*vectors[k], 10, without=without)
             tenth = np.sort(every)[-10]
             assert set(found.tolist()) == set(np.flatnonzero((every >= tenth - 1e-9) & (every > 0)).tolist()) and without not in found
             assert np.allclose(cosine, every[found], atol=1e-6) and (np.diff(cosine) < 1e-6).all()
