@@ -14,8 +14,8 @@ import zstandard
 #: A space between two characters that aren't white space. No byte-level word reaches over one from the left, and none looks
 #: behind, so the ids of a text are those of its parts one after another, each part but the first with its space.
 _SPACE = re.compile(r" (?=\S)(?<=\S )")
-#: Parts whose ids a process remembers at most, and their longest.
-REMEMBERED, LONGEST = 600_000, 32
+#: Parts whose ids a process remembers at most (some 200 bytes each), and their longest.
+REMEMBERED, LONGEST = 2_000_000, 32
 
 
 class Encoder:
