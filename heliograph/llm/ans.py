@@ -201,6 +201,7 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
             ids = [press(x + end, encode.dtype) for x in encode.batch(texts)]
             part = [place(i, x) for i, x in zip(batch["doc_id"].to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch["doc_id"], pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
+        encode.forget()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, before, held, size = -1, 0, 0, [], 0

@@ -84,6 +84,7 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
                 ids.append(press(own + end, encode.dtype))
             curve = hilbert(np.array(cells, dtype=np.int64).reshape(len(cells), DIMENSIONS))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(curve), pa.array(ids, pa.binary())], names=["doc_id", "curve", "ids"])
+        encode.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, curve long, ids binary")
 

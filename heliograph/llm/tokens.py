@@ -15,7 +15,7 @@ import zstandard
 #: behind, so the ids of a text are those of its parts one after another, each part but the first with its space.
 _SPACE = re.compile(r" (?=\S)(?<=\S )")
 #: Parts whose ids a process remembers at most (some 200 bytes each), and their longest.
-REMEMBERED, LONGEST = 2_000_000, 32
+REMEMBERED, LONGEST = 600_000, 32
 
 
 class Encoder:
@@ -68,6 +68,10 @@ class Encoder:
                 del known[x]
         return out
 
+    def forget(self) -> None:
+        """Free what is remembered; for the end of a task, as idle workers would hold it."""
+        self.known = {}
+
     def __call__(self, text: str | None) -> bytes:
         return self.batch([text])[0]
 

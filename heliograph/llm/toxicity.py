@@ -65,7 +65,7 @@ class Vocabulary(dict):
     def numbers(self, text: str | None) -> np.ndarray:
         """The terms of a text that are known, as often as it has them."""
         words, seen = _WORD.findall((text or "").lower()), self.seen
-        if len(seen) > 300_000:
+        if len(seen) > 100_000:
             seen.clear()
         try:
             packed = [seen[w] for w in words]
