@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from heliograph.llm import ans, decontaminate, htmltext, packing, pii, secrets, simhash, substrings, syncmers, toxicity
+from heliograph.llm import ans, decontaminate, exact, htmltext, merkle, packing, pii, secrets, simhash, spelling, substrings, syncmers, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,8 +21,16 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": secrets.op8_secret_scan,
         "op9_substring_dedup": substrings.op9_substring_dedup,
         "op10_packing": packing.op10_packing,
+        "op11_exact_dedup": exact.op11_exact_dedup,
+        "op12_spelling_variants": spelling.op12_spelling_variants,
+        "op13_merkle_manifest": merkle.op13_merkle_manifest,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_substring_dedup": substrings.ORACLE_SQL}
+    return {
+        "op9_substring_dedup": substrings.ORACLE_SQL,
+        "op11_exact_dedup": exact.ORACLE_SQL,
+        "op12_spelling_variants": spelling.ORACLE_SQL,
+        "op13_merkle_manifest": merkle.ORACLE_SQL,
+    }
