@@ -13,7 +13,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -120,7 +119,7 @@ def _block(levels: int) -> Column:
 
 
 def _climb(nodes: DataFrame, levels: int, top: int, within: bool = True):
-    """For each node (grp, pos, leaf) its way to the root: (path, subroot, root).
+    """For each node (grp, pos, leaf) its way to the root: path, subroot, root.
 
     A dict for all executors where the driver builds the tree, else a table. `within`: a source's nodes are under one
     subroot, and these under the root; else all nodes are subroots.
@@ -131,10 +130,9 @@ def _climb(nodes: DataFrame, levels: int, top: int, within: bool = True):
         return spark.sparkContext.broadcast(_top(nodes, within))
     if within and last == 0:
         across = nodes.select(F.lit(0).cast("long").alias("grp"), F.col("grp").alias("pos"), "leaf")
-        known = _finished(across, _climb(across, levels, top, False), levels)
+        known = _climb(across, levels, top, False)  # a table, as there are as many
         return known.select(F.col("pos").alias("grp"), F.lit(0).cast("long").alias("pos"), "path", F.col("leaf").alias("subroot"), "root")
-    known = _finished(nodes, _climb(_reduced(nodes, levels), levels, top, within), levels)
-    return known.select("grp", "pos", "path", "subroot", "root")
+    return _finished(nodes, _climb(_reduced(nodes, levels), levels, top, within), levels)
 
 
 def _top(nodes: DataFrame, within: bool) -> dict:
@@ -157,12 +155,12 @@ def _top(nodes: DataFrame, within: bool) -> dict:
 def _reduced(nodes: DataFrame, levels: int) -> DataFrame:
     """The node of each block, as a node of the next stage."""
 
-    def one(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        leaves = frame.sort_values("pos")["leaf"].tolist()
-        tree = grow(leaves, _levels(key[1], len(leaves), levels))
-        return pd.DataFrame({"grp": [key[0]], "pos": [key[1]], "leaf": tree[-1]})
+    def one(key: tuple, block: pa.Table) -> pa.Table:
+        leaves = block.sort_by("pos")["leaf"].to_pylist()
+        tree = grow(leaves, _levels(key[1].as_py(), len(leaves), levels))
+        return pa.table({"grp": [key[0].as_py()], "pos": [key[1].as_py()], "leaf": tree[-1]})
 
-    return cut(nodes.select("grp", "pos", "leaf").groupBy("grp", _block(levels).alias("block")).applyInPandas(one, "grp long, pos long, leaf string"))
+    return cut(nodes.select("grp", "pos", "leaf").groupBy("grp", _block(levels).alias("block")).applyInArrow(one, "grp long, pos long, leaf string"))
 
 
 def _finished(nodes: DataFrame, upper, levels: int) -> DataFrame:
@@ -172,22 +170,21 @@ def _finished(nodes: DataFrame, upper, levels: int) -> DataFrame:
     columns = [*extra, "grp", "pos", "leaf", "path", "subroot", "root"] if not extra else ["doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root"]
     schema = ", ".join(f"{c} {kind.get(c, 'string')}" for c in columns)
 
-    def finish(key: tuple, frame: pd.DataFrame, above: tuple) -> pd.DataFrame:
-        frame, (suffix, subroot, root) = frame.sort_values("pos"), above
-        leaves = frame["leaf"].tolist()
-        tree = grow(leaves, _levels(key[1], len(leaves), levels))
+    def finish(key: tuple, block: pa.Table, above: tuple[str, str, str]) -> pa.Table:
+        block, (suffix, subroot, root) = block.sort_by("pos"), above
+        leaves = block["leaf"].to_pylist()
+        tree = grow(leaves, _levels(key[1].as_py(), len(leaves), levels))
         ways = [path(tree, k) + suffix for k in range(len(leaves))]
-        frame = frame.assign(path=ways, subroot=subroot, root=root)
+        out = {c: block[c] for c in ("doc_id", "grp", "pos", "leaf") if c in columns} | {"path": ways, "subroot": [subroot] * len(ways), "root": [root] * len(ways)}
         if extra:
-            frame["proof_sha256"] = [proof(w) for w in ways]
-            frame["folded_root"] = [fold(x, w) for x, w in zip(frame["tampered"], ways)]
-        return frame[columns]
+            out |= {"proof_sha256": [proof(w) for w in ways], "folded_root": [fold(x, w) for x, w in zip(block["tampered"].to_pylist(), ways)]}
+        return pa.table({c: out[c] for c in columns})
 
     grouped = nodes.select(*extra, "grp", "pos", "leaf").groupBy("grp", _block(levels).alias("block"))
     if isinstance(upper, DataFrame):
-        above = upper.groupBy("grp", F.col("pos").alias("block"))
-        return grouped.cogroup(above).applyInPandas(lambda key, left, right: finish(key, left, tuple(right[["path", "subroot", "root"]].iloc[0])), schema)
-    return grouped.applyInPandas(lambda key, frame: finish(key, frame, upper.value[int(key[0]), int(key[1])]), schema)
+        of_block = lambda key, block, above: finish(key, block, tuple(above[c][0].as_py() for c in ("path", "subroot", "root")))
+        return grouped.cogroup(upper.groupBy("grp", F.col("pos").alias("block"))).applyInArrow(of_block, schema)
+    return grouped.applyInArrow(lambda key, block: finish(key, block, upper.value[key[0].as_py(), key[1].as_py()]), schema)
 
 
 def manifest(docs: DataFrame, levels: int = LEVELS, top: int = TOP) -> DataFrame:

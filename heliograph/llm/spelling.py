@@ -138,7 +138,7 @@ def near_pairs(words: DataFrame, crowd: int = CROWD, hot: int = HOT) -> DataFram
         sizes = cut(rows.groupBy("key").agg(F.count("*").alias("size"), F.max(F.col("short") - F.col("head") - F.col("tail")).alias("apart")).where("size > 1"))
         total = sizes.agg(F.sum("size")).first()[0] or 0
         again = f"size > {crowd} and apart > 1"
-        known = sizes.where(f"size > {max(hot, total // 1000)} and apart > 1").select("key")
+        known = sizes.where(f"size > {max(hot, crowd, total // 1000)} and apart > 1").select("key")
         cold = rows.join(F.broadcast(known), "key", "left_anti").join(sizes, "key")
         few = cold.where(f"not ({again})").groupBy("key").agg(*[F.first(c).alias(c) for c in ("short", "head", "tail", "until")], F.collect_list(F.struct("word", "n")).alias("words"))
         pairs = _joined(few)
