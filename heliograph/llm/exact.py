@@ -23,9 +23,11 @@ from heliograph.llm.common import cut
 
 #: Bytes of a SHA-256 that are the state's key.
 DIGEST = 32
-#: Settings of a stream's state: on disk, changes logged, memory bounded for all stores of an executor.
+#: Settings of a stream's state: on disk, changes logged, memory bounded for all stores of an executor; a store is closed when its
+#: task has committed, as an open one takes 4 MB of local disk, whatever it holds.
 STATE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "300",
