@@ -8,14 +8,14 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from heliograph import schema
 from heliograph.functions.paths import in_scope
 from heliograph.graph import components, cut
-from heliograph.operators.similarity import burst_pairs, variant_pairs
+from heliograph.operators import linkage
+from heliograph.operators.similarity import burst_pairs, class_links, class_links_brute, signature_classes, uses_bands, variant_pairs
 from heliograph.sources.catalog import Settings, detector_rows
 
 #: Fixed value: pairs that clustering takes.
@@ -46,59 +46,162 @@ def exact_members(images: DataFrame, root: str | None = None) -> DataFrame:
     return scoped.join(many, "content_hash").select(F.col("content_hash").alias("key"), F.col("id").alias("image_id"))
 
 
-def capped(pairs: DataFrame, cap: int = PAIR_CAP) -> tuple[DataFrame, bool]:
-    """The nearest `cap` pairs, and whether there were more."""
-    some = cut(pairs)
-    truncated = some.count() > cap
-    return (some.orderBy("distance", "a", "b").limit(cap) if truncated else some), truncated
+#: Pairs that are sorted to find where a cap falls.
+SORTED = 100_000
+#: Ranges that are counted at once to find it.
+RANGES = 256
+
+
+def capped(pairs: DataFrame, cap: int | None = PAIR_CAP) -> tuple[DataFrame, bool]:
+    """The nearest `cap` pairs by (distance, a, b), and whether there were more; None takes all.
+
+    Pairs are counted by distance, and all of a distance are taken as long as they are within the cap. Of the distance at
+    which it falls, counts of ranges of ids narrow down where; only the last range is sorted.
+    """
+    if cap is None:
+        return pairs, False
+    some, taken = cut(pairs), []
+    counts = sorted(some.groupBy("distance").agg(F.count("*").alias("n")).collect())  # one row for each distance
+    if sum(r["n"] for r in counts) <= cap:
+        return some, False
+    for r in counts:
+        if r["n"] > cap:
+            break
+        taken.append(r["distance"])
+        cap -= r["n"]
+    last = _first(some.where(F.col("distance") == r["distance"]), ["a", "b"], cap)
+    return some.where(F.col("distance").isin(taken)).union(last), True
+
+
+def _first(rows: DataFrame, order: list[str], n: int) -> DataFrame:
+    """The first n of rows, whose `order` is unique, without sorting all of them."""
+    low, high, size = rows.agg(F.min(order[0]), F.max(order[0]), F.count("*")).first()
+    out = rows.limit(0)
+    while n > 0 and size > SORTED:
+        if low == high:
+            return out.union(_first(rows, order[1:], n))
+        step = -(-(high - low + 1) // RANGES)
+        place = F.floor((F.col(order[0]) - low) / step) if high - low < 1 << 52 else F.shiftright(F.col(order[0]), (step - 1).bit_length())
+        found = sorted(rows.groupBy(place.cast("long").alias("p")).agg(F.count("*").alias("n"), F.min(order[0]).alias("low"), F.max(order[0]).alias("high")).collect(), key=lambda r: r["low"])
+        before = 0
+        for r in found:  # at most some 512 rows
+            if before + r["n"] > n:
+                break
+            before += r["n"]
+        else:
+            return out.union(rows)
+        n -= before
+        out = out.union(rows.where(F.col(order[0]) < r["low"]))
+        low, high, size = r["low"], r["high"], r["n"]
+        rows = rows.where(F.col(order[0]).between(low, high))
+    return out.union(rows.orderBy(*order).limit(n)) if n > 0 else out
 
 
 def greedy_cliques(pairs: list[tuple[int, int, int]], within) -> list[list[int]]:
-    """Complete-linkage groups, closest pair first; within(member, candidate) is directed.
+    """Complete-linkage groups of pairs (a, b, distance), closest pair first; within(member, candidate) is directed.
 
     Two free ends make a group; one free end joins if it is within every member; two groups merge if all
     members of the left are within all of the right. Groups come in order of creation, members by id.
     """
-    owner: dict[int, int] = {}
-    groups: list[list[int]] = []
-    for _, a, b in sorted((d, a, b) for a, b, d in pairs):
-        ga, gb = owner.get(a), owner.get(b)
-        if ga is None and gb is None:
-            owner[a] = owner[b] = len(groups)
-            groups.append([a, b])
-        elif ga is None or gb is None:
-            g, new = (ga, b) if gb is None else (gb, a)
-            if all(within(m, new) for m in groups[g]):
-                groups[g].append(new)
-                owner[new] = g
-        elif ga != gb and all(within(x, y) for x in groups[ga] for y in groups[gb]):
-            groups[ga] += groups[gb]
-            owner.update(dict.fromkeys(groups[gb], ga))
-            groups[gb] = []
-    return [sorted(g) for g in groups if len(g) > 1]
-
-
-def cliques(pairs: DataFrame, rows: DataFrame, threshold: int, words: int, rotations: bool) -> DataFrame:
+    return linkage.greedy([(a, b, (d, a, b)) for a, b, d in pairs], within)
+
+
+def cliques(pairs: DataFrame, rows: DataFrame, threshold: int, words: int, rotations: bool, small: int = linkage.SMALL, leaves: int = linkage.LEAVES) -> DataFrame:
     """(key, image_id): greedy cliques of the pair graph; key is the smallest member.
 
-    Decisions in one connected component never read another, so each component is one task's group. The
-    pair cap bounds a component; signatures travel with it, as admission tests pairs that are not edges.
+    Rows are atoms, and signatures are compared where a pair asks for it, as admission tests pairs that are not edges.
     """
-    of = components(pairs.select("a", "b"))
-    edges = pairs.join(of, F.col("a") == F.col("node")).select("root", "a", "b", "distance", F.lit(None).cast("array<bigint>").alias("phash"))
-    nodes = of.join(rows.select("id", "phash"), F.col("node") == F.col("id")).select("root", F.col("id").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("int").alias("distance"), "phash")
-    turns = 4 if rotations else 1
+    edges = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), F.col("distance").alias("d"), "a", "b")
+    nodes = pairs.select(F.explode(F.array("a", "b")).alias("atom")).distinct()
+    atoms = nodes.join(rows.select(F.col("id").alias("atom"), F.col("phash").alias("sign")), "atom").select("atom", F.lit(True).alias("lone"), "sign")
+    found = cut(linkage.linked(edges, atoms, linkage.Within(threshold, words, rotations), not rotations, small, leaves))
+    keys = found.groupBy("cluster").agg(F.min("atom").alias("key"), F.count("*").alias("n")).where("n > 1")
+    return found.join(keys, "cluster").select("key", F.col("atom").alias("image_id"))
 
-    def group(frame: pd.DataFrame) -> pd.DataFrame:
-        facts = frame[frame["b"].isna()]
-        own = {int(i): [int(x) & (1 << 64) - 1 for x in p] for i, p in zip(facts["a"], facts["phash"])}
-        rest = frame[frame["b"].notna()]
-        far = lambda x, y, t: sum((x[t * words + k] ^ y[k]).bit_count() for k in range(words))
-        within = lambda m, c: min(far(own[m], own[c], t) for t in range(turns)) <= threshold
-        found = greedy_cliques([(int(a), int(b), int(d)) for a, b, d in zip(rest["a"], rest["b"], rest["distance"])], within)
-        return pd.DataFrame([(g[0], i) for g in found for i in g], columns=["key", "image_id"]).astype("int64")
 
-    return edges.unionByName(nodes).groupBy("root").applyInPandas(group, "key long, image_id long")
+def _atoms(members: DataFrame, classes: DataFrame, near: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What is together before any pair of a distance above 0: units (c, atom, first, last, n), near with the pairs inside
+    classes that are not, and members (id, c, atom). An atom is named by its least id.
+
+    Rows of a class are. Where turns make different classes equal, those of a component are too as far as pairs at 0
+    link them, provided that all its classes are within the threshold of each other both ways; else each row is an atom.
+    """
+    zero = cut(near.where("distance = 0").select("ca", "cb"))
+    if zero.isEmpty():
+        units = classes.select("c", F.col("first").alias("atom"), "first", "last", "n")
+        return units, near, members.join(units.select("c", "atom"), "c")
+    roots = cut(components(zero, "ca", "cb"))
+    side = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias("r" + c))
+    inside = near.join(side("ca"), "ca").join(side("cb"), "cb").where("rca = rcb").groupBy(F.col("rca").alias("root")).agg(F.count("*").alias("n"))
+    full = roots.groupBy("root").agg(F.count("*").alias("k")).join(inside, "root").where("n = k * (k - 1)").select("root")
+    loose = cut(roots.join(full, "root", "left_anti").select(F.col("node").alias("c")))
+    ends = lambda c: classes.select(F.col("c").alias(c), F.col("first").alias("f" + c), F.col("last").alias("l" + c))
+    links = zero.join(loose.withColumnRenamed("c", "ca"), "ca", "left_anti").join(ends("ca"), "ca").join(ends("cb"), "cb").where("fca < lcb").select("ca", "cb")
+    of = cut(components(links, "ca", "cb"))
+    whole = classes.join(loose, "c", "left_anti").join(of, F.col("c") == F.col("node"), "left").select("c", F.coalesce("root", "c").alias("root"), "first", "last", "n")
+    named = whole.groupBy("root").agg(F.min("first").alias("atom"))
+    apart = members.join(loose, "c")
+    units = whole.join(named, "root").select("c", "atom", "first", "last", "n").union(apart.select("c", "id", "id", "id", F.lit(1).cast("long")))
+    ids = members.join(whole.join(named, "root").select("c", "atom"), "c").union(apart.select("c", "id", "id")).select("id", "c", "atom")
+    return cut(units), near.unionByName(loose.select(F.col("c").alias("ca"), F.col("c").alias("cb"), F.lit(0).alias("distance"))), ids
+
+
+def variant_groups(rows: DataFrame, threshold: int, words: int = schema.WORDS, bits: int = schema.BITS, rotations: bool = True, small: int = linkage.SMALL, leaves: int = linkage.LEAVES) -> DataFrame:
+    """(key, image_id): greedy cliques of all rows with signatures, over classes of equal ones; key is the smallest member.
+
+    The same as `cliques` of all pairs, without the pairs of copies: a class of n rows is one atom, and of the pairs of two
+    atoms only the first counts. Where being within the threshold has no direction, that is all. Turns can give it one:
+    in components with two classes of which only one is within the threshold of the other, rows without copies keep their pairs
+    with every copy.
+    """
+    members, classes = signature_classes(rows, words, rotations)
+    links = class_links(classes, threshold, words, bits, rotations) if uses_bands(threshold, bits) else class_links_brute(classes, threshold, words, rotations)
+    units, near, ids = _atoms(members, classes, cut(links))
+    units, ids = cut(units), cut(ids)
+    back = near.select(F.col("ca").alias("cb"), F.col("cb").alias("ca"), F.col("distance").alias("back"))
+    near = cut(near.join(back, ["ca", "cb"], "left"))
+    side = lambda c, a: units.select(F.col("c").alias(c), *[F.col(x).alias(a + x) for x in ("atom", "first", "last")])
+    pairs = near.join(side("ca", "x_"), "ca").join(side("cb", "y_"), "cb").where("x_atom != y_atom")
+    pairs = cut(pairs.select("ca", "cb", F.col("x_atom").alias("x"), F.col("y_atom").alias("y"), F.col("distance").alias("d"), "back", F.col("x_first").alias("a"), F.col("y_first").alias("b"), F.col("y_last").alias("last")))
+    atoms = cut(units.groupBy("atom").agg(F.count("*").alias("k"), (F.sum("n") == 1).alias("lone")))
+    sized = lambda c: atoms.select(F.col("atom").alias(c), F.col("k").alias("k" + c))
+    full = pairs.groupBy("x", "y").agg(F.count("*").alias("n")).join(sized("x"), "x").join(sized("y"), "y").where("n = kx * ky").select("x", "y")
+    odd = pairs.where("back is null").select(F.col("x").alias("node"))
+    parts = [(pairs, full, atoms, True)]
+    if not odd.isEmpty():
+        roots = cut(components(pairs.select("x", "y"), "x", "y"))
+        bad = cut(roots.join(roots.join(odd, "node", "left_semi").select("root").distinct(), "root").select(F.col("node").alias("atom")))
+        split = lambda df, c, how: df.join(bad.withColumnRenamed("atom", c), c, how)
+        parts = [tuple(split(df, c, how) for df, c in ((pairs, "x"), (full, "x"), (atoms, "atom"))) + (how == "left_anti",) for how in ("left_anti", "left_semi")]
+    found = None
+    for some, near_atoms, own, same in parts:
+        edges = _first_pairs(some, own, ids, same)
+        here = linkage.linked(edges, own.select("atom", "lone"), near_atoms, same, small, leaves)
+        found = here if found is None else found.union(here)
+    found = cut(found)
+    keys = units.join(found, "atom").groupBy("cluster").agg(F.min("first").alias("key"), F.sum("n").alias("n")).where("n > 1").select("cluster", "key")
+    return ids.join(found.join(keys, "cluster").select("atom", "key"), "atom").select("key", F.col("id").alias("image_id"))
+
+
+def _first_pairs(pairs: DataFrame, atoms: DataFrame, ids: DataFrame, same: bool) -> DataFrame:
+    """Edges (x, y, d, a, b) between atoms of pairs of their units: the first of two atoms, or what can matter beside it.
+
+    The first pair of two units is that of the least row a that has a later row b in the other one, with the least such b.
+    """
+    later = "a > b and a < last" + (" and (back is null or d < back)" if same else "")  # else the pair the other way is before it
+    plain = pairs.where("a < b").select("x", "y", "d", "a", "b")
+    after = ids.select(F.col("c").alias("cb"), F.col("atom").alias("y"), "id")
+    next_ = pairs.where(later).drop("b").join(after, ["cb", "y"]).where("id > a").groupBy("ca", "cb", "x", "y", "d", "a").agg(F.min("id").alias("b"))
+    every = plain.union(next_.select("x", "y", "d", "a", "b"))
+    least = F.min(F.struct("d", "a", "b", "x", "y")).alias("k")
+    if same:
+        return every.groupBy(F.least("x", "y").alias("p"), F.greatest("x", "y").alias("q")).agg(least).select("k.x", "k.y", "k.d", "k.a", "k.b")
+    lone = atoms.where("lone").select(F.col("atom").alias("x"))
+    mixed = pairs.join(lone, "x", "left_semi").unionByName(pairs.join(lone, "x", "left_anti").join(lone.withColumnRenamed("x", "y"), "y", "left_semi")).select("ca", "cb", "x", "y", "d")
+    rows = lambda c, a, i: ids.select(F.col("c").alias(c), F.col("atom").alias(a), F.col("id").alias(i))
+    mixed = mixed.join(rows("ca", "x", "a"), ["ca", "x"]).join(rows("cb", "y", "b"), ["cb", "y"]).where("a < b").select("x", "y", "d", "a", "b")
+    both = every.join(lone, "x", "left_anti").join(lone.withColumnRenamed("x", "y"), "y", "left_anti").groupBy("x", "y").agg(least)
+    return mixed.union(both.select("k.x", "k.y", "k.d", "k.a", "k.b"))
 
 
 def stored(kind_members: list[tuple[str, str, DataFrame]]) -> tuple[DataFrame, DataFrame]:
@@ -127,18 +230,38 @@ def numbered(rows: DataFrame, order: list[Column]) -> DataFrame:
 
 
 def reconcile(groups: DataFrame, members: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups without those that lie wholly within a stronger one (exact, burst, variant; then lower id)."""
+    """Groups without those that lie wholly within a stronger one (exact, burst, variant; then lower id).
+
+    What could hold a group holds its rarest member, so only the groups of that one are looked at, and those only that
+    are as large and reach as far. Groups of the same members are told by a sum first, so that many of them meet one.
+    """
     rank = F.create_map(*[F.lit(x) for k, r in schema.KIND_RANK.items() for x in (k, r)])
-    known = members.join(groups.select(F.col("id").alias("group_id"), "kind"), "group_id").select("group_id", "image_id", F.element_at(rank, F.col("kind")).alias("rank"))
-    size = known.groupBy("group_id").agg(F.count("*").alias("n"))
-    weak, strong = known.select(*[F.col(c).alias("w_" + c) for c in known.columns]), known.select(*[F.col(c).alias("s_" + c) for c in known.columns])
-    stronger = (F.col("s_rank") < F.col("w_rank")) | ((F.col("s_rank") == F.col("w_rank")) & (F.col("s_group_id") < F.col("w_group_id")))
-    common = weak.join(strong, (F.col("w_image_id") == F.col("s_image_id")) & stronger).groupBy("w_group_id", "s_group_id").agg(F.count("*").alias("common"))
-    covered = common.join(size, F.col("w_group_id") == F.col("group_id")).where("common = n").select(F.col("w_group_id").alias("id")).distinct()
+    known = cut(members.join(groups.select(F.col("id").alias("group_id"), "kind"), "group_id").select("group_id", "image_id", F.element_at(rank, F.col("kind")).alias("rank")).distinct())
+    often = known.groupBy("image_id").agg(F.count("*").alias("groups"))
+    sums = [F.count("*").alias("n"), F.min("image_id").alias("low"), F.max("image_id").alias("high"), F.bit_xor(F.xxhash64("image_id")).alias("mix"), F.sum(F.xxhash64("image_id") % 1_000_003).alias("sum")]
+    facts = cut(known.join(often, "image_id").groupBy("group_id", "rank").agg(*sums, F.min_by("image_id", F.struct("groups", "image_id")).alias("rarest")))
+    alike = ["n", "low", "high", "mix", "sum"]
+    strongest = F.struct("rank", "group_id")
+    heads = facts.groupBy(*alike).agg(F.min(strongest).alias("head"))
+    same = facts.join(heads, alike).where(strongest != F.col("head")).select(F.col("group_id").alias("w"), F.col("head.group_id").alias("s"), "n")
+    covered = cut(_held(same, known))
+    left = facts.join(covered.withColumnRenamed("w", "group_id"), "group_id", "left_anti")
+    weak = left.select(*[F.col(c).alias("w_" + c) for c in ("group_id", "rank", "n", "low", "high")], F.col("rarest").alias("image_id"))
+    strong = left.join(known.select("group_id", "image_id"), "group_id").select("image_id", *[F.col(c).alias("s_" + c) for c in ("group_id", "rank", "n", "low", "high")])
+    could = "s_n >= w_n and s_low <= w_low and s_high >= w_high and (s_rank < w_rank or (s_rank = w_rank and s_group_id < w_group_id))"
+    met = weak.join(strong, "image_id").where(could).select(F.col("w_group_id").alias("w"), F.col("s_group_id").alias("s"), F.col("w_n").alias("n"))
+    covered = covered.union(_held(met, known)).distinct().withColumnRenamed("w", "id")
     kept = groups.join(covered, "id", "left_anti")
     return kept, members.join(covered.withColumnRenamed("id", "group_id"), "group_id", "left_anti")
 
 
+def _held(pairs: DataFrame, known: DataFrame) -> DataFrame:
+    """The w of pairs (w, s, n) of groups of which all n members of w are in s."""
+    own = known.select(F.col("group_id").alias("w"), "image_id")
+    there = known.select(F.col("group_id").alias("s"), "image_id")
+    return pairs.join(own, "w").join(there, ["s", "image_id"]).groupBy("w", "s", "n").agg(F.count("*").alias("common")).where("common = n").select("w").distinct()
+
+
 @dataclass
 class Detection:
     groups: DataFrame
@@ -160,16 +283,22 @@ class Detection:
         return "; ".join(parts)
 
 
-def detect(images: DataFrame, settings: Settings = Settings(), root: str | None = None, rule: str = "resolution", now: int = 0, cap: int = PAIR_CAP, words: int = schema.WORDS, bits: int = schema.BITS) -> Detection:
-    """Exact, variant and burst groups of the rows under a root, reconciled; rows are stamped as checked."""
+def detect(images: DataFrame, settings: Settings = Settings(), root: str | None = None, rule: str = "resolution", now: int = 0, cap: int | None = None, words: int = schema.WORDS, bits: int = schema.BITS) -> Detection:
+    """Exact, variant and burst groups of the rows under a root, reconciled; rows are stamped as checked.
+
+    All pairs count. With a cap (`PAIR_CAP`, say) the nearest ones of either kind do, and the result says whether there were more.
+    """
     rows = cut(detector_rows(images, root))
     found = [(schema.EXACT, "identical", with_keeper(exact_members(images, root), rows, rule))]
     truncated = False
     if settings.variant_enabled:
-        pairs, more = capped(variant_pairs(rows, settings.variant_maxbits, words, bits, settings.variant_rotations), cap)
-        truncated |= more
-        members = cliques(pairs, rows, settings.variant_maxbits, words, settings.variant_rotations)
-        found.append((schema.VARIANT, f"<={settings.variant_maxbits} of {bits} bits", with_keeper(members, rows, rule)))
+        limit, turned = settings.variant_maxbits, settings.variant_rotations
+        if cap is None:
+            members = variant_groups(rows, limit, words, bits, turned)
+        else:
+            pairs, truncated = capped(variant_pairs(rows, limit, words, bits, turned), cap)
+            members = cliques(pairs, rows, limit, words, turned)
+        found.append((schema.VARIANT, f"<={limit} of {bits} bits", with_keeper(members, rows, rule)))
     pairs, more = capped(burst_pairs(rows, settings.burst_windowsec, settings.burst_maxbits, words), cap)
     members = cliques(pairs, rows, settings.burst_maxbits, words, False)
     found.append((schema.BURST, f"within {settings.burst_windowsec}s", with_keeper(members, rows, rule)))
