@@ -11,7 +11,7 @@ from heliograph.functions import labels, paths, scores
 from heliograph.functions.signals import blur_score
 from heliograph.graph import cut
 from heliograph.operators import catalog, codec, export, folders, groups, undo, view
-from heliograph.operators.similarity import burst_pairs, pairs_banded, pairs_brute
+from heliograph.operators.similarity import burst_pairs, class_links, pairs_banded, pairs_brute, signature_classes
 from heliograph.plans import sql
 from heliograph.sources import catalog as reading
 from heliograph.sources import files
@@ -304,12 +304,19 @@ def reconcile_groups(spark, sf_dir):
     return kept.select("id", "kind")
 
 
-@query()
+@query(sql.CLIQUES)
 def variant_cliques(spark, sf_dir):
-    """Complete-linkage groups of signatures; order-dependent, so tested against a plain version."""
-    rows = grids(spark, sf_dir)
-    pairs, _ = groups.capped(pairs_banded(rows, THRESHOLD, 1, 56))
-    return groups.cliques(pairs, rows, THRESHOLD, 1, True)
+    """Complete-linkage groups of signatures, over classes of equal ones."""
+    return groups.variant_groups(grids(spark, sf_dir), THRESHOLD, 1, 56)
+
+
+@query(sql.CLASSES)
+def variant_classes(spark, sf_dir):
+    """Each row's class of equal signatures, named by its least id, and the number of classes that are near it either way."""
+    members, classes = signature_classes(grids(spark, sf_dir), 1)
+    near = class_links(classes, THRESHOLD, 1, 56)
+    links = near.select("ca", "cb").union(near.select("cb", "ca")).distinct().groupBy(F.col("ca").alias("c")).agg(F.count("*").alias("links"))
+    return members.join(classes.select("c", "first"), "c").join(links, "c", "left").select("id", F.col("first").alias("class_id"), F.coalesce("links", F.lit(0)).cast("long").alias("links"))
 
 
 @query()

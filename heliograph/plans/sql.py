@@ -107,6 +107,32 @@ PAIRS = f"""
 WITH s AS (SELECT vec_id AS id, {', '.join(f'{_bits(t)} AS s{t}' for t in range(4))} FROM embeddings),
   d AS (SELECT x.id AS a, y.id AS b, CAST(least({', '.join(f'hamming(x.s{t}, y.s0)' for t in range(4))}) AS INT) AS distance FROM s x JOIN s y ON x.id < y.id)
 SELECT a, b, distance FROM d WHERE distance <= 12"""
+_NEAR = PAIRS.partition("\n  d AS")[0] + f"""
+  near AS (SELECT * FROM (SELECT x.id AS x, y.id AS y, CAST(least({', '.join(f'hamming(x.s{t}, y.s0)' for t in range(4))}) AS INT) AS d FROM s x JOIN s y ON x.id <> y.id) WHERE d <= 12),
+  p AS (SELECT x AS a, y AS b, d FROM near WHERE x < y)"""
+CLASSES = _NEAR.replace("WITH s", "WITH t0").replace("FROM embeddings)", "FROM embeddings), s AS (SELECT min(id) AS id, s0, s1, s2, s3 FROM t0 GROUP BY s0, s1, s2, s3)") + """
+SELECT t0.id, s.id AS class_id, (SELECT count(DISTINCT CASE WHEN x = s.id THEN y ELSE x END) FROM near WHERE x = s.id OR y = s.id)::BIGINT AS links FROM t0 JOIN s USING (s0, s1, s2, s3)"""
+#: The sequential procedure: one step takes the next pair of every component. st: rows and their groups so far; ws: pairs within.
+CLIQUES = _NEAR.replace("WITH s", "WITH RECURSIVE s") + """,
+  e AS (SELECT a AS x, b AS y FROM p UNION SELECT b, a FROM p),
+  reach AS (SELECT x AS node, x AS root FROM e UNION SELECT e.y, reach.root FROM reach JOIN e ON e.x = reach.node),
+  comp AS (SELECT node, min(root) AS root FROM reach GROUP BY node),
+  q AS (SELECT root, list({'a': a, 'b': b} ORDER BY d, a, b) AS ps FROM p JOIN comp ON a = node GROUP BY root),
+  w AS (SELECT root, list(x * 1000000000 + y) AS ws FROM near JOIN comp ON x = node GROUP BY root),
+  run AS (
+    SELECT root, ps, ws, 1 AS k, []::STRUCT(g BIGINT, i BIGINT)[] AS st FROM q JOIN w USING (root)
+    UNION ALL
+    SELECT root, ps, ws, k + 1, CASE
+      WHEN ga IS NULL AND gb IS NULL THEN list_concat(st, [{'g': k::BIGINT, 'i': a}, {'g': k::BIGINT, 'i': b}])
+      WHEN ga IS NULL THEN CASE WHEN list_has_all(ws, list_transform(mb, lambda m: m * 1000000000 + a)) THEN list_append(st, {'g': gb, 'i': a}) ELSE st END
+      WHEN gb IS NULL THEN CASE WHEN list_has_all(ws, list_transform(ma, lambda m: m * 1000000000 + b)) THEN list_append(st, {'g': ga, 'i': b}) ELSE st END
+      WHEN ga <> gb AND list_has_all(ws, flatten(list_transform(ma, lambda m: list_transform(mb, lambda n: m * 1000000000 + n)))) THEN list_transform(st, lambda t: {'g': CASE WHEN t.g = gb THEN ga ELSE t.g END, 'i': t.i})
+      ELSE st END
+    FROM (SELECT *, list_transform(list_filter(st, lambda t: t.g = ga), lambda t: t.i) AS ma, list_transform(list_filter(st, lambda t: t.g = gb), lambda t: t.i) AS mb
+      FROM (SELECT *, list_filter(st, lambda t: t.i = a)[1].g AS ga, list_filter(st, lambda t: t.i = b)[1].g AS gb
+        FROM (SELECT *, ps[k].a AS a, ps[k].b AS b FROM run WHERE k <= len(ps))))),
+  last AS (SELECT root, unnest(st, max_depth := 2) FROM run WHERE k = len(ps) + 1)
+SELECT min(i) OVER (PARTITION BY root, g) AS key, i AS image_id FROM last"""
 ORDER_PAIRS = """
 SELECT x.o_orderkey AS a, y.o_orderkey AS b, (CASE WHEN x.o_orderkey % 64 <> y.o_orderkey % 64 THEN 2 ELSE 0 END + CASE WHEN x.o_orderkey % 61 <> y.o_orderkey % 61 THEN 2 ELSE 0 END)::INT AS distance
 FROM orders x JOIN orders y ON x.o_custkey = y.o_custkey AND x.o_orderkey < y.o_orderkey"""
