@@ -31,10 +31,22 @@ def test_scope_is_pushed_down(spark, tmp_path):
     assert "GreaterThanOrEqual(path" in df._jdf.queryExecution().toString()
 
 
-@pytest.mark.parametrize("whole, tile, band", [(None, None, "unchecked"), (0.0, None, "clean"), (0.44, None, "clean"), (0.45, None, "unsure"), (0.84, None, "unsure"), (0.85, None, "likely"), (1.0, None, "likely"), (0.0014, 0.62, "likely"), (0.10, 0.50, "likely"), (0.99, 0.05, "likely"), (0.3965, 0.21, "clean")])
-def test_bands(spark, whole, tile, band):
-    row = spark.createDataFrame([(whole, tile)], "w double, t double")
-    assert row.select(scores.PRESETS["balanced"].band(F.col("w"), F.col("t"))).first()[0] == band
+def test_bands(spark):
+    """Scores on either side of each threshold of each preset, for the frame, the tiles, both and neither."""
+
+    def plain(rule, whole, tile):
+        if whole is None:
+            return "unchecked"
+        if whole >= rule.whole_flag or (tile is not None and tile >= rule.tile_mean_flag):
+            return "likely"
+        return "unsure" if whole >= rule.unsure else "clean"
+
+    for rule in scores.PRESETS.values():
+        near = lambda *limits: [x + e for x in limits for e in (-1e-9, 0.0, 1e-9)]
+        cases = [(w, t) for w in (None, 0.0, 1.0, *near(rule.whole_flag, rule.unsure)) for t in (None, 0.0, 1.0, *near(rule.tile_mean_flag))]
+        df = spark.createDataFrame(cases, "w double, t double")
+        got = df.select("w", "t", rule.band(F.col("w"), F.col("t")).alias("band")).collect()
+        assert len(got) == len(cases) and all(r.band == plain(rule, r.w, r.t) for r in got)
 
 
 def test_rule():
@@ -56,27 +68,19 @@ def group_tables(spark, spec):
     return g, m
 
 
-@pytest.mark.parametrize(
-    "spec, kept",
-    [
-        ([(1, "exact", [1, 2]), (2, "variant", [1, 2])], [1]),
-        ([(1, "variant", [1, 2]), (2, "burst", [1, 2])], [2]),
-        ([(1, "exact", [1, 2]), (2, "burst", [1, 2])], [1]),
-        ([(1, "exact", [1, 2]), (2, "variant", [2, 3])], [1, 2]),
-        ([(1, "exact", [1, 2]), (2, "variant", [1, 2, 3])], [1, 2]),
-        ([(1, "variant", [1, 2]), (2, "variant", [1, 2])], [1]),
-    ],
-)
-def test_reconcile(spark, spec, kept):
-    g, m = groups.reconcile(*group_tables(spark, spec))
-    assert sorted(r.id for r in g.collect()) == kept and {r.group_id for r in m.collect()} == set(kept)
-
-
-@pytest.mark.parametrize("flags, hit, want", [([1, 0, 0], 2, [1, 1, 0]), ([1, 1, 0], 1, [0, 1, 0]), ([1, 0, 0], 1, [1, 0, 0]), ([1, 0, 0], 9, [1, 0, 0])])
-def test_toggle_keeper(spark, flags, hit, want):
-    m = spark.createDataFrame([(1, k + 1, bool(f)) for k, f in enumerate(flags)], schema.DUPE_MEMBERS)
-    out = catalog.toggle_keepers(m, spark.createDataFrame([(1, hit)], "group_id long, image_id long"))
-    assert [int(r.is_keeper) for r in out.orderBy("image_id").collect()] == want
+def test_toggle_keeper(spark):
+    """Random groups, one toggle each, also of rows that are no members."""
+    rng = random.Random(830)
+    flags = {g: [rng.random() < 0.4 for _ in range(rng.randint(2, 5))] for g in range(60)}
+    hits = {g: rng.randint(0, 6) for g in flags}
+    m = spark.createDataFrame([(g, k, f) for g, own in flags.items() for k, f in enumerate(own)], schema.DUPE_MEMBERS)
+    got = {(r.group_id, r.image_id): r.is_keeper for r in catalog.toggle_keepers(m, spark.createDataFrame(list(hits.items()), "group_id long, image_id long")).collect()}
+    for g, own in flags.items():
+        want = list(own)
+        if hits[g] < len(own) and not (own[hits[g]] and sum(own) == 1):
+            want[hits[g]] = not want[hits[g]]
+        assert [got[g, k] for k in range(len(own))] == want
+    assert len(got) == sum(map(len, flags.values()))
 
 
 def test_detection(spark):
