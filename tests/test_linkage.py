@@ -4,7 +4,7 @@ import random
 
 import pytest
 
-from heliograph.operators import groups, linkage
+from heliograph.operators import groups, linkage, similarity
 from heliograph.operators.similarity import class_links, class_links_brute, pairs_brute, signature_classes
 
 SIGNED = "id long, phash array<long>"
@@ -112,6 +112,42 @@ def test_classes_of_any_threshold(spark):
     assert {tuple(r) for r in class_links_brute(classes, 3, 1).collect()} == want
 
 
+def far_apart(rng, threshold):
+    """Signatures of 272 bits in four turns at random, and for each one that differs from a turn of it by some bits."""
+    mask = (1 << 64) - 1
+    signed = lambda x: [w - (1 << 64) if w >> 63 else w for w in (x >> 64 * k & mask for k in range(5))]
+    base = [[rng.getrandbits(272) for _ in range(4)] for _ in range(12)]
+    near = []
+    for k, turns in enumerate(base):
+        x = turns[k % 4]
+        for bit in rng.sample(range(272), threshold - 2 + k % 5):
+            x ^= 1 << bit
+        near.append([x, *[rng.getrandbits(272) for _ in range(3)]])
+    return [[w for turn in turns for w in signed(turn)] for turns in base + near]
+
+
+@pytest.mark.parametrize("threshold, rows, flips", [(16, 10, 0), (20, 10**5, 1), (44, 10**5, 2), (44, 10, 0), (30, 10**7, 2)])
+def test_wide_bands_find_what_brute_force_finds(spark, monkeypatch, threshold, rows, flips):
+    real = similarity.band_plan
+    assert real(threshold, 272, rows)[0] == flips
+    monkeypatch.setattr(similarity, "band_plan", lambda t, bits, _: real(t, bits, rows))
+    signs = far_apart(random.Random(600 + threshold), threshold)
+    _, classes = signature_classes(spark.createDataFrame(list(enumerate(signs)), SIGNED))
+    want = {tuple(r) for r in class_links_brute(classes, threshold).collect()}
+    assert want and {tuple(r) for r in class_links(classes, threshold).collect()} == want
+
+
+@pytest.mark.parametrize("threshold", range(0, 60, 3))
+@pytest.mark.parametrize("bits", [24, 56, 64, 272])
+def test_radii_cover_the_threshold(threshold, bits):
+    if threshold >= bits:
+        return
+    for rows in (1, 10**4, 10**8):
+        flips, layout = similarity.band_plan(threshold, bits, rows)
+        assert sum(radius + 1 for *_, radius in layout) == threshold + 1 and all(0 <= radius <= flips and 0 < width <= similarity.BAND_BITS for _, width, radius in layout)
+        assert all(a + w <= b for (a, w, _), (b, _, _) in zip(layout, layout[1:])) and layout[-1][0] + layout[-1][1] <= bits
+
+
 @pytest.mark.parametrize("cap", [0, 7, 120, 500, None])
 def test_cap_takes_the_nearest(spark, monkeypatch, cap):
     monkeypatch.setattr(groups, "SORTED", 3)
