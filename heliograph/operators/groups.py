@@ -155,6 +155,7 @@ def variant_groups(rows: DataFrame, threshold: int, words: int = schema.WORDS, b
     with every copy.
     """
     members, classes = signature_classes(rows, words, rotations)
+    members = cut(members)
     links = class_links(classes, threshold, words, bits, rotations) if uses_bands(threshold, bits) else class_links_brute(classes, threshold, words, rotations)
     units, near, ids = _atoms(members, classes, cut(links))
     units, ids = cut(units), cut(ids)
