@@ -67,7 +67,14 @@ def camera(make: Column, model: Column) -> Column:
     return F.when((a == "") & (b == ""), F.lit(None).cast("string")).otherwise(joined)
 
 
+#: The forms in which a capture time is read.
+TIME_FORMS = (
+    "yyyy:MM:dd HH:mm:ss.SSS", "yyyy:MM:dd HH:mm:ss", "yyyy:MM:dd HH:mm", "yyyy-MM-dd HH:mm:ss.SSS", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd HH:mm", "yyyy.MM.dd HH:mm:ss", "yyyy.MM.dd HH:mm",
+    "yyyy-MM-dd'T'HH:mm:ss.SSS", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd'T'HH:mm", "yyyy-MM", "yyyyMMdd", "yyyy",
+)
+
+
 def taken(original: Column, digitized: Column, modified: Column) -> Column:
-    """The capture time of the first EXIF text (yyyy:MM:dd HH:mm:ss) that can be read, in seconds UTC."""
-    parse = lambda c: F.unix_seconds(F.try_to_timestamp(c, F.lit("yyyy:MM:dd HH:mm:ss")))
+    """The capture time of the first EXIF text that can be read (mostly yyyy:MM:dd HH:mm:ss), in seconds UTC."""
+    parse = lambda c: F.unix_seconds(F.coalesce(*[F.try_to_timestamp(F.trim(c), F.lit(form)) for form in TIME_FORMS]))
     return F.coalesce(parse(original), parse(digitized), parse(modified))
