@@ -16,6 +16,7 @@ from heliograph.plans import sql
 from heliograph.sources import catalog as reading
 from heliograph.sources import files
 from heliograph.sources.adapters import catalogue, grids, order_shots, shots
+from heliograph.sources.pictures import metadata
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -476,6 +477,40 @@ def codec_round_trip(spark, sf_dir):
     return opened.select("batch", "name", F.sha2("content", 256).alias("sha256"), "error")
 
 
+def _picture_files(images: DataFrame) -> DataFrame:
+    """(path, content): for each row a JPEG, PNG or WebP file with the row's dimensions, camera and capture time in EXIF."""
+    hexed = lambda c, digits: F.lpad(F.hex(c.cast("long")), digits, "0")
+    least_first = lambda c, digits: F.concat(*[F.substring(hexed(c, digits), digits - 1 - k, 2) for k in range(0, digits, 2)])
+    text = lambda c, size: F.rpad(F.hex(F.encode(F.coalesce(c, F.lit("")), "utf-8")), 2 * size, "0")
+    entry = lambda tag, size, at: f"{tag:04x}0002{size:08x}{at:08x}"
+
+    when = F.date_format(F.timestamp_seconds("exif_taken"), "yyyy:MM:dd HH:mm:ss")
+    late = F.date_format(F.timestamp_seconds(F.col("exif_taken") + 86400), "yyyy:MM:dd HH:mm:ss")
+    has = lambda *kinds: (F.col("file_size") % 3).isin(*kinds)
+    original, digitized, modified = F.when(has(0), when), F.when(has(0), late).when(has(1), when), F.when(has(0, 1), late).when(has(2), when)
+    model = F.when(F.col("file_size") % 2 == 0, F.concat_ws(" ", "exif_camera", F.lit("Z1"))).otherwise(F.lit("Z1"))
+    turn = F.col("file_size") % 8 + 1
+    # The main directory is at 8 with five entries, its texts at 74, the EXIF directory at 222 with two, its texts from 252.
+    block = F.concat(
+        F.lit(f"4d4d002a000000080005{entry(0x10F, 64, 74)}{entry(0x110, 64, 138)}0112000300000001"), hexed(turn, 4), F.lit(f"0000{entry(0x132, 20, 202)}8769000400000001000000de00000000"),
+        text(F.upper("exif_camera"), 64), text(F.when(F.col("exif_camera").isNotNull(), model), 64), text(modified, 20),
+        F.lit(f"0002{entry(0x9003, 20, 252)}{entry(0x9004, 20, 272)}00000000"), text(original, 20), text(digitized, 20),
+    )
+    bytes_of = 292
+    w, h = F.col("width"), F.col("height")
+    jpeg = F.concat(F.lit(f"ffd8ffe1{bytes_of + 8:04x}457869660000"), block, F.lit("ffc0000808"), hexed(h, 4), hexed(w, 4), F.lit("00ffda0002ffd9"))
+    png = F.concat(F.lit("89504e470d0a1a0a0000000d49484452"), hexed(w, 8), hexed(h, 8), F.lit(f"080000000000000000{bytes_of:08x}65584966"), block, F.lit("000000000000000049454e44ae426082"))
+    webp = F.concat(F.lit("52494646"), least_first(F.lit(bytes_of + 30), 8), F.lit("57454250565038580a00000008000000"), least_first(w - 1, 6), least_first(h - 1, 6), F.lit("45584946"), least_first(F.lit(bytes_of), 8), block)
+    kind = F.length("path") % 3
+    return images.select("path", F.unhex(F.when(kind == 0, jpeg).when(kind == 1, png).otherwise(webp)).alias("content"))
+
+
+@query(sql.PICTURES)
+def picture_metadata(spark, sf_dir):
+    """Files that Spark makes of the catalogue's rows, and what is read from their bytes."""
+    return metadata(_picture_files(catalogue(spark, sf_dir)))
+
+
 def _log(spark, sf_dir) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return rows.select(

@@ -192,3 +192,7 @@ WITH r AS (SELECT user_id AS job, event_id, floor(epoch(ts) * 1000)::BIGINT AS m
 SELECT event_id, CASE WHEN ms > m0 AND done > d0 AND done < 10000 THEN round((10000 - done) / ((done - d0) / ((ms - m0) / 1000)), 0) END AS eta FROM w"""
 PRICING = "SELECT l_returnflag, l_linestatus, round(sum(l_quantity), 2) AS sum_qty, round(sum(l_extendedprice * (1 - l_discount)), 0) AS revenue, count(*) AS n_lines FROM lineitem WHERE l_shipdate <= TIMESTAMP '1998-09-02' GROUP BY 1, 2"
 ORDER_YEARS = "SELECT c_mktsegment, CAST(year(o_orderdate) AS INT) AS year, count(*) AS orders, round(sum(o_totalprice), 0) AS total FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY 1, 2"
+PICTURES = f"""
+WITH {_CAT}, f AS (SELECT *, CAST(file_size % 8 + 1 AS INT) AS orientation FROM cat)
+SELECT path, ['JPEG', 'PNG', 'WEBP'][length(path) % 3 + 1] AS format, CASE WHEN orientation > 4 THEN height ELSE width END AS width, CASE WHEN orientation > 4 THEN width ELSE height END AS height,
+  orientation, exif_taken, CASE WHEN exif_camera IS NULL THEN NULL WHEN file_size % 2 = 0 THEN exif_camera || ' Z1' ELSE upper(exif_camera) || ' Z1' END AS exif_camera FROM f"""
