@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 
 from heliograph.functions import labels, paths, scores
 from heliograph.functions.signals import blur_score
-from heliograph.graph import cut
-from heliograph.operators import catalog, codec, export, folders, groups, undo, view
+from heliograph.graph import cut, remove, shared_folder
+from heliograph.operators import catalog, codec, export, folders, groups, recycling, undo, view
 from heliograph.operators.similarity import burst_pairs, class_links, pairs_banded, pairs_brute, signature_classes
 from heliograph.plans import sql
+from heliograph.schema import UNDO_LOG
 from heliograph.sources import catalog as reading
 from heliograph.sources import files
 from heliograph.sources.adapters import catalogue, grids, order_shots, shots
@@ -511,6 +513,51 @@ def picture_metadata(spark, sf_dir):
     return metadata(_picture_files(catalogue(spark, sf_dir)))
 
 
+def _write_files(rows: DataFrame, root: str) -> DataFrame:
+    """Files of (path, text) under a folder that all executors mount."""
+
+    def run(batches):
+        import os
+
+        for batch in batches:
+            for path, text in zip(batch["path"], batch["text"]):
+                target = root + path.as_py()
+                os.makedirs(os.path.dirname(target), exist_ok=True)
+                with open(target, "wb") as f:
+                    f.write(text.as_py().encode("utf-8"))
+            yield batch.select(["path"])
+
+    return rows.mapInArrow(run, "path string")
+
+
+@query(sql.RECYCLED)
+def recycle_and_restore(spark, sf_dir):
+    """Every text a file; the extras of exact groups recycled in two batches, by even and odd sizes, and the even one put
+    back. path, status (the last of either journal), listed (in the catalogue) and sha256 of the file, null if it is gone."""
+    folder = f"{shared_folder(spark)}/recycled-{uuid.uuid4().hex}"
+    if not folder.startswith(("/", "file:")):
+        raise RuntimeError("files are recycled on a file system that the executors mount")
+    root = f"/{folder.removeprefix('file:').lstrip('/')}"
+    texts = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").alias("id"), F.coalesce("text", F.lit("")).alias("text"))
+    images = library(spark, sf_dir)
+    cut(_write_files(images.select("id", "path").join(texts, "id"), f"{root}/in"))
+    here = images.withColumns({"path": F.concat(F.lit(f"{root}/in"), "path"), "phash": F.lit(None).cast("array<long>")})
+    extras = groups.with_keeper(groups.exact_members(here), facts(here)).where("NOT is_keeper").select(F.col("image_id").alias("id"))
+    sizes = cut(extras.join(here.select("id", "file_size"), "id"))
+    log, left, journals = spark.createDataFrame([], UNDO_LOG), here, []
+    for k, batch in enumerate(("even", "odd")):
+        journal, log, left = recycling.recycle_run(left, sizes.where(F.col("file_size") % 2 == k), log, batch, f"{root}/bin", folder)
+        journals.append(journal.select("image_id", "status"))
+    back, log, left = recycling.restore_run(log, left, folder, batch="even")
+    put_back = log.join(back, "id").select(F.col("original_path").alias("path"), F.col("status").alias("back"))
+    status = journals[0].union(journals[1]).withColumnRenamed("image_id", "id")
+    found = files.listing(spark, f"{root}/in").select("path", F.sha2("content", 256).alias("sha256"))
+    every = here.select("id", "path").join(status, "id", "left").join(put_back, "path", "left").join(left.select("id", F.lit(True).alias("listed")), "id", "left").join(found, "path", "left")
+    out = cut(every.select(F.substring("path", len(root) + 4, 1 << 20).alias("path"), F.coalesce("back", "status").alias("status"), F.coalesce("listed", F.lit(False)).alias("listed"), "sha256"))
+    remove(spark, folder)
+    return out
+
+
 def _log(spark, sf_dir) -> DataFrame:
     rows = spark.read.parquet(f"{sf_dir}/events.parquet")
     return rows.select(

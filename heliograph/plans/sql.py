@@ -196,3 +196,7 @@ PICTURES = f"""
 WITH {_CAT}, f AS (SELECT *, CAST(file_size % 8 + 1 AS INT) AS orientation FROM cat)
 SELECT path, ['JPEG', 'PNG', 'WEBP'][length(path) % 3 + 1] AS format, CASE WHEN orientation > 4 THEN height ELSE width END AS width, CASE WHEN orientation > 4 THEN width ELSE height END AS height,
   orientation, exif_taken, CASE WHEN exif_camera IS NULL THEN NULL WHEN file_size % 2 = 0 THEN exif_camera || ' Z1' ELSE upper(exif_camera) || ' Z1' END AS exif_camera FROM f"""
+RECYCLED = f"""
+WITH {_MEMBERS}, gone AS (SELECT id FROM ex WHERE n > 1 AND rn > 1 AND content_hash IS NOT NULL)
+SELECT path, CASE WHEN g.id IS NULL THEN NULL WHEN file_size % 2 = 0 THEN 'restored' ELSE 'recycled' END AS status, g.id IS NULL AS listed,
+  CASE WHEN g.id IS NULL OR file_size % 2 = 0 THEN sha256(coalesce(text, '')) END AS sha256 FROM cat JOIN documents ON id = doc_id LEFT JOIN gone g ON cat.id = g.id"""
