@@ -13,7 +13,7 @@ checkpoints say where it begins and in which states, and its crc32 is checked wh
 codes all lanes of a group of blocks at once. Segments are cells of a Parquet table with columns
 (part, segment, before, n_tokens, payload), before the ids of the part's earlier segments, in ascending order of document ids by (part, segment), so any store
 that Spark can write to will do, a lost task is run again under Spark's commit protocol, and readers
-split the work by segment and block.
+split the work by segment.
 """
 
 from __future__ import annotations
@@ -22,6 +22,7 @@ import json
 import struct
 import uuid
 import zlib
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +40,8 @@ SCALE = 18  # bits of the frequency table's total
 LANES, STEPS = 512, 512  # a block is LANES * STEPS ids
 SEGMENT = 1 << 21  # ids after which a segment is closed
 END = 0
+SAMPLED = 200  # ids of a range that its bounds are taken from
+BEFORE_ALL = -(1 << 63) - 1  # where nulls are among the ids
 _LOW = np.uint64(1 << 31)
 _SEGMENTS = "part int, segment int, before long, n_tokens long, payload binary"
 
@@ -172,34 +175,54 @@ def read_segment(payload: bytes) -> tuple[list[int | None], np.ndarray, np.ndarr
     return [None if z else k for k, z in zip(keys, nulls)], np.frombuffer(raw[9 * m :], "<u4"), ids
 
 
+def bounds_of(docs: DataFrame, parts: int) -> list[int]:
+    """parts - 1 ascending bounds that deal ids to ranges of like size, as whole numbers, nulls as BEFORE_ALL.
+
+    They are quantiles of a sample of some SAMPLED ids a range, which only balances the ranges: any bounds give the same
+    result. An id that many rows have comes as many times as it should have ranges.
+    """
+    ids = docs.select("doc_id")
+    n = ids.count() if parts > 1 else 0
+    if not n:
+        return []
+    share = SAMPLED * parts / n
+    taken = (ids.sample(share, seed=17) if share < 1 else ids).collect()
+    found = sorted(BEFORE_ALL if r.doc_id is None else r.doc_id for r in taken)
+    return [found[k * len(found) // parts] for k in range(1, parts)] if found else []
+
+
 def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
     """Encode the texts of `docs` and write their ids, each document ended by END, into `folder`.
 
     Documents are ordered by ascending doc_id, nulls first; rows that repeat a doc_id are documents of
     their own. Null and empty texts have the end id alone; a text of any length is one document; an empty table gives
-    no segments; other columns are not looked at. There are as many ranges of doc_id as shuffle partitions, cut by
-    quantiles of the column alone, so texts are read and encoded once, and only compressed ids are shuffled. A doc_id
-    that several quantiles fall on is spread over their ranges by a hash of the text; inside a range its rows are in order
-    of their ids.
+    no segments; other columns are not looked at. There are as many ranges of doc_id as shuffle partitions; `bounds_of` cuts
+    them. Texts are read and encoded once, and only compressed ids are shuffled. A doc_id (or null) that bounds fall on is
+    spread over the ranges on either side of them by a hash of the text and, for rows equal in both, by how often the task has met them, so
+    that any order of a task's rows deals the same rows to the same ranges; inside a range its rows are in order of their ids.
     """
     path = path or default_path()
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     parts = tasks(docs.sparkSession)
-    bounds = docs.approxQuantile("doc_id", [k / parts for k in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    bounds = bounds_of(docs, parts)
 
-    def place(doc_id: int | None, text: str | None) -> int:
-        if doc_id is None:
-            return 0
-        low, high = (int(np.searchsorted(bounds, doc_id, side=side)) for side in ("left", "right"))
-        return high if high - low < 2 else low + 1 + xxhash.xxh64_intdigest((text or "").encode("utf-8")) % (high - low)
+    def place(doc_id: int | None, text: str | None, met: dict[tuple, int]) -> int:
+        key = BEFORE_ALL if doc_id is None else doc_id
+        low, high = bisect_left(bounds, key), bisect_right(bounds, key)
+        if low == high:
+            return high
+        digest = xxhash.xxh64_intdigest((text or "").encode("utf-8"))
+        met[key, digest] = met.get((key, digest), -1) + 1
+        return low + (digest + met[key, digest]) % (high - low + 1)
 
     def encode_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         end = np.array([END], dtype=encode.dtype).tobytes()
+        met: dict[tuple, int] = {}
         for batch in pieces(batches):
             texts = batch["text"].to_pylist()
             ids = [press(x + end, encode.dtype) for x in encode.batch(texts)]
-            part = [place(i, x) for i, x in zip(batch["doc_id"].to_pylist(), texts)]
+            part = [place(i, x, met) for i, x in zip(batch["doc_id"].to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch["doc_id"], pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
         encode.forget()
 

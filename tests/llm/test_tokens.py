@@ -100,6 +100,37 @@ def test_files_of_hostile_rows(spark, hostile, none, library, tmp_path, monkeypa
     assert ans.token_digests(spark, str(tmp_path / "b")).count() == 0
 
 
+@pytest.mark.parametrize("first", [0, 2**53 - 300, 2**62, -(2**63), 2**63 - 600])
+def test_files_are_in_order_of_any_ids(spark, library, tmp_path, monkeypatch, first):
+    """Ids that are one number as doubles keep their order, whatever rows come first."""
+    monkeypatch.setattr(ans, "SAMPLED", 5)
+    ids = list(range(first, first + 600))
+    random.Random(4).shuffle(ids)
+    rows = [(i, f"text {i % 7}" * (i % 5)) for i in ids]
+    ans.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "f"))
+    got = sorted(ans.token_digests(spark, str(tmp_path / "f")).collect(), key=lambda r: r.start)
+    want = {i: [*library(t), 0] for i, t in rows}
+    assert [r.doc_id for r in got] == sorted(want)
+    assert [r.start for r in got] == (np.cumsum([r.n_tokens for r in got]) - [r.n_tokens for r in got]).tolist()
+    assert all((r.n_tokens, r.ids_crc32) == (len(want[r.doc_id]), crc(want[r.doc_id])) for r in got)
+    parts = spark.read.parquet(str(tmp_path / "f")).groupBy("part").count().count()
+    assert parts > 1
+
+
+@pytest.mark.parametrize("hot, text", [(None, "a hot text {}"), (None, "one text"), (500, "one text"), (2**62, "a hot text {}")])
+def test_hot_ids_are_spread_in_order(spark, library, tmp_path, hot, text):
+    """A third of the rows have no id or one: no range holds them all, and all ids stay in order."""
+    rows = [(i, f"own {i}") for i in range(800)] + [(hot, text.format(k)) for k in range(400)]
+    random.Random(5).shuffle(rows)
+    ans.write_tokens(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), str(tmp_path / "f"))
+    got = sorted(ans.read_tokens(spark, str(tmp_path / "f")).collect(), key=lambda r: r.start)
+    names = [r.doc_id for r in got]
+    assert names == sorted((i for i, _ in rows), key=lambda i: ans.BEFORE_ALL if i is None else i)
+    assert sorted(map(tuple, (r.ids for r in got if r.doc_id == hot))) == sorted((*library(t), 0) for i, t in rows if i == hot)
+    sizes = [r.n for r in spark.read.parquet(str(tmp_path / "f")).groupBy("part").agg({"n_tokens": "sum"}).toDF("part", "n").collect()]
+    assert len(sizes) >= 3 and max(sizes) < 0.5 * sum(sizes)
+
+
 def check_pack(rows, want, length=2048):
     by_doc, by_sequence = {}, {}
     for r in rows:
