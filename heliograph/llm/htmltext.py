@@ -46,6 +46,10 @@ MARKS = frozenset(
     "footer masthead cookie cookies consent gdpr notice popup modal overlay newsletter subscribe subscription signup share sharing social "
     "comment comments disqus respond replies reply related recommended widget toolbar login search pagination pager complementary contentinfo alert".split()
 )
+#: Those of them that say it of a paragraph, a heading, an item or a cell inside a text too; the others are words that prose
+#: is marked up with, as in class="alert". Elements within a line are never dropped inside a text.
+ADVERTS = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promoted cookie cookies consent gdpr notice newsletter subscribe subscription signup disqus".split())
+BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li dt dd td th pre blockquote figcaption caption".split())
 #: A paragraph ends where one of these begins.
 _ENDS_P = frozenset("p div ul ol table section article main h1 h2 h3 h4 h5 h6 blockquote pre header footer nav aside form hr dl".split())
 
@@ -55,9 +59,12 @@ def _dropped(tag: str, attrs: str, inside: bool) -> bool:
         return True
     if tag in TEXT or tag in ("body", "html") or not attrs:
         return False
+    if inside and tag in INLINE:
+        return False
+    marks = ADVERTS if inside and tag in BLOCKS else MARKS
     for m in _ATTR.finditer(attrs):
         words = re.split(r"[^a-z0-9]+", (m[1] or m[2] or m[3] or "").lower())
-        if not MARKS.isdisjoint(words) or (not inside and "header" in words):
+        if not marks.isdisjoint(words) or (not inside and "header" in words):
             return True
     return False
 

@@ -153,6 +153,20 @@ def test_unclosed_menu_ends_where_the_article_begins():
     assert [t for t, text, d in htmltext.lines("<nav>open menu<article><p>text</article>") if text and not d] == ["text"]
 
 
+@pytest.mark.parametrize("word", sorted(htmltext.MARKS))
+def test_words_of_articles_stay(word):
+    """No mark on an element within a line takes words out of an article; containers so marked go, inside and outside."""
+    kept = lambda html: [t for t, _, d in htmltext.lines(html) if not d]
+    for tag in ("span", "em", "a", "code", "b"):
+        assert kept(f'<article><p>One <{tag} class="{word}">two</{tag}> three.</p></article>') == ["One two three."]
+    for tag in ("div", "section", "ul", "table"):
+        assert kept(f'<article><p>One.</p><{tag} class="x {word}"><p>Two</p></{tag}><p>Three.</p></article>') == ["One.", "Three."]
+        assert kept(f'<{tag} id="{word}">Two</{tag}><article>One.</article>') == ["One."]
+    stays = word not in htmltext.ADVERTS
+    for tag in ("p", "h2", "blockquote"):
+        assert kept(f'<article><p>One.</p><{tag} class="{word}">Two.</{tag}></article>') == ["One."] + ["Two."] * stays
+
+
 def test_longest_common_subsequence():
     rng = random.Random(4)
     for _ in range(400):
