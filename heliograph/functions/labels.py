@@ -26,11 +26,12 @@ def dimensions(width: Column, height: Column) -> Column:
 
 
 def format_bytes(size: Column) -> Column:
-    """Decimal units: GB with one digit, MB and KB with none."""
+    """Decimal units: GB with one digit, MB and KB with none. Halves go to the even neighbour, as in C's printf; Java's rounds them up."""
+    even = lambda unit: F.bround(size / unit, 0)
     return (
         F.when(size >= 1_000_000_000, F.format_string("%.1f GB", size / 1e9))
-        .when(size >= 1_000_000, F.format_string("%.0f MB", size / 1e6))
-        .when(size >= 1_000, F.format_string("%.0f KB", size / 1e3))
+        .when(size >= 1_000_000, F.format_string("%.0f MB", even(1e6)))
+        .when(size >= 1_000, F.format_string("%.0f KB", even(1e3)))
         .otherwise(F.format_string("%d bytes", size))
     )
 

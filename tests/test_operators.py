@@ -427,3 +427,12 @@ def test_score_settings_are_stored():
     rule = scores.Rule(0.7, 0.4, 0.2)
     assert reading.load_rule(reading.save_rule(rule, False)) == (rule, False)
     assert reading.load_rule({"score.whole.flag": "1.5", "score.unsure": "nan", "score.tile.mean.flag": "x"}) == (scores.Rule(1.0).sanitised(), True)
+
+
+def test_sizes_round_halves_to_even(spark, duck):
+    from heliograph.functions.labels import format_bytes
+
+    sizes = [999, 1000, 1499, 1500, 1501, 2500, 2501, 3500, 999_500, 1_500_000, 2_500_000, 2_500_001, 7_500_000]
+    rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", format_bytes(F.col("n")).alias("s"))
+    asked = "SELECT CASE WHEN n >= 1000000 THEN printf('%.0f MB', n / 1e6) WHEN n >= 1000 THEN printf('%.0f KB', n / 1e3) ELSE printf('%d bytes', n) END"
+    assert {r.n: r.s for r in rows.collect()} == {n: duck.sql(asked.replace("n ", f"{n} ").replace(", n)", f", {n})")).fetchall()[0][0] for n in sizes}
