@@ -197,3 +197,13 @@ def test_reconcile_probes_the_rarest_member(spark, monkeypatch):
 def test_groups_started_before_edges():
     found = linkage.greedy([(4, 9, (0, 4, 9)), (9, 11, (2, 9, 11))], lambda m, c: (m, c) != (4, 11), started=(9,))
     assert found == [[4, 9]]
+
+
+def test_size_estimates_do_not_grow_from_round_to_round(spark):
+    """The driver's memory went into their digits."""
+    from heliograph.operators.groups import cliques
+
+    rows = spark.createDataFrame([(k, [k // 3]) for k in range(24)], "id long, phash array<long>")
+    pairs = spark.createDataFrame([(a, b, 0 if a // 3 == b // 3 else 1) for a in range(24) for b in range(a + 1, min(a + 4, 24))], "a long, b long, distance int")
+    out = cliques(pairs, rows, 1, 1, False, small=0, leaves=2)
+    assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
