@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from heliograph.graph import cut, remove, shared_folder
 from heliograph.llm.common import pieces, table, tasks
-from heliograph.llm.tokens import default_path, encoder, press, unpress
+from heliograph.llm.tokens import ENCODED, default_path, encoder, press, unpress
 
 MAGIC = b"HRANS1\0\0"
 SCALE = 18  # bits of the frequency table's total
@@ -219,12 +219,11 @@ def write_tokens(docs: DataFrame, folder: str, path: str | None = None) -> None:
         encode = encoder(path)
         end = np.array([END], dtype=encode.dtype).tobytes()
         met: dict[tuple, int] = {}
-        for batch in pieces(batches):
+        for batch in pieces(batches, ENCODED):
             texts = batch["text"].to_pylist()
             ids = [press(x + end, encode.dtype) for x in encode.batch(texts)]
             part = [place(i, x, met) for i, x in zip(batch["doc_id"].to_pylist(), texts)]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int32()), batch["doc_id"], pa.array(ids, pa.binary())], names=["part", "doc_id", "ids"])
-        encode.forget()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, segment, before, held, size = -1, 0, 0, [], 0

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import cut, pieces, table, tasks
-from heliograph.llm.tokens import default_path, encoder, press, unpress
+from heliograph.llm.tokens import ENCODED, default_path, encoder, press, unpress
 
 LENGTH = 2048
 END = 1
@@ -77,14 +77,13 @@ def encoded(docs: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(path)
         end = np.array([END], dtype=encode.dtype).tobytes()
-        for batch in pieces(batches):
+        for batch in pieces(batches, ENCODED):
             ids, cells = [], []
             for own in encode.batch(batch["text"].to_pylist()):
                 cells.append(coordinates(np.frombuffer(own, encode.dtype), encode.vocabulary))
                 ids.append(press(own + end, encode.dtype))
             curve = hilbert(np.array(cells, dtype=np.int64).reshape(len(cells), DIMENSIONS))
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(curve), pa.array(ids, pa.binary())], names=["doc_id", "curve", "ids"])
-        encode.forget()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, curve long, ids binary")
 

@@ -4,26 +4,56 @@ from __future__ import annotations
 
 import functools
 import os
-import re
 import sys
 from array import array
 
 import numpy as np
+import pyarrow as pa
 import zstandard
 
-#: A space between two characters that aren't white space. No byte-level word reaches over one from the left, and none looks
-#: behind, so the ids of a text are those of its parts one after another, each part but the first with its space.
-_SPACE = re.compile(r" (?=\S)(?<=\S )")
 #: Parts whose ids a process remembers at most (some 200 bytes each), and their longest.
 REMEMBERED, LONGEST = 600_000, 32
+#: Texts that are encoded at once.
+ENCODED = 4096
+#: Lead bytes of characters among which there is white space.
+_WHITE_LEADS = (0xC2, 0xE1, 0xE2, 0xE3)
+
+
+def _tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each two bytes whether a word surely ends between them, for each byte whether it is ASCII white space, and the length
+    of the character that it begins, 0 where that could be white space."""
+    byte = np.arange(256)
+    letter = ((byte | 0x20) >= 0x61) & ((byte | 0x20) <= 0x7A) & (byte < 0x80)
+    digit, white = (byte >= 0x30) & (byte <= 0x39), np.isin(byte, [0x20, 0x09, 0x0A, 0x0D])
+    mark = (byte > 0x20) & (byte < 0x7F) & ~letter & ~digit
+    ends = np.outer(letter, digit | mark | white) | np.outer(digit, letter | mark | white) | np.outer(mark, white)
+    lead = (byte >= 0xC3) & ~np.isin(byte, _WHITE_LEADS)
+    return ends.ravel(), white, np.where(lead, 2 + (byte >= 0xE0) + (byte >= 0xF0), 0)
+
+
+_ENDS, _WHITE, _SIZE = _tables()
+
+
+def _cuts(data: np.ndarray) -> np.ndarray:
+    """Where a byte-level word surely begins in UTF-8: after an ASCII letter, digit or mark, or a character that is no white space.
+
+    No such word has a letter, a digit or anything but white space before something of another kind, but for marks before letters,
+    and none looks behind; so the ids of a text are those of its parts one after another. What is not cut only makes a part longer.
+    """
+    pairs = (data[:-1].astype(np.uint16) << 8) | data[1:]
+    found = _ENDS[pairs]
+    at = np.flatnonzero(_WHITE[data[1:]] & (data[:-1] >= 0x80)) + 1
+    for size in (2, 3, 4):
+        found[at[(_SIZE[data[np.maximum(at - size, 0)]] == size)] - 1] = True
+    return np.flatnonzero(found) + 1
 
 
 class Encoder:
     """Ids of texts as little-endian bytes, two to an id where the vocabulary allows it, else four.
 
-    All ids are the tokenizers library's. Where the file is a plain byte-level one, texts are cut at single spaces,
+    All ids are the tokenizers library's. Where the file is a plain byte-level one, texts are cut where words surely begin,
     and the library encodes the different parts of a batch in one call, but for those whose ids the process
-    remembers; with any other file it encodes whole texts. Strings of special tokens in a text are ordinary text.
+    remembers, also from task to task; with any other file it encodes whole texts. Strings of special tokens in a text are ordinary text.
     """
 
     def __init__(self, path: str):
@@ -37,7 +67,8 @@ class Encoder:
         before, added = t.pre_tokenizer, t.get_added_tokens_decoder().values()
         byte_level = isinstance(before, pre_tokenizers.ByteLevel) and before.use_regex and not before.add_prefix_space
         self.cut = byte_level and t.normalizer is None and all(x.special for x in added)
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
+        self.before: dict[bytes, bytes] = {}
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         kind = "H" if self.dtype.itemsize == 2 else "I"
@@ -53,25 +84,40 @@ class Encoder:
             several = [*{x for x in texts if x}]
             ids = dict(zip(several, self._ids(several)))
             return [ids[x] if x else b"" for x in texts]
-        parts = [_SPACE.split(x) if x else [] for x in texts]
-        first = self._ids([x[0] for x in parts if x])
-        rest = [x[1:] for x in parts]
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known = self.known
-        fresh = [x for x in set().union(*rest) if x not in known]
-        known.update(zip(fresh, self._ids([" " + x for x in fresh])))
-        begin, get = iter(first), known.__getitem__
-        out = [next(begin) + b"".join(map(get, own)) if x else b"" for x, own in zip(parts, rest)]
-        for x in fresh:
-            if len(x) > LONGEST:
-                del known[x]
+        whole = pa.array([x or "" for x in texts], pa.large_string())
+        ends = np.frombuffer(whole.buffers()[1], np.int64, len(whole) + 1)
+        data = whole.buffers()[2]
+        if not ends[-1]:
+            return [b""] * len(texts)
+        bounds = np.zeros(ends[-1] + 1, bool)
+        bounds[_cuts(np.frombuffer(data, np.uint8, ends[-1]))] = True
+        bounds[ends] = True
+        bounds = np.flatnonzero(bounds)
+        parts = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(bounds) - 1, [None, pa.py_buffer(bounds), data]).dictionary_encode()
+        ids = pa.array(self._known(parts.dictionary.to_pylist()), pa.large_binary()).take(parts.indices)
+        at = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[np.searchsorted(bounds, ends)].tolist()
+        out = memoryview(ids.buffers()[2])
+        return [out[s:e].tobytes() for s, e in zip(at, at[1:])]
+
+    def _known(self, parts: list[bytes]) -> list[bytes]:
+        """The ids of different parts. Of what is remembered the half that was not asked for lately goes when there is too much."""
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.before = {}, self.known
+        known, before = self.known, self.before
+        out = [known.get(x) for x in parts]
+        missing = [k for k, x in enumerate(out) if x is None]
+        fresh = []
+        for k in missing:
+            if (x := before.get(parts[k])) is None:
+                fresh.append(k)
+            else:
+                out[k] = known[parts[k]] = x
+        for k, x in zip(fresh, self._ids([parts[k].decode("utf-8") for k in fresh])):
+            out[k] = x
+            if len(parts[k]) <= LONGEST:
+                known[parts[k]] = x
         return out
 
-    def forget(self) -> None:
-        """Free what is remembered; for the end of a task, as idle workers would hold it."""
-        self.known = {}
-
     def __call__(self, text: str | None) -> bytes:
         return self.batch([text])[0]
 

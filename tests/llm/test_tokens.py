@@ -181,3 +181,10 @@ def test_neighbours_are_alike(docs):
         sequences.setdefault(r.sequence_id, []).append(r.lang)
     mixed = [len(set(x)) for x in sequences.values() if len(x) > 2]
     assert np.mean(mixed) < 2
+
+
+def test_words_are_remembered_apart_from_marks_and_digits():
+    """'stop' is encoded once, whatever follows it, and stays known from task to task."""
+    e = tokens.Encoder(default_path())
+    e.batch(["stop, stop. stop; stop\nstop1 stop", "a stop"])
+    assert {b"stop", b" stop", b",", b".", b";", b"\nstop", b"1"} <= set(e.known) and not any(x.startswith(b" stop") and len(x) > 5 for x in e.known)
