@@ -134,17 +134,29 @@ def zipped(files: DataFrame) -> DataFrame:
     return files.select("batch", "path", "content").groupBy("batch").applyInPandas(run, "batch string, payload binary")
 
 
-def unzipped(payloads: DataFrame, entry_bytes: int = ENTRY_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
-    """(batch, name, content, error): an archive's entries, or one row that says what is wrong with it."""
+#: Bytes of opened entries that a task holds before it passes them on; an archive's own entries are held at once.
+HELD = 16_000_000
+
+
+def opened(frames: Iterator[pd.DataFrame], entry_bytes: int = ENTRY_BYTES, total_bytes: int = TOTAL_BYTES) -> Iterator[pd.DataFrame]:
+    """The entries of all archives (batch, payload), passed on as soon as there are `HELD` bytes of them."""
+    columns = ["batch", "name", "content", "error"]
+    for frame in frames:
+        rows, size = [], 0
+        for batch, payload in zip(frame["batch"], frame["payload"]):
+            try:
+                found = open_zip(payload, entry_bytes, total_bytes)
+                rows += [(batch, n, c, None) for n, c in found]
+                size += sum(len(c) for _, c in found)
+            except (ValueError, OSError, zipfile.BadZipFile) as e:
+                rows.append((batch, None, None, str(e)))
+            if size >= HELD:
+                yield pd.DataFrame(rows, columns=columns)
+                rows, size = [], 0
+        yield pd.DataFrame(rows, columns=columns)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in batches:
-            rows = []
-            for batch, payload in zip(frame["batch"], frame["payload"]):
-                try:
-                    rows += [(batch, n, c, None) for n, c in open_zip(payload, entry_bytes, total_bytes)]
-                except (ValueError, OSError, zipfile.BadZipFile) as e:
-                    rows.append((batch, None, None, str(e)))
-            yield pd.DataFrame(rows, columns=["batch", "name", "content", "error"])
 
+def unzipped(payloads: DataFrame, entry_bytes: int = ENTRY_BYTES, total_bytes: int = TOTAL_BYTES) -> DataFrame:
+    """(batch, name, content, error): an archive's entries, or one row that says what is wrong with it."""
+    run = lambda frames: opened(frames, entry_bytes, total_bytes)
     return payloads.select("batch", "payload").mapInPandas(run, "batch string, name string, content binary, error string")

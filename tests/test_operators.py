@@ -436,3 +436,12 @@ def test_sizes_round_halves_to_even(spark, duck):
     rows = spark.createDataFrame([(n,) for n in sizes], "n long").select("n", format_bytes(F.col("n")).alias("s"))
     asked = "SELECT CASE WHEN n >= 1000000 THEN printf('%.0f MB', n / 1e6) WHEN n >= 1000 THEN printf('%.0f KB', n / 1e3) ELSE printf('%d bytes', n) END"
     assert {r.n: r.s for r in rows.collect()} == {n: duck.sql(asked.replace("n ", f"{n} ").replace(", n)", f", {n})")).fetchall()[0][0] for n in sizes}
+
+
+def test_opened_archives_are_passed_on_before_the_next(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(codec, "HELD", 10)
+    frame = pd.DataFrame({"batch": ["a", "b", "c"], "payload": [codec.make_zip([("/x.txt", b"0123456789")]), b"none", codec.make_zip([("/y.txt", b"abc")])]})
+    parts = list(codec.opened(iter([frame])))
+    assert [len(x) for x in parts] == [1, 2] and pd.concat(parts)["name"].tolist() == ["x.txt", None, "y.txt"]
