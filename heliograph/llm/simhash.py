@@ -5,6 +5,9 @@ most two bits, one segment differs in at most one; with the wildcard at that bit
 signature (segment, wildcard, rest). Every distinct fingerprint is indexed under its 64
 signatures, and equal signatures are verified by the Hamming distance.
 
+What is shuffled is not the signatures: those whose wildcards lie in one octet of a segment share its other 24 bits, so a
+fingerprint is sent once to each of eight such parts, and its signatures are made there.
+
 A signature with more than `CROWD` fingerprints is never expanded into pairs. It is refined: two
 bits of the whole fingerprint become wildcards, all members of one refined signature are within two
 bits of each other, and a star around the smallest of them links them. So the work is linear in the
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from heliograph.llm.common import components, cut, pieces, table, tasks
@@ -68,13 +71,30 @@ def _bit(k) -> F.Column:
     return F.call_function("shiftleft", F.lit(1).cast("long"), k)
 
 
-def _signatures(fps: DataFrame) -> DataFrame:
-    """(key, fp): 64 rows for each fingerprint. key: wildcard's bit and the rest of its segment."""
-    k = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("k")
-    half = F.when(F.col("k") < 32, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
-    wild = _bit(F.col("k") % 32)
-    key = F.col("k").cast("long") * (1 << 32) + half.bitwiseAND(F.bitwise_not(wild))
-    return fps.select("fp", k).select(key.alias("key"), "fp")
+def _half(k) -> F.Column:
+    """The segment of fp that bit k is of."""
+    return F.when(k < 32, F.col("fp").bitwiseAND(0xFFFFFFFF)).otherwise(F.shiftrightunsigned("fp", 32))
+
+
+def _shared(fps: DataFrame) -> DataFrame:
+    """(key, fp, n, a, b): the signatures that n > 1 fingerprints have, a row for each of them; a and b are their least and largest.
+
+    key: wildcard's bit and the rest of its segment. Rows lie by part, which is an octet and the other bits of its segment, and
+    fingerprints that are alone in their part are not given signatures there.
+    """
+    octet = F.col("octet")
+    rest = _half(octet * 8).bitwiseAND(F.bitwise_not(F.call_function("shiftleft", F.lit(255).cast("long"), octet % 4 * 8)))
+    parts = fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(7))).alias("octet"))
+    # As many tasks as the session asks for: what is shuffled is narrow, and each row gives eight.
+    parts = parts.select("fp", (octet.cast("long") * (1 << 32) + rest).alias("part")).repartition(tasks(fps.sparkSession), "part")
+    met = parts.withColumn("n", F.count("*").over(Window.partitionBy("part"))).where("n > 1").drop("n")
+    first = F.shiftrightunsigned("part", 32).cast("int") * 8
+    k = F.col("k")
+    keys = met.select("part", "fp", F.explode(F.sequence(first, first + 7)).alias("k"))
+    keys = keys.select("part", "fp", (k.cast("long") * (1 << 32) + _half(k).bitwiseAND(F.bitwise_not(_bit(k % 32)))).alias("key"))
+    same = Window.partitionBy("key", "part")  # a key is in one part; with it in the window rows stay where they are
+    of = [F.count("*").over(same).alias("n"), F.min("fp").over(same).alias("a"), F.max("fp").over(same).alias("b")]
+    return keys.select("key", "fp", *of).where("n > 1")
 
 
 def _two_wild(crowded: DataFrame) -> DataFrame:
@@ -107,15 +127,12 @@ def links(fps: DataFrame, crowd: int = CROWD) -> DataFrame:
     Links within a crowd are a spanning star of each refined signature, all others are complete;
     so the links have the connected components of the full relation.
     """
-    # As many tasks as the session asks for: a checkpoint of narrow rows may lie in a few partitions, and each gives 64 rows.
-    keys = _signatures(fps.repartition(tasks(fps.sparkSession)))
-    sizes = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    sizes = cut(sizes)
-    pairs = sizes.where("n = 2").select("a", "b")
-    some = keys.join(sizes.where(f"n > 2 and n <= {crowd}").select("key"), "key")
+    shared = cut(_shared(fps).where("n > 2 or fp = a"))
+    pairs = shared.where("n = 2").select("a", "b")
+    some = shared.where(f"n > 2 and n <= {crowd}").select("key", "fp")
     pairs = pairs.union(some.alias("x").join(some.alias("y"), F.expr("x.key = y.key and x.fp < y.fp")).select(F.col("x.fp"), F.col("y.fp")))
     pairs = pairs.where(F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= 2)
-    crowds = keys.join(sizes.where(f"n > {crowd}").select("key"), "key").select(F.shiftrightunsigned("key", 32).cast("int").alias("k"), "fp")
+    crowds = shared.where(f"n > {crowd}").select(F.shiftrightunsigned("key", 32).cast("int").alias("k"), "fp")
     fine = _two_wild(crowds)
     stars = fine.groupBy("pair", "rest").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("a < b")
     stars = cut(stars)

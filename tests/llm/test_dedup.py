@@ -67,6 +67,21 @@ def test_links_keep_components_whatever_a_crowd_is(spark, crowd):
     assert group(lambda x: want[x]) == group(lambda x: roots.get(signed(x), signed(x)))
 
 
+def test_signatures_are_not_shuffled(spark):
+    """A fingerprint is sent to eight parts, not under each of its 64 signatures."""
+    rng = np.random.default_rng(5)
+    n = 20_000
+    df = spark.createDataFrame([(x,) for x in rng.integers(-(1 << 63), 1 << 63, n).tolist()], "fp long")
+
+    def written():
+        executors = spark.sparkContext._jsc.sc().statusStore().executorList(False)
+        return sum(executors.apply(k).totalShuffleWrite() for k in range(executors.size()))
+
+    before = written()
+    simhash.links(df).count()
+    assert written() - before < 16 * n * 20
+
+
 def test_components_of_a_star_and_a_chain(spark):
     edges = [(0, k) for k in range(1, 200)] + [(k, k + 1) for k in range(1000, 1060)] + [(5, 5)]
     got = {r.node: r.root for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
