@@ -7,7 +7,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from heliograph.graph import components, cut
+from heliograph.graph import components, cut, tasks
 
 __all__ = ["components", "cut", "pieces", "table", "tasks"]
 
@@ -16,11 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def tasks(spark: SparkSession) -> int:
-    """The number of shuffle partitions the session asks for."""
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches cut to a few rows each, which bounds what a worker holds as Python objects at once."""
     for batch in batches:

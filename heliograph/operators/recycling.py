@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from heliograph import schema
-from heliograph.graph import cut
+from heliograph.graph import cut, tasks
 from heliograph.operators import undo
 from heliograph.operators.catalog import publish
 from heliograph.operators.transfer import _put, content_hash
@@ -32,7 +32,10 @@ def place(quarantine: str, batch: str, image_id: int, path: str) -> str:
 
 
 def _each(rows: DataFrame, step: Callable[[dict], tuple], fields: dict[str, pa.DataType]) -> DataFrame:
-    """`fields` of every row by `step`, and its key; a file system's refusal is a row of its own."""
+    """`fields` of every row by `step`, and its key; a file system's refusal is a row of its own.
+
+    Rows are narrow and each is work on a file, so they are dealt to as many tasks as the session asks for, not by their bytes.
+    """
     ddl = {pa.string(): "string", pa.bool_(): "boolean"}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -41,7 +44,33 @@ def _each(rows: DataFrame, step: Callable[[dict], tuple], fields: dict[str, pa.D
             columns = [pa.array([d[k] for d in done], kind) for k, kind in enumerate(fields.values())]
             yield pa.RecordBatch.from_arrays([batch["key"], *columns], names=["key", *fields])
 
-    return rows.mapInArrow(run, "key long, " + ", ".join(f"{name} {ddl[kind]}" for name, kind in fields.items()))
+    return rows.repartition(tasks(rows.sparkSession), "key").mapInArrow(run, "key long, " + ", ".join(f"{name} {ddl[kind]}" for name, kind in fields.items()))
+
+
+def _content(r: dict) -> tuple:
+    try:
+        return (content_hash(r["path"]),)
+    except FileNotFoundError:
+        return (None,)
+
+
+def contents(rows: DataFrame) -> DataFrame:
+    """(key, content_hash) of the files of rows (key, path), null where there is none. Each is opened by its path in a task: a
+    listing of their folders would be held by the driver."""
+    return _each(rows, _content, {"content_hash": pa.string()})
+
+
+def _discard(r: dict) -> tuple:
+    try:
+        os.remove(r["path"])
+    except FileNotFoundError:
+        pass
+    return (True,)
+
+
+def discard(rows: DataFrame) -> None:
+    """Delete the files of rows (key, path) for good, by tasks. One that is gone is no error."""
+    cut(_each(rows, _discard, {"gone": pa.bool_()}))
 
 
 def _same(a: str, known: str) -> bool:

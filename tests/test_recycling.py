@@ -141,3 +141,35 @@ def test_empty_tables(spark, shop):
     journal, log, after = recycling.recycle_run(rows.where("false"), ids(spark, 1), log, "b", str(root / "bin"), str(root / "store"))
     assert journal.count() == log.count() == after.count() == 0
     assert recycling.restore_run(log, after, str(root / "store"), batch="b")[1].count() == 0
+
+
+def test_work_on_files_is_dealt_to_all_tasks(spark, tmp_path):
+    """Rows of one partition, which a narrow table of any length can be, are no one task's burden."""
+    for k in range(40):
+        (tmp_path / f"f{k}").write_text(str(k))
+    rows = spark.range(60).coalesce(1).select(F.col("id").alias("key"), F.concat(F.lit(f"{tmp_path}/f"), F.col("id").cast("string")).alias("path"))
+    found = recycling.contents(rows)
+    assert found.rdd.getNumPartitions() == 4
+    assert {r.key: r.content_hash for r in found.collect()} == {k: sha(str(k)) if k < 40 else None for k in range(60)}
+    recycling.discard(rows)
+    assert not list(tmp_path.iterdir())
+
+
+def test_no_folder_of_all_files_is_listed_or_removed_by_the_driver(spark, sf, monkeypatch):
+    from heliograph.plans import queries
+    from heliograph.sources import files
+
+    left, removed = [], queries.remove
+
+    def remove(spark, folder):
+        left.extend(x for part in ("in", "bin") for _, _, names in os.walk(f"{folder.removeprefix('file:')}/{part}") for x in names)
+        removed(spark, folder)
+
+    def listing(*_):
+        raise AssertionError("listed")
+
+    monkeypatch.setattr(queries, "remove", remove)
+    monkeypatch.setattr(files, "listing", listing)
+    rows = queries.recycle_and_restore(spark, sf).collect()
+    assert len(rows) == spark.read.parquet(f"{sf}/documents.parquet").count() and not left
+    assert {r.status for r in rows} == {None, "recycled", "restored"} and all((r.sha256 is None) == (r.status == "recycled") for r in rows)
