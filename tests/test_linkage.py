@@ -207,3 +207,30 @@ def test_size_estimates_do_not_grow_from_round_to_round(spark):
     pairs = spark.createDataFrame([(a, b, 0 if a // 3 == b // 3 else 1) for a in range(24) for b in range(a + 1, min(a + 4, 24))], "a long, b long, distance int")
     out = cliques(pairs, rows, 1, 1, False, small=0, leaves=2)
     assert out._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().bit_length() < 1000
+
+
+def test_detection_makes_its_pairs_and_members_once(spark, monkeypatch):
+    from heliograph.plans import queries
+
+    made = {}
+
+    def counted(name):
+        rows, of = spark.sparkContext.accumulator(0), getattr(groups, name)
+
+        def run(*args):
+            out = of(*args)
+
+            def each(batches):
+                for batch in batches:
+                    rows.add(batch.num_rows)
+                    yield batch
+
+            made[name] = rows, of(*args).count()
+            return out.mapInArrow(each, out.schema)
+
+        monkeypatch.setattr(groups, name, run)
+
+    for name in ("burst_pairs", "exact_members"):
+        counted(name)
+    assert queries.detection(spark, "/root/testdata/sf0.001").count() > 0
+    assert all(n > 0 and rows.value == n for rows, n in made.values()), {k: (r.value, n) for k, (r, n) in made.items()}
