@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -9,13 +11,19 @@ from pyspark.sql import DataFrame, SparkSession
 
 from heliograph.graph import components, cut, tasks
 
-__all__ = ["components", "cut", "pieces", "table", "tasks"]
+__all__ = ["components", "cut", "give_back", "pieces", "table", "tasks"]
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def give_back() -> None:
+    """Return what this process has freed to the system, where its C library can; else it is kept for later use."""
+    with contextlib.suppress(AttributeError, OSError, TypeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """The batches cut to a few rows each, which bounds what a worker holds as Python objects at once."""
     for batch in batches:

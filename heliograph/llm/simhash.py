@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import components, cut, pieces, table, tasks
+from heliograph.llm.common import components, cut, give_back, pieces, table, tasks
 
 CROWD = 64
 SHINGLE = 3
@@ -63,6 +63,7 @@ def fingerprints(docs: DataFrame, key: bool = False) -> DataFrame:
             if key:
                 columns["text_key"] = np.array([42 if x is None else xxhash.xxh64_intdigest(x.encode("utf-8"), 42) for x in texts], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_pydict({name: pa.array(x) if isinstance(x, np.ndarray) else x for name, x in columns.items()})
+        give_back()  # in the pipeline this worker held the model of toxicity before
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long" + ", text_key long" * key)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from heliograph.llm.common import pieces, table, tasks
+from heliograph.llm.common import give_back, pieces, table, tasks
 
 #: Labelled rows of either label that are fitted at most (about: the sample is by hash).
 MAX_TOXIC, MAX_CLEAN = 600, 1_600
@@ -222,8 +222,9 @@ class Model:
         terms, counts, sizes = state["entries"]
         cuts = np.cumsum(sizes[:, 0])[:-1]
         terms, counts = (np.split(np.frombuffer(zlib.decompress(x), np.int32), cuts) for x in (terms, counts))
-        self.entries = [(np.cumsum(t, dtype=np.int64), c.astype(float), n) for t, c, n in zip(terms, counts, sizes[:, 1].tolist())]
+        self.entries = [(np.cumsum(t, dtype=np.int32), c, n) for t, c, n in zip(terms, counts, sizes[:, 1].tolist())]
         self.index = Index([self.vector(t, c) for t, c, _ in self.entries], len(self.number))
+        give_back()  # making it takes some 60 MB more than it keeps
 
     def vector(self, terms: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         weights = (1 + np.log(counts)) * self.idf[terms]

@@ -579,6 +579,18 @@ def test_scores_equal_brute_force(spark):
         assert all(abs(cosine[first.index(e.doc_id)] - e.cosine) < 1e-5 for e in r.evidence)
 
 
+def test_model_as_workers_have_it(spark, docs, sf, texts):
+    """A model that was sent scores alike and holds its examples as four-byte numbers."""
+    import pickle
+
+    model = toxicity.fit(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    sent = pickle.loads(pickle.dumps(model))
+    some = [*texts.values()][:50]
+    assert sent.scores(some) == model.scores(some)
+    assert all(t.dtype == c.dtype == np.int32 for t, c, _ in sent.entries)
+    assert all(np.array_equal(a[0], b[0]) and np.array_equal(a[1], b[1]) and a[2] == b[2] for a, b in zip(sent.entries, model.entries, strict=True))
+
+
 def test_scores_of_held_out_rows(spark):
     sf = "/root/testdata/sf0.1"
     rows = toxicity.op1_toxicity(spark, sf).toPandas()
