@@ -234,3 +234,27 @@ def test_detection_makes_its_pairs_and_members_once(spark, monkeypatch):
         counted(name)
     assert queries.detection(spark, "/root/testdata/sf0.001").count() > 0
     assert all(n > 0 and rows.value == n for rows, n in made.values()), {k: (r.value, n) for k, (r, n) in made.items()}
+
+
+def test_first_edges_decide_what_the_sequence_decides(spark, monkeypatch):
+    """A component over the limit takes steps over its first edges, not rounds of single decisions."""
+    taken = []
+    real = linkage._first_edges
+    monkeypatch.setattr(linkage, "FEW", 1)
+    monkeypatch.setattr(linkage, "_first_edges", lambda *a: taken.append(a[1]) or real(*a))
+    monkeypatch.setattr(linkage, "_stars", lambda *a: pytest.fail("a round"))
+    rows = scattered(202, 30, 7, copies=8)
+    want, _ = sequential(rows, 1, 1)
+    got = groups.variant_groups(spark.createDataFrame(rows, SIGNED), 1, 1, 56, False, 8)
+    assert gathered(got) == want and 1 < len(taken) < 12
+
+
+def test_blocks_compare_every_pair_of_classes(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "TILE", 9)
+    monkeypatch.setattr(similarity, "STRIP", 4)
+    signs = far_apart(random.Random(77), 20)
+    _, classes = signature_classes(spark.createDataFrame(list(enumerate(signs)), SIGNED))
+    turned = {r.c: r.phash for r in classes.collect()}
+    far = lambda x, y: min(sum(((x[t * 5 + k] ^ y[k]) & (1 << 64) - 1).bit_count() for k in range(5)) for t in range(4))
+    want = {(x, y, d) for x in turned for y in turned if x != y and (d := far(turned[x], turned[y])) <= 20}
+    assert want and sorted(tuple(r) for r in class_links_brute(classes, 20).collect()) == sorted(want)
